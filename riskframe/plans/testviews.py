@@ -1,0 +1,157 @@
+"""Our input tables derived from the given ones.
+
+Each view is one SELECT in the SQL that Spark and DuckDB share, so a query and its check start from
+the same rows. All rows come from the given tables; constants only name values."""
+
+from __future__ import annotations
+
+# Text of a CASE over an integer expression.
+def pick(expr: str, values) -> str:
+    n = len(values)
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values[:-1]))
+    return f"CASE ({expr}) % {n} {whens} ELSE '{values[-1]}' END"
+
+
+def s(expr: str) -> str:
+    return f"cast({expr} AS string)"
+
+
+PATHS = ["src/app/handler.js", "docs/setup.md", "tests/unit/test_login.py", "config/.env.example",
+         "src/server/db.py", "infra/main.tf", "requirements.txt", "package-lock.json",
+         "src/testimonials/view.js", "scripts/deploy.sh"]
+CLASSES = ["sqli", "xss", "ssrf", "redos", "open-redirect", "cve", "secret", "buffer-overflow",
+           "missing-auth", "idor", "path-traversal", "llm-unbounded"]
+SECRETS = ["changeme-please", "q7Zp-91xK-lm22", "xxxxxxxxxxxx", "Tr0ub4dor-real", "your-api-key-1",
+           "aaaaaaaaaaaa", "k9.f2.w8.z1"]
+
+VIEWS: dict[str, str] = {}
+
+# One row per scanner hit. Copies of a fingerprint come from several tools and severities.
+VIEWS["scan_findings"] = f"""
+SELECT 'repo' || {s('l_suppkey')} AS repo, 's1' AS snapshot,
+  l_orderkey * 8 + l_linenumber AS seq,
+  {pick('l_partkey', ['secret', 'sca', 'sast', 'iac'])} AS category,
+  CASE l_partkey % 4
+    WHEN 0 THEN {pick('l_orderkey', ['gitleaks', 'trivy', 'gitleaks'])}
+    WHEN 1 THEN {pick('l_orderkey', ['trivy', 'osv-scanner'])}
+    WHEN 2 THEN {pick('l_orderkey', ['semgrep', 'bandit'])}
+    ELSE {pick('l_orderkey', ['trivy', 'checkov'])} END AS tool,
+  {pick('l_orderkey + l_linenumber', ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO', 'UNKNOWN'])} AS severity,
+  {pick('l_partkey', ['generic-api-key', 'rule-sca', 'insecure-default-sql', 'CKV_1', 'aws-access-token', 'rule-b', 'rule-c', 'CKV_2'])} AS key,
+  CASE l_partkey % 10 {' '.join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATHS))} END AS file,
+  l_linenumber AS line,
+  'finding ' || {s('l_partkey % 40')} AS title,
+  'fp-' || {s('l_suppkey')} || '-' || {s('l_partkey % 40')} AS fingerprint,
+  CASE WHEN l_partkey % 4 = 1 THEN 'pkg' || {s('l_partkey % 40')} END AS pkg,
+  CASE WHEN l_partkey % 4 = 1 THEN 'CVE-2024-' || lpad({s('l_partkey % 40')}, 5, '0') END AS cve,
+  '1.' || {s('l_linenumber')} AS installed,
+  CASE WHEN l_partkey % 4 = 1 AND l_orderkey % 3 = 0 THEN '2.' || {s('l_linenumber % 3')} END AS fixed,
+  CASE WHEN l_partkey % 4 = 1 THEN {pick('l_orderkey', ['npm', 'python-pkg', 'pip', 'gobinary'])} END AS ecosystem,
+  CASE WHEN l_partkey % 4 = 1 AND l_orderkey % 2 = 0 THEN 'GHSA-' || {s('l_partkey % 40')} || '-' || {s('l_linenumber % 2')} END AS alias,
+  CASE WHEN l_partkey % 4 = 0 AND l_orderkey % 5 = 0 THEN 'c0ffee' || {s('l_orderkey % 7')} END AS commit,
+  CASE WHEN l_partkey % 4 = 0 AND l_orderkey % 3 <> 1 THEN {pick('l_linenumber', ['git', 'dir'])} END AS scan_mode,
+  CASE WHEN l_orderkey % 11 = 0 THEN {pick('l_linenumber', ['high', 'low', 'certain'])} END AS native_confidence,
+  CASE WHEN l_partkey % 4 = 0 THEN l_orderkey % 13 = 0 END AS verified,
+  CASE WHEN l_partkey % 4 = 0 THEN {pick('l_orderkey', SECRETS)} END AS secret,
+  CASE WHEN l_partkey % 8 = 2 THEN 'sem' || {s('l_orderkey % 9')} END AS semantic_id
+FROM lineitem
+"""
+
+# One row per ledger finding of the current run; orders before the cut are the previous run.
+_LEDGER = f"""
+SELECT 'repo' || {s('o_custkey % 60')} AS repo, o_orderkey AS finding_id,
+  {pick('o_orderkey', CLASSES)} AS attack_class,
+  {pick('o_orderkey', ['sast', 'sca', 'secret', 'access-control', 'iac'])} AS category,
+  CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM'
+    WHEN '4' THEN 'LOW' ELSE 'INFO' END AS severity,
+  {pick('o_custkey', ['HIGH', 'MEDIUM', 'LOW'])} AS confidence,
+  CASE o_orderkey % 10 {' '.join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATHS))} END AS file,
+  o_orderkey % 90 + 1 AS line,
+  {pick('o_orderkey', ['rule-a', 'rule-b', 'rule-c', 'rule-d', 'rule-e', 'rule-f', 'rule-g'])} AS rule_id,
+  'issue ' || {s('o_orderkey % 30')} || CASE WHEN o_orderkey % 12 = 5 THEN ' in CVE-2024-' || lpad({s('o_orderkey % 2000')}, 5, '0') ELSE '' END AS title,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'svc' || {s('o_orderkey % 4')} END AS service_id,
+  CASE WHEN o_orderkey % 5 = 2 AND o_orderkey % 3 = 0 THEN 'c' || {s('o_custkey % 5')} || 'deadbeef0000' END AS commit,
+  o_orderkey % 5 = 2 AND o_orderkey % 6 = 0 AS history_only,
+  o_orderdate AS seen
+FROM orders
+"""
+VIEWS["findings"] = _LEDGER.replace("FROM orders", "FROM orders WHERE o_orderstatus <> 'F'")
+VIEWS["findings_loc"] = "SELECT f.*, f.file || ':' || " + s("f.line") + " AS location FROM findings f"
+
+# Reviewed labels of text findings. Documents without a label keep a NULL verdict.
+VIEWS["finding_labels"] = f"""
+SELECT d.doc_id, d.source AS attack_class,
+  CASE d.lang WHEN 'en' THEN 'HIGH' WHEN 'fr' THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  CASE WHEN l.quality IS NULL THEN NULL ELSE l.quality = 1 END AS is_real
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+"""
+VIEWS["ledger"] = "SELECT f.*, f.file || ':' || " + s("f.line") + f""" AS location, CASE WHEN f.finding_id % 21 = 0 THEN 'sink' || {s('f.finding_id % 4')} END AS semantic_id,
+  CASE WHEN f.finding_id % 17 = 0 THEN 'acknowledged' ELSE 'open' END AS status, f.finding_id % 23 = 0 AS kev FROM findings f"""
+# The previous run: overlaps the current one, with other severities, old identities and vanished rows.
+VIEWS["baseline"] = f"""
+SELECT b.repo, b.finding_id + CASE WHEN b.finding_id % 41 = 0 THEN 420 ELSE 0 END AS baseline_id, b.attack_class, b.category,
+  CASE WHEN b.finding_id % 7 = 0 THEN 'LOW' ELSE b.severity END AS severity, b.file, b.line,
+  CASE WHEN b.finding_id % 4 = 1 THEN NULL ELSE b.rule_id END AS rule_id, b.service_id,
+  CASE WHEN b.finding_id % 3 = 0 THEN b.title || ' (old)' ELSE b.title END AS title,
+  CASE WHEN b.finding_id % 4 = 1 THEN 1 ELSE 2 END AS identity_version,
+  CASE WHEN b.finding_id % 13 = 0 THEN 'acknowledged' ELSE 'open' END AS status, false AS kev,
+  b.file || ':' || {s('b.line')} AS location,
+  CASE WHEN b.finding_id % 21 = 0 THEN 'sink' || {s('b.finding_id % 4')} END AS semantic_id
+FROM ({_LEDGER.replace("FROM orders", "FROM orders WHERE o_orderstatus <> 'O'")}) b
+WHERE b.finding_id % 41 <> 0 OR b.finding_id % 2 = 0
+"""
+VIEWS["hunks"] = f"""
+SELECT 'repo' || {s('l_suppkey % 60')} AS repo,
+  CASE l_partkey % 10 {' '.join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATHS))} END AS path,
+  cast(l_partkey % 88 + 1 AS int) AS start_line, cast(l_partkey % 88 + 1 + l_linenumber % 4 AS int) AS end_line
+FROM lineitem WHERE l_partkey % 37 = 0 AND l_suppkey % 10 <> 3
+"""
+# Ignore lines, one per supplier and kind.
+VIEWS["policy_files"] = f"""
+SELECT 'repo' || {s('s_suppkey % 60')} AS repo, CASE WHEN s_suppkey % 5 = 0 THEN 'explicit-legacy-cwd' ELSE 'target' END AS source,
+  {pick('s_suppkey', ['tests/', 'category:sca', '*.md', 'issue 7', '/src/app', 'src/server/db.py', 'login', 'category:Secret', '/infra/*.tf'])} || chr(10)
+  || '# only a comment' || chr(10)
+  || 'fingerprint:fp' || {s('s_suppkey % 30')} || {pick('s_suppkey', [' expires:2024-06-30', ' expires:2031-01-01', '', ' expires:2024-13-01', ' until:2024-01-01'])}
+  || {pick('s_suppkey', [' # accepted risk', ' # see ticket', ''])} || chr(10)
+  || {pick('s_suppkey', ['scripts', 'docs/**', 'x?z.py', 'contests/'])} AS content
+FROM supplier
+"""
+VIEWS["truth"] = f"""
+SELECT 'repo' || {s('s_suppkey % 60')} AS app, {pick('s_nationkey', CLASSES)} AS attack_class,
+  {pick('s_suppkey', ['*', 'src/', '.JS:1', 'docs', 'main.tf:7', '', 'unit'])} AS location_contains,
+  CASE s_nationkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_real,
+  CASE WHEN s_suppkey % 11 = 0 THEN 'draft' ELSE 'reviewed' END AS review_status
+FROM supplier
+"""
+VIEWS["pairs"] = f"""
+SELECT p_partkey AS case_id, {pick('p_size', CLASSES)} AS attack_class, p_partkey % 2 = 0 AS vulnerable FROM part
+"""
+VIEWS["fired"] = f"""
+SELECT p_partkey AS case_id, {pick('p_size', ['HIGH', 'MEDIUM', 'LOW'])} AS confidence FROM part
+WHERE (p_partkey % 2 = 0 AND p_partkey % 5 <> 0) OR p_partkey % 9 = 0
+"""
+VIEWS["cases"] = f"""
+SELECT d.source AS partition, md5(d.text) AS content_hash, d.doc_id % 2 = 0 AS vulnerable,
+  CASE WHEN d.doc_id % 50 = 7 THEN NULL ELSE (d.doc_id % 2 = 0) <> (d.doc_id % 29 = 0) END AS detected
+FROM documents d
+"""
+VIEWS["graded_rows"] = f"""
+SELECT 'repo' || {s('l_suppkey % 20')} AS repo, {pick('l_orderkey', ['semgrep', 'bandit', 'gosec'])} AS tool,
+  'r' || {s('l_partkey % 9')} AS rule, 'src/f' || {s('l_partkey % 12')} || '.py' AS file, l_linenumber AS line FROM lineitem
+"""
+VIEWS["rule_map"] = """
+SELECT DISTINCT t.tool, 'r' || cast(p_partkey % 9 AS string) AS rule,
+  CASE p_partkey % 9 WHEN 0 THEN 'sqli' WHEN 1 THEN 'xss' WHEN 2 THEN 'ssrf' ELSE 'other' END AS attack_class
+FROM part CROSS JOIN (VALUES ('semgrep'), ('bandit'), ('gosec')) AS t(tool) WHERE p_partkey % 9 < 6
+"""
+VIEWS["review_labels"] = f"""
+SELECT 'repo' || {s('l_suppkey % 20')} AS repo, 'src/f' || {s('l_partkey % 12')} || '.py' AS file, l_linenumber AS line,
+  {pick('l_partkey % 9', ['sqli', 'xss', 'ssrf'])} AS attack_class,
+  CASE WHEN l_orderkey % 19 = 0 THEN NULL WHEN l_orderkey % 401 = 0 THEN false ELSE l_suppkey % 3 > 0 END AS is_real
+FROM lineitem WHERE l_orderkey % 13 = 0
+"""
+VIEWS["capture_scope"] = """
+SELECT 'repo' || cast(s_suppkey % 20 AS string) AS repo,
+  CASE s_suppkey % 3 WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'gosec' END AS tool,
+  NOT (s_suppkey % 3 = 1 AND s_suppkey % 7 = 0) AS completed FROM supplier
+"""
