@@ -110,7 +110,6 @@ def password_policy(files: DataFrame) -> DataFrame:
 
     A window starts at a password field and ends after 320 characters or at the next field. Drift: a
     strict subset of the repo's strongest set when that has three classes or more."""
-    names = [n for n, _p in R.PASSWORD_CLASSES]
     cut = F.split("content", f"(?={R.PASSWORD_FIELD})")
     win = (files.filter(F.lower("content").contains("password")).select("repo", "path", F.explode(cut).alias("w"))
            .filter(F.col("w").rlike("^" + R.PASSWORD_FIELD)).withColumn("w", F.substring("w", 1, 320))
@@ -120,7 +119,6 @@ def password_policy(files: DataFrame) -> DataFrame:
     blocks = win.select("repo", "path", classes.alias("enforces")).filter(F.size("enforces") > 0).distinct()
     best = blocks.groupBy("repo").agg(F.max_by("enforces", F.struct(F.size("enforces"), F.array_join("enforces", ","))).alias("strongest"))
     sub = (F.size(F.array_except("enforces", "strongest")) == 0) & (F.size("enforces") < F.size("strongest"))
-    assert names
     return blocks.join(best, "repo").withColumn("drift", sub & (F.size("strongest") >= 3))
 
 

@@ -56,8 +56,8 @@ def extract_routes(files: DataFrame) -> DataFrame:
     z = F.arrays_zip(F.regexp_extract_all("content", F.lit(flask_rx), F.lit(1)).alias("p"), F.regexp_extract_all("content", F.lit(flask_rx), F.lit(2)).alias("o"))
     flask = files.filter(F.col("path").rlike(py)).select("repo", F.col("path").alias("code_path"), F.posexplode(z).alias("pos", "z"))
     listed = F.regexp_extract_all(F.regexp_extract("z.o", r"methods\s*=\s*\[([^\]]*)\]", 1), F.lit(r"['\"](\w+)['\"]"), F.lit(1))
-    flask = flask.select("repo", "code_path", "pos", F.upper(F.explode(F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET"))))).alias("method"),
-                         normalize_path(F.col("z.p")).alias("path"), F.lit("flask").alias("technology"), F.lit("decorator").alias("source"))
+    flask = flask.select("repo", "code_path", "pos", normalize_path(F.col("z.p")).alias("path"), F.explode(F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))).alias("m"))
+    flask = flask.select("repo", "code_path", "pos", F.upper("m").alias("method"), "path", F.lit("flask").alias("technology"), F.lit("decorator").alias("source"))
     app_rx = r"(?:^|/)app/(.*?)/?route\.(?:js|ts)$"
     nxt = files.filter(F.col("path").rlike(app_rx)).select(
         "repo", F.col("path").alias("code_path"), F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE)\b"), F.lit(1)))).alias("pos", "method"))
@@ -162,14 +162,13 @@ def contract_diff(spec_ops: DataFrame, routes: DataFrame) -> DataFrame:
     """(repo, method, path, kind): shadow-path, undocumented-method or stale-operation. HEAD and OPTIONS do not count."""
     ops = spec_ops.select("repo", F.upper("method").alias("method"), contract_path(F.col("path")).alias("path")).distinct()
     code = routes.select("repo", F.upper("method").alias("method"), contract_path(F.col("path")).alias("path")).distinct()
-    ops_paths, code_paths = ops.select("repo", "path").distinct(), code.select("repo", "path").distinct()
+    ops_paths = ops.select("repo", "path").distinct()
     extra = code.filter("method <> 'ANY'").join(ops, ["repo", "method", "path"], "left_anti").filter(~F.col("method").isin("HEAD", "OPTIONS"))
     undocumented = extra.join(ops_paths, ["repo", "path"], "left_semi").withColumn("kind", F.lit("undocumented-method"))
     any_shadow = code.filter("method = 'ANY'").join(ops_paths, ["repo", "path"], "left_anti")
     shadow = extra.join(ops_paths, ["repo", "path"], "left_anti").unionByName(any_shadow).withColumn("kind", F.lit("shadow-path"))
     any_code = code.filter("method = 'ANY'").select("repo", "path").distinct()
     stale = (ops.join(code, ["repo", "method", "path"], "left_anti").join(any_code, ["repo", "path"], "left_anti").withColumn("kind", F.lit("stale-operation")))
-    assert code_paths is not None
     cols = ["repo", "method", "path", "kind"]
     return shadow.select(cols).unionByName(undocumented.select(cols)).unionByName(stale.select(cols))
 

@@ -302,7 +302,7 @@ def _(t):
 
 
 @query("p04_mask_comments", """
-SELECT repo, path, regexp_replace(content, '// email', '        ') AS code FROM code_files WHERE path NOT LIKE '%.py'
+SELECT repo, path, regexp_replace(content, '// email', '        ', 'g') AS code FROM code_files WHERE path NOT LIKE '%.py'
 UNION ALL SELECT repo, path, content FROM code_files WHERE path LIKE '%.py'""")
 def _(t):
     return engine.mask_comments(t.code_files).select("repo", "path", "code")

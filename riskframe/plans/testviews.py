@@ -289,3 +289,87 @@ VIEWS["placed_files"] = f"""
 SELECT repo, path, content FROM manifest_files WHERE path LIKE '%package.json'
 UNION ALL SELECT 'repo' || {s('(o_custkey % 1500) % 40')} AS repo, 'pkg' || {s('o_custkey % 1500')} || '/src/h' || {s('o_orderkey')} || '.js' AS path, {_snip('o_orderkey')} AS content FROM orders
 """
+
+# Routes and guards: some associations are unique, some ambiguous, some unscoped.
+VIEWS["routes"] = f"""
+SELECT 'repo' || {s('user_id % 20')} AS repo, event_id AS route_id, CASE WHEN event_id % 3 = 0 THEN 'svc' || {s('event_id % 2')} END AS service_id,
+  {pick('event_id', ['GET', 'POST', 'PUT', 'DELETE', 'ANY'])} AS method,
+  CASE event_type WHEN 'signup' THEN '/signup/' || {s('event_id % 400')} WHEN 'error' THEN '/api/upload/' || {s('event_id % 400')} || '/{{fileId}}' WHEN 'click' THEN '/api/items/{{itemId}}/' || {s('event_id % 400')}
+    WHEN 'view' THEN '/go/' || {s('event_id % 400')} || '/{{redirect}}' ELSE '/proxy/' || {s('event_id % 400')} || '/{{url}}' END AS path,
+  CASE WHEN event_id % 4 <> 0 THEN 'src/r' || {s('event_id % 50')} || '.js' ELSE '' END AS code_path, {pick('event_id', ['router', 'decorator', 'raw', 'spec'])} AS source
+FROM events
+"""
+VIEWS["guards"] = f"""
+SELECT 'repo' || {s('user_id % 20')} AS repo, event_id AS guard_id, CASE WHEN event_id % 3 = 0 THEN 'svc' || {s('event_id % 2')} END AS service_id,
+  {pick('event_id', ['GET', 'POST', 'PUT', 'DELETE', 'ANY'])} AS method,
+  CASE event_type WHEN 'signup' THEN '/signup/' || {s('event_id % 400')} WHEN 'error' THEN '/api/upload/' || {s('event_id % 400')} || '/{{fileId}}' WHEN 'click' THEN '/api/items/{{itemId}}/' || {s('event_id % 400')}
+    WHEN 'view' THEN '/go/' || {s('event_id % 400')} || '/{{redirect}}' ELSE '/proxy/' || {s('event_id % 400')} || '/{{url}}' END AS path,
+  CASE WHEN event_id % 5 <> 0 THEN 'src/r' || {s('event_id % 50')} || '.js' ELSE '' END AS code_path,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 2 = 0 END AS guarded, event_id % 7 <> 0 AS analyzed, event_type = 'signup' AS public_hint
+FROM events WHERE event_id % 6 <> 1
+"""
+VIEWS["route_params"] = """SELECT r.*, CASE WHEN path LIKE '/api/upload%' THEN 'fileId' WHEN path LIKE '/api/items%' THEN 'itemId' WHEN path LIKE '/go%' THEN 'redirect' WHEN path LIKE '/proxy%' THEN 'url' END AS param FROM routes r"""
+VIEWS["file_sinks"] = f"""
+SELECT 'repo' || {s('s_suppkey % 20')} AS repo, 'src/r' || {s('s_suppkey % 50')} || '.js' AS path, {pick('s_nationkey', ['sqli', 'xss', 'ssrf'])} AS attack_class FROM supplier
+"""
+VIEWS["spec_ops"] = f"""
+SELECT 'repo' || {s('user_id % 20')} AS repo, {pick('event_id', ['get', 'post', 'put', 'head'])} AS method,
+  CASE event_type WHEN 'signup' THEN '/Signup/' || {s('event_id % 400')} || '/' WHEN 'error' THEN '/api/upload/' || {s('event_id % 400')} || '/:id' ELSE '/only/spec/' || {s('event_id % 20')} END AS path FROM events WHERE event_id % 3 = 1
+"""
+# Feeds and graph.
+VIEWS["epss"] = "SELECT 'CVE-2024-' || lpad(" + s("p_partkey") + ", 5, '0') AS cve, p_size / 50.0 AS epss, p_size / 60.0 AS percentile FROM part WHERE p_partkey % 3 <> 0"
+VIEWS["kev"] = "SELECT 'CVE-2024-' || lpad(" + s("p_partkey") + ", 5, '0') AS cve FROM part WHERE p_brand = 'Brand#7'"
+VIEWS["intel_findings"] = f"""
+SELECT 'repo' || {s('o_custkey % 40')} AS repo, o_orderkey AS finding_id, 'CVE-2024-' || lpad({s('o_orderkey % 2500')}, 5, '0') AS cve, cast(o_custkey % 50 / 60.0 AS double) AS epss, false AS kev,
+  {pick('o_orderkey', ['open', 'acknowledged'])} AS status, o_orderkey % 5 <> 0 AS has_intel,
+  CASE WHEN o_orderkey % 7 = 1 THEN NULL WHEN o_orderkey % 7 = 2 THEN date '2026-01-01' ELSE date '2025-01-01' END AS intel_epss_date, date '2025-01-01' AS intel_kev_date FROM orders
+"""
+VIEWS["graph_nodes"] = f"""
+SELECT 'g' || {s('c_nationkey')} AS repo, 'c' || {s('c_custkey')} AS id, 'src/lib' || {s('c_custkey % 90')} || '/m' || {s('c_custkey')} || '.py' AS source_file, c_name AS label, c_mktsegment AS community FROM customer
+"""
+# Each module depends on the one with half its number: a forest whose depth grows with the data.
+VIEWS["graph_edges"] = f"""
+SELECT 'g' || {s('a.c_nationkey')} AS repo, 'c' || {s('a.c_custkey')} AS source, 'c' || {s('b.c_custkey')} AS target, CASE WHEN a.c_custkey % 11 = 0 THEN 'contains' ELSE 'imports' END AS relation
+FROM customer a JOIN customer b ON b.c_custkey = cast(floor(a.c_custkey / 2) AS bigint) AND b.c_nationkey = a.c_nationkey AND a.c_custkey > 0
+UNION ALL SELECT 'g' || {s('a.c_nationkey')}, 'c' || {s('a.c_custkey')}, 'c' || {s('b.c_custkey')}, 'calls' FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey - 25 AND b.c_nationkey = a.c_nationkey
+"""
+VIEWS["graph_findings"] = f"""
+SELECT 'g' || {s('c_nationkey')} AS repo, c_custkey AS finding_id, CASE c_custkey % 4 WHEN 0 THEN 'src/lib' || {s('c_custkey % 90')} || '/m' || {s('c_custkey')} || '.py:12' WHEN 1 THEN 'repo/src/lib' || {s('c_custkey % 90')} || '/m' || {s('c_custkey')} || '.py'
+  WHEN 2 THEN 'other/m' || {s('c_custkey')} || '.py' ELSE '(headers)' END AS location FROM customer WHERE c_custkey % 5 < 3
+"""
+# Runtime observations.
+VIEWS["observations"] = f"""
+SELECT 'repo' || {s('user_id % 20')} AS repo, 't' || {s('user_id % 60')} AS target, event_id AS obs_id, CASE WHEN event_id % 3 = 0 THEN 'svc' || {s('event_id % 2')} END AS service_id,
+  {pick('event_id', ['GET', 'POST', 'PUT', 'DELETE', 'ANY'])} AS method, '/signup/' || {s('event_id % 400')} AS path, 'src/r' || {s('event_id % 50')} || '.js' AS code_path,
+  CASE WHEN user_id % 60 = 3 THEN NULL WHEN user_id % 60 = 4 THEN 200 ELSE cast(CASE event_id % 8 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 302 WHEN 4 THEN 404 WHEN 5 THEN 500 WHEN 6 THEN 422 ELSE 206 END AS int) END AS status,
+  CASE WHEN event_id % 13 = 0 THEN NULL ELSE cast(event_id % 5 AS int) END AS bytes, event_id % 17 = 0 AS soft_deny, 'seen' AS verdict FROM events
+"""
+VIEWS["tenant_probes"] = f"""
+SELECT 'repo' || {s('l_suppkey % 20')} AS repo, '/api/t' || {s('l_orderkey')} AS path, {pick('l_suppkey', ['A-B', 'B-A'])} AS direction, x.role,
+  cast(CASE WHEN x.role = 'anonymous' THEN CASE WHEN l_partkey % 5 = 0 THEN 200 ELSE 401 END WHEN x.role = 'attacker' THEN CASE l_partkey % 4 WHEN 0 THEN 403 WHEN 1 THEN 500 ELSE 200 END ELSE 200 END AS int) AS status,
+  CASE WHEN x.role = 'owner' THEN l_partkey % 9 <> 0 WHEN x.role = 'attacker' THEN l_partkey % 3 = 0 WHEN x.role = 'repeat' THEN l_partkey % 2 = 0 ELSE false END AS marker_match
+FROM lineitem CROSS JOIN (VALUES ('owner'), ('anonymous'), ('attacker'), ('repeat')) AS x(role) WHERE l_linenumber = 1
+"""
+VIEWS["dast_findings"] = f"""
+SELECT o_orderkey AS finding_id, {pick('o_orderkey', ['xss', 'sqli', 'missing-csp'])} AS attack_class, 'app' || {s('o_custkey % 5')} AS application_id, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE 'b' || {s('o_orderkey % 2')} END AS build_id,
+  {pick('o_orderkey', ['anonymous', 'alice', 'anonymous', 'bob'])} AS identity, '/p' || {s('o_orderkey % 60')} AS endpoint, 'GET' AS method, {pick('o_orderkey', ['q', ''])} AS parameter FROM orders
+"""
+VIEWS["dast_alerts"] = f"""
+SELECT {pick('l_orderkey', ['40012', '40018', '10038', '90001'])} AS plugin_id, CASE WHEN l_orderkey % 8 = 3 THEN 'xss' END AS attack_class, 'app' || {s('l_suppkey % 5')} AS application_id, 'b' || {s('l_orderkey % 2')} AS build_id,
+  {pick('l_orderkey', ['anonymous', 'alice', 'anonymous', 'bob'])} AS identity, '/p' || {s('l_orderkey % 60')} AS endpoint, 'GET' AS method, {pick('l_orderkey', ['q', ''])} AS parameter, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey % 3 = 1 END AS auth_verified
+FROM lineitem WHERE l_linenumber = 2
+"""
+VIEWS["dast_checks"] = f"""
+SELECT {pick('l_orderkey', ['40012', '40018', '10038'])} AS plugin_id, {pick('l_orderkey', ['xss', 'sqli', 'missing-csp'])} AS attack_class, 'app' || {s('l_suppkey % 5')} AS application_id, 'b' || {s('l_orderkey % 2')} AS build_id,
+  {pick('l_orderkey', ['anonymous', 'alice', 'anonymous', 'bob'])} AS identity, '/p' || {s('l_orderkey % 60')} AS endpoint, 'GET' AS method, {pick('l_orderkey', ['q', ''])} AS parameter, l_partkey % 4 <> 0 AS auth_verified,
+  l_partkey % 5 <> 0 AS completed, l_partkey % 6 <> 0 AS coverage_complete, {pick('l_partkey', ['not-vulnerable', 'not-vulnerable', 'vulnerable'])} AS outcome FROM lineitem WHERE l_linenumber = 3
+"""
+VIEWS["class_map"] = "SELECT * FROM (VALUES ('40012', 'xss'), ('40018', 'sqli'), ('10038', 'missing-csp'), ('90001', 'xss'), ('90001', 'sqli')) AS m(plugin_id, attack_class)"
+# Files with sizes, and coverage inputs.
+VIEWS["sized_files"] = f"""
+SELECT 'repo' || {s('o_custkey % 8')} AS repo, {pick('o_orderkey', ['src', 'node_modules/x', 'a/build/out', '.local', '.github', 'pkg/tests'])} || '/f' || {s('o_orderkey')} || {pick('o_custkey', ['.js', '.py', '.bin', '.min.js'])} AS path,
+  cast(floor(o_totalprice) AS bigint) AS n_bytes, md5({s('o_orderkey')}) AS sha256, o_custkey % 3 <> 2 AS analysable FROM orders
+"""
+VIEWS["detector_outcomes"] = "SELECT 'repo' || cast(c_custkey % 8 AS string) AS repo, 'd' || cast(c_custkey AS string) AS detector, CASE WHEN c_custkey % 8 = 3 AND c_custkey % 50 = 11 THEN 'failed' ELSE 'completed' END AS outcome FROM customer"
+VIEWS["requested_paths"] = f"SELECT 'repo' || {s('s_suppkey % 60')} AS repo, {pick('s_suppkey', ['src', 'docs/setup.md', 'tests/unit/', 'nope', 'src/app/handler.js'])} AS entry FROM supplier WHERE s_suppkey % 60 < 45"
+"""end of views"""
