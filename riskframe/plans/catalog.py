@@ -13,10 +13,10 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _needs(sql: str, found: list) -> list:
+def _needs(sql: str, found: list, within: tuple = ()) -> list:
     for name, body in VIEWS.items():
-        if name not in found and re.search(rf"\b{name}\b", sql):
-            _needs(body, found)
+        if name not in found and name not in within and re.search(rf"\b{name}\b", sql):
+            _needs(body, found, (*within, name))
             found.append(name)
     return found
 

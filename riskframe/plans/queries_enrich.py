@@ -23,9 +23,9 @@ from .queries_ledger import conf, sev
 @query("j07_enrich_exploitability", """
 WITH f AS (SELECT finding_id, nullif(regexp_extract(title, 'CVE-[0-9]{4}-[0-9]{4,}'), '') AS cve_id FROM ledger)
 SELECT f.finding_id, f.cve_id, round(e.epss, 6) AS epss, CASE WHEN f.cve_id IS NOT NULL THEN k.cve IS NOT NULL END AS kev, CASE WHEN k.cve IS NOT NULL THEN 'known-exploited' WHEN e.epss >= 0.5 THEN 'high' WHEN e.epss IS NOT NULL THEN 'scored' END AS exploit_level
-FROM f LEFT JOIN epss e ON e.cve = f.cve_id LEFT JOIN kev k ON k.cve = f.cve_id""")
+FROM f LEFT JOIN epss_feed e ON e.cve = f.cve_id LEFT JOIN kev_feed k ON k.cve = f.cve_id""")
 def _(t):
-    return en.enrich_exploitability(t.ledger, t.epss, t.kev).select("finding_id", "cve_id", F.round("epss", 6).alias("epss"), "kev", "exploit_level")
+    return en.enrich_exploitability(t.ledger, t.epss_feed, t.kev_feed).select("finding_id", "cve_id", F.round("epss", 6).alias("epss"), "kev", "exploit_level")
 
 
 @query("j08_enrich_reachability", """
@@ -61,19 +61,19 @@ def _(t):
 
 
 REASSESS = """j AS (SELECT f.*, e.epss AS ne, k.cve IS NOT NULL AS nk, CASE WHEN has_intel AND intel_epss_date IS NULL THEN 'incomplete-provenance' WHEN has_intel AND intel_epss_date > DATE '2025-06-01' THEN 'older-snapshot' END AS blocked
- FROM intel_findings f LEFT JOIN epss e ON e.cve = f.cve LEFT JOIN kev k ON k.cve = f.cve),
+ FROM intel_findings f LEFT JOIN epss_feed e ON e.cve = f.cve LEFT JOIN kev_feed k ON k.cve = f.cve),
  r AS (SELECT *, blocked IS NULL AND status = 'acknowledged' AND (nk OR coalesce(ne, 0) >= 0.5 AND epss < 0.5) AS reopened FROM j)"""
 
 
 @query("j18_reassess", f"""WITH {REASSESS} SELECT finding_id, blocked, CASE WHEN reopened THEN 'open' ELSE status END AS status, round(CASE WHEN blocked IS NULL THEN ne ELSE epss END, 6) AS epss, CASE WHEN blocked IS NULL THEN nk ELSE kev END AS kev, reopened FROM r""")
 def _(t):
-    out, _ev = en.reassess(t.intel_findings, t.epss, t.kev, F.lit("2025-06-01").cast("date"), F.lit("2025-06-01").cast("date"))
+    out, _ev = en.reassess(t.intel_findings, t.epss_feed, t.kev_feed, F.lit("2025-06-01").cast("date"), F.lit("2025-06-01").cast("date"))
     return out.select("finding_id", "blocked", "status", F.round("epss", 6).alias("epss"), "kev", "reopened")
 
 
 @query("j18_reassess_events", f"""WITH {REASSESS} SELECT finding_id, 'newly-exploited' AS kind FROM r WHERE blocked IS NULL AND nk UNION ALL SELECT finding_id, 'epss-changed' FROM r WHERE blocked IS NULL AND ne IS DISTINCT FROM epss UNION ALL SELECT finding_id, 'reopened' FROM r WHERE reopened""")
 def _(t):
-    return en.reassess(t.intel_findings, t.epss, t.kev, F.lit("2025-06-01").cast("date"), F.lit("2025-06-01").cast("date"))[1].select("finding_id", "kind")
+    return en.reassess(t.intel_findings, t.epss_feed, t.kev_feed, F.lit("2025-06-01").cast("date"), F.lit("2025-06-01").cast("date"))[1].select("finding_id", "kind")
 
 
 @query("f15_freshness", """
