@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,13 @@ def ensure_checkpoint_dir(spark) -> None:
     sc.setCheckpointDir(named)
 
 
+def scratch_dir(spark, name: str) -> str:
+    """A fresh folder beside the checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/riskframe-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -157,7 +157,7 @@ def _registry(t):
 
 @query("j17_registry_class", """
 WITH d AS (SELECT DISTINCT 'repo' || (l_suppkey % 30) AS repo, l_suppkey % 30 AS r, CASE l_partkey % 2 WHEN 0 THEN 'npm' ELSE 'pip' END AS ecosystem, 'lib' || (l_partkey % 50) AS name, l_partkey % 50 AS k FROM lineitem WHERE l_partkey % 6 IN (4, 5)),
- o AS (SELECT * FROM d WHERE NOT (ecosystem = 'pip' AND r % 3 = 0))
+ o AS (SELECT * FROM d WHERE NOT (ecosystem = 'pip' AND r % 3 = 0) AND NOT (ecosystem = 'pip' AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey % 30 = r AND l_partkey % 6 = 1 AND l_partkey % 9 = k)))
 SELECT repo, ecosystem, name, CASE k % 3 WHEN 0 THEN 'exists' WHEN 1 THEN 'missing' ELSE 'unknown' END AS state, CASE WHEN k % 3 = 1 THEN CASE WHEN r % 2 = 0 THEN 'unpublished-or-removed' ELSE 'nonexistent' END END AS class FROM o""")
 def _(t):
     index = t.sql("SELECT DISTINCT x.e AS ecosystem, 'lib' || cast(p_partkey % 50 AS string) AS name, p_partkey % 50 % 3 = 0 AS known FROM part CROSS JOIN (VALUES ('npm'), ('pip')) AS x(e) WHERE p_partkey % 50 % 3 < 2")
@@ -331,7 +331,7 @@ def _(t):
 
 @query("s16_write_envelope", "SELECT repo, count(*) AS findings, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical FROM ledger GROUP BY 1")
 def _(t):
-    e = ex.envelopes(t.ledger, size=50).select("repo", F.from_json("json", "summary struct<total: bigint, critical: bigint>, findings array<struct<finding_id: bigint>>").alias("d"))
+    e = ex.envelopes(life.annotate(t.ledger), size=50).select("repo", F.from_json("json", "summary struct<total: bigint, critical: bigint>, findings array<struct<finding_id: bigint>>").alias("d"))
     return e.groupBy("repo").agg(F.sum(F.size("d.findings")).alias("findings"), F.max("d.summary.total").alias("total"), F.max("d.summary.critical").alias("critical"))
 
 
@@ -393,14 +393,26 @@ def _(t):
     return fnd.top_findings(ledger, 15, tiebreak=("fingerprint", "location")).select("repo", "position", "fingerprint", "attack_class", "severity", "confidence", "p", "basis", "location")
 
 
-@query("flagship_value_leaks", None)
+def _flagship_sql():
+    from ..operators.detect import rules as R
+    from .queries_detect import rules_sql
+    from .queries_ledger import CALIBRATED, CELLS
+    est = CALIBRATED.replace("FROM finding_labels f", "FROM v f").replace("f.doc_id, f.attack_class", "f.doc_id, f.rule_id, f.severity, f.value_digest, f.copies, f.first_doc, f.attack_class").replace("f.is_real,", "")
+    return f"""WITH {CELLS}, occ AS ({rules_sql("doc_texts", R.TEXT_SHAPES)}),
+ g AS (SELECT repo, rule_id, severity, sha256(expression) AS value_digest, count(*) AS copies, min(path) AS first_doc FROM occ GROUP BY 1, 2, 3, 4),
+ n AS (SELECT attack_class, confidence, count(*) AS n FROM finding_labels GROUP BY 1, 2), b AS (SELECT attack_class, arg_max(confidence, (n, confidence)) AS confidence FROM n GROUP BY 1),
+ v AS (SELECT g.repo AS doc_id, g.rule_id, g.severity, g.value_digest, g.copies, g.first_doc, g.repo AS attack_class, b.confidence FROM g LEFT JOIN b ON b.attack_class = g.repo), {est},
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {sev('severity')} DESC, {conf('confidence')} DESC, value_digest, rule_id) AS position FROM e)
+SELECT doc_id AS repo, position, rule_id, severity, value_digest, copies, first_doc, p, ci_lo, ci_hi, basis FROM r WHERE position <= 15"""
+
+
+@query("flagship_value_leaks", _flagship_sql())
 def _(t):
     """Sources ranked by de-duplicated value leaks with the probability that a leak is real."""
     from ..operators.detect import packs
     occ = packs.text_leaks(t.doc_texts)
-    dedup = occ.groupBy("repo", "rule_id", "severity", "attack_class", F.sha2("expression", 256).alias("value_digest")).agg(F.count("*").alias("copies"), F.min("path").alias("first_doc"))
-    cells = wilson_cells(t.finding_labels)
-    by_source = t.finding_labels.groupBy("attack_class", "confidence").agg(F.count("*").alias("_n")).groupBy("attack_class").agg(F.max_by("confidence", "_n").alias("confidence"))
-    f = dedup.join(by_source.withColumnRenamed("attack_class", "repo"), "repo", "left").withColumn("attack_class", F.col("repo"))
-    f = calibrate(f.withColumn("finding_id", F.col("value_digest")), cells)
-    return fnd.top_findings(f, 15).select("repo", "position", "rule_id", "severity", "value_digest", "copies", "first_doc", "p", "ci_lo", "ci_hi", "basis")
+    dedup = occ.groupBy("repo", "rule_id", "severity", F.sha2("expression", 256).alias("value_digest")).agg(F.count("*").alias("copies"), F.min("path").alias("first_doc"))
+    by_source = t.finding_labels.groupBy("attack_class", "confidence").agg(F.count("*").alias("_n")).groupBy("attack_class").agg(F.max_by("confidence", F.struct("_n", "confidence")).alias("confidence"))
+    f = dedup.withColumn("attack_class", F.col("repo")).join(by_source, "attack_class", "left")
+    f = calibrate(f, wilson_cells(t.finding_labels))
+    return fnd.top_findings(f, 15, tiebreak=("value_digest", "rule_id")).select("repo", "position", "rule_id", "severity", "value_digest", "copies", "first_doc", "p", "ci_lo", "ci_hi", "basis")
