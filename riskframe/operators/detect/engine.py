@@ -54,20 +54,25 @@ def matches(text: Column, pattern: str) -> Column:
                         F.split(text, pattern, -1).alias("gaps"))
 
 
-def _rule_hits(text: Column, rule: Rule) -> Column:
+def _rule_hits(text: Column, rule: Rule, shared: dict) -> Column:
     def row(e, i):
         return F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.attack_class).alias("attack_class"),
                         F.lit(rule.severity).alias("severity"), i.cast("int").alias("i"), e["hits"].alias("expression"),
                         newlines(e["gaps"]).alias("before"), newlines(e["hits"]).alias("inside"))
-    cond = has_any(text, rule.literals)
+    cond = F.lit(True)
+    if rule.literals:
+        cond = None
+        for word in rule.literals:
+            c = F.col(shared[word]) if word in shared else F.contains(text, F.lit(word))
+            cond = c if cond is None else cond | c
     if rule.suffixes:
         ends = None
         for sfx in rule.suffixes:
             c = F.endswith("path", F.lit(sfx))
             ends = c if ends is None else ends | c
-        cond = cond & ends
+        cond = ends & cond
     if rule.where:
-        cond = cond & F.col(rule.where)
+        cond = F.col(rule.where) & cond
     found = F.filter(F.transform(matches(text, rule.pattern), row), lambda h: h["expression"].isNotNull())
     return F.when(cond, found).otherwise(F.array().cast(f"array<{HIT}>"))
 
@@ -82,24 +87,32 @@ def with_roles(files: DataFrame) -> DataFrame:
             .withColumn("is_server", ~(F.col("is_test") | F.col("is_script") | F.col("is_client"))))
 
 
-def scan_rules(files: DataFrame, rules) -> DataFrame:
+def scan_rules(files: DataFrame, rules, carry: dict | None = None) -> DataFrame:
     """occurrences(repo, path, line, rule_id, attack_class, severity, expression, ordinal, semantic_id).
 
     ``files(repo, path, content)`` plus any flag columns the rules use. The line is counted from the
     text between matches; ordinal counts equal expressions of a rule within the file. Both windows run
-    inside one file, over matches only, and share one shuffle."""
-    text = F.col("content")
-    hits = files.select("repo", "path", F.explode(F.flatten(F.array(*[_rule_hits(text, r) for r in rules]))).alias("h")).select("repo", "path", "h.*")
+    inside one file, over matches only, and share one shuffle. ``carry`` adds columns computed from a
+    file with matches in the same pass. A literal of several rules is searched once per file."""
+    text, carry = F.col("content"), carry or {}
+    used = [w for r in rules for w in set(r.literals)]
+    shared = {w: f"_l{i}" for i, w in enumerate(sorted({w for w in used if used.count(w) > 1}))}
+    flagged = files.select("*", *[F.contains(text, F.lit(w)).alias(n) for w, n in shared.items()])
+    found = flagged.select("repo", "path", "content", F.flatten(F.array(*[_rule_hits(text, r, shared) for r in rules])).alias("_h"))
+    # An inner explode would make Spark infer a filter on the array and evaluate it again for that filter.
+    hits = found.select("repo", "path", *[F.when(F.size("_h") > 0, e).alias(n) for n, e in carry.items()], F.explode_outer("_h").alias("h")).filter("h IS NOT NULL").select("repo", "path", *carry, "h.*")
     by_rule = W.partitionBy("repo", "path", "rule_id").orderBy("i")
     upto = by_rule.rowsBetween(W.unboundedPreceding, W.currentRow)
     same = W.partitionBy("repo", "path", "rule_id", "expression").orderBy("i")
-    out = (hits.withColumn("line", (1 + F.sum(F.col("before") + F.col("inside")).over(upto) - F.col("inside")).cast("int"))
+    # Hashing by file alone satisfies both windows, so the second one needs no shuffle of its own.
+    out = (hits.repartition("repo", "path")
+           .withColumn("line", (1 + F.sum(F.col("before") + F.col("inside")).over(upto) - F.col("inside")).cast("int"))
            .withColumn("ordinal", (F.row_number().over(same) - 1).cast("int")))
     for r in rules:
         if r.exclude:
             out = out.filter(~((F.col("rule_id") == r.rule_id) & F.col("expression").rlike(r.exclude)))
     ident = F.concat_ws(":", "attack_class", sha(F.regexp_replace("expression", r"\s+", "")), F.col("ordinal").cast("string"))
-    return out.select("repo", "path", "line", "rule_id", "attack_class", "severity", "expression", "ordinal", ident.alias("semantic_id"))
+    return out.select("repo", "path", "line", "rule_id", "attack_class", "severity", "expression", "ordinal", ident.alias("semantic_id"), *carry)
 
 
 def flag_table(files: DataFrame, flags: dict, keep=()) -> DataFrame:

@@ -18,14 +18,15 @@ def sinks(files: DataFrame, gates: DataFrame | None = None) -> DataFrame:
     src = with_roles(files)
     if gates is None:
         return scan_rules(src, R.SINKS)
-    occ = scan_rules(src, R.SINKS)
-    asks = src.filter(has_any(F.col("content"), ("req", "searchParams", "nextUrl", "params", "ctx.", "body.", "user")) & F.col("content").rlike(R.REQUEST)).select("repo", "path", F.lit(True).alias("_req"))
+    # Whether the file reads a request is decided in the same pass over its text.
+    asks = has_any(F.col("content"), ("req", "searchParams", "nextUrl", "params", "ctx.", "body.", "user")) & F.col("content").rlike(R.REQUEST)
+    occ = scan_rules(src, R.SINKS, carry={"_req": asks})
     gated = {r.rule_id: r.gate for r in R.SINKS if r.gate}
-    j = occ.join(gates, "repo", "left").join(asks, ["repo", "path"], "left")
+    j = occ.join(gates, "repo", "left")
     ok = F.lit(True)
     for rule_id, gate in gated.items():
         ok = ok & ((F.col("rule_id") != rule_id) | F.coalesce(f"has_{gate}", F.lit(False)) | F.coalesce("_req", F.lit(False)))
-    return j.filter(ok).select(*occ.columns)
+    return j.filter(ok).select(*[c for c in occ.columns if c != "_req"])
 
 
 def nearest_ancestor(files: DataFrame, roots: DataFrame, root_cols=()) -> DataFrame:
@@ -344,21 +345,22 @@ def taint_events(files: DataFrame) -> DataFrame:
     Scope is the number of top-level function starts before the line. String literals are dropped
     before identifiers are read; template interpolations count as code."""
     l = files.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    w = W.partitionBy("repo", "path").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    l = l.withColumn("scope", F.sum(F.col("text").rlike(r"^(?:async\s+)?(?:function|def|export)\b").cast("int")).over(w))
-    l = l.filter(F.col("text").rlike(ASSIGN) | F.col("text").rlike(SINK_CALL))
+    starts = F.col("text").rlike(r"^(?:async\s+)?(?:function|def|export)\b")
+    is_assign, is_call = F.col("text").rlike(ASSIGN), F.col("text").rlike(SINK_CALL)
 
     def code(c):
         return F.regexp_replace(F.regexp_replace(c, r"'[^']{0,400}'|\"[^\"]{0,400}\"", ""), r"`([^`$]{0,200})\$\{", " ")
-    rhs = F.regexp_extract("text", ASSIGN, 3)
-    call = F.col("text").rlike(SINK_CALL)
-    arg = F.regexp_extract("text", SINK_CALL, 2)
-    assign = F.struct(F.lit("assign").alias("kind"), F.regexp_extract("text", ASSIGN, 1).alias("var"), code(rhs).alias("expr"),
-                      ((F.regexp_extract("text", ASSIGN, 2) == "+") | F.col("text").rlike(r"^(?:\t|    ){2,}")).alias("conditional"))
-    sink = F.struct(F.lit("sink").alias("kind"), F.regexp_extract("text", SINK_CALL, 1).alias("var"), code(arg).alias("expr"), F.lit(False).alias("conditional"))
-    both = F.filter(F.array(F.when(F.col("text").rlike(ASSIGN), assign), F.when(call, sink)), lambda e: e.isNotNull())
-    e = l.select("repo", "path", "scope", "pos", F.explode(both).alias("e")).select("repo", "path", "scope", "pos", "e.*")
-    return (e.withColumn("source", F.col("expr").rlike(R.REQUEST)).withColumn("refs", F.array_distinct(F.regexp_extract_all("expr", F.lit(IDENT), F.lit(1)))).drop("expr"))
+
+    def event(kind, var, expr, conditional):
+        e = code(expr)
+        return F.struct(F.lit(kind).alias("kind"), var.alias("var"), conditional.alias("conditional"), e.rlike(R.REQUEST).alias("source"), F.array_distinct(F.regexp_extract_all(e, F.lit(IDENT), F.lit(1))).alias("refs"))
+    joins = (F.regexp_extract("text", ASSIGN, 2) == "+") | F.col("text").rlike(r"^(?:\t|    ){2,}")
+    both = F.filter(F.array(F.when(is_assign, event("assign", F.regexp_extract("text", ASSIGN, 1), F.regexp_extract("text", ASSIGN, 3), joins)),
+                            F.when(is_call, event("sink", F.regexp_extract("text", SINK_CALL, 1), F.regexp_extract("text", SINK_CALL, 2), F.lit(False)))), lambda e: e.isNotNull())
+    # Only lines that start a scope or hold an event are shuffled, and without their text.
+    small = l.filter(starts | is_assign | is_call).select("repo", "path", "pos", starts.cast("int").alias("_s"), both.alias("_e"))
+    w = W.partitionBy("repo", "path").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return small.withColumn("scope", F.sum("_s").over(w)).select("repo", "path", "scope", "pos", F.explode("_e").alias("e")).select("repo", "path", "scope", "pos", "e.*")
 
 
 def taint_flows(files: DataFrame, max_hops: int = 32) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import ident, ranks, tiers
+from .core import cut_lineage
 
 # Order and types of the columns every normaliser returns.
 COLUMNS = {
@@ -106,7 +107,7 @@ def norm_gitleaks(reports: DataFrame) -> DataFrame:
     d = (reports.filter(F.col("tool").isin("gitleaks", "gitleaks-dir"))
          .select("repo", "snapshot", "tool", F.when(F.ltrim("raw").startswith("["), F.from_json("raw", rows))
                  .otherwise(F.from_json("raw", f"findings {rows}")["findings"]).alias("d")))
-    g = _each(d, F.col("d"))
+    g = _each(d, F.coalesce("d", F.array().cast(rows)))
     x = F.col("x")
     file, rule, line = _or(x["File"]), _or(x["RuleID"]), _or(x["StartLine"], 0)
     g = g.withColumn("t", tiers.secret_severity(file, x["Secret"], x["Match"], rule, F.lit("HIGH")))
@@ -250,6 +251,7 @@ def report_validity(reports: DataFrame) -> DataFrame:
     return r.select("repo", "snapshot", "tool", outcome.alias("outcome"), scoped.cast("int").alias("rule_errors"), (total - scoped).cast("int").alias("errors"))
 
 
+RULES = "array<struct<id string, messageStrings map<string, struct<text string>>, defaultConfiguration struct<level string>, properties map<string, string>>>"
 SARIF = """runs array<struct<tool struct<driver struct<name string, guid string, rules array<struct<id string,
   messageStrings map<string, struct<text string>>, defaultConfiguration struct<level string>, properties map<string, string>>>>>,
   automationDetails struct<id string>, results array<struct<ruleId string, ruleIndex int, kind string, level string, baselineState string,
@@ -285,20 +287,21 @@ def safe_import_path(uri: Column) -> Column:
 def norm_sarif(reports: DataFrame) -> DataFrame:
     """One row per SARIF result: accepted findings, observations, and rejected rows with the reason.
 
-    Rules are joined by index or id, so a rule table is never repeated per result. ``identity`` binds
+    Rules are looked up by index or id inside the run's row, so only a result's own rule leaves it. ``identity`` binds
     tool, rule, automation id, file and the producer's fingerprints; without fingerprints the row is
     bound to its place in the report. Colliding identities get an occurrence number and a flag."""
-    d = (reports.filter("tool = 'sarif'").select("repo", "snapshot", "tool", F.sha2("raw", 256).alias("rid"), F.from_json("raw", SARIF).alias("d")))
-    runs = d.select("repo", "snapshot", "tool", "rid", F.posexplode("d.runs").alias("run", "r"))
+    d = reports.filter("tool = 'sarif'").select("repo", "snapshot", F.sha2("raw", 256).alias("rid"), F.from_json("raw", SARIF).alias("d"))
+    runs = d.select("repo", "snapshot", "rid", F.posexplode("d.runs").alias("run", "r"))
     at = ["repo", "snapshot", "rid", "run"]
-    rules = runs.select(*at, F.posexplode("r.tool.driver.rules").alias("rule_pos", "u"))
-    by_pos = rules.select(*at, F.col("rule_pos").alias("_ix"), F.col("u").alias("_ru"))
-    by_id = (rules.groupBy(*at, F.col("u.id").alias("_id")).agg(F.count(F.lit(1)).alias("_dups"), F.min_by("u", "rule_pos").alias("_rd")))
-    res = runs.select(*at, "tool", F.col("r.tool.driver.name").alias("driver"), F.coalesce("r.tool.driver.guid", F.lit("")).alias("guid"),
-                      F.coalesce("r.automationDetails.id", F.lit("")).alias("automation"), F.posexplode("r.results").alias("pos", "x"))
-    res = res.withColumn("_ix", F.col("x.ruleIndex")).withColumn("_id", F.col("x.ruleId"))
-    j = res.join(by_pos, [*at, "_ix"], "left").join(by_id, [*at, "_id"], "left")
+    rules = F.coalesce("r.tool.driver.rules", F.array().cast(RULES))
+
+    def with_rule(x):
+        same = F.filter(rules, lambda u: u["id"] == x["ruleId"])
+        return F.struct(x.alias("x"), F.when(x["ruleIndex"] >= 0, F.get(rules, x["ruleIndex"])).alias("_ru"), F.size(same).alias("_dups"), F.get(same, F.lit(0)).alias("_rd"))
+    j = runs.select(*at, F.col("r.tool.driver.name").alias("driver"), F.coalesce("r.tool.driver.guid", F.lit("")).alias("guid"),
+                    F.coalesce("r.automationDetails.id", F.lit("")).alias("automation"), F.posexplode(F.transform("r.results", with_rule)).alias("pos", "y")).select("*", "y.*")
     x = F.col("x")
+    j = j.withColumn("_ix", x["ruleIndex"]).withColumn("_id", x["ruleId"])
     rule = F.coalesce("_ru", F.when(F.col("_ix").isNull(), F.col("_rd")))
     kind = _or(x["kind"], "fail")
     level = F.coalesce(x["level"], F.when(kind == "fail", _or(rule["defaultConfiguration"]["level"], "warning")).otherwise(F.lit("none")))
@@ -309,18 +312,18 @@ def norm_sarif(reports: DataFrame) -> DataFrame:
     text = F.coalesce(x["message"]["text"], rule["messageStrings"][x["message"]["id"]]["text"])
     loc = F.get(x["locations"], F.lit(0))["physicalLocation"]
     j = j.select(
-        *at, "tool", "driver", "guid", "automation", "pos", F.coalesce(rule["id"], F.col("_id")).alias("rule_id"), kind.alias("kind"), level.alias("level"),
-        F.when((kind == "fail") & score.isNotNull(), by_score).otherwise(by_level).alias("severity"), text.alias("_tpl"), x["message"]["arguments"].alias("_args"),
+        *at, "driver", "guid", "automation", "pos", F.coalesce(rule["id"], F.col("_id")).alias("rule_id"), kind.alias("kind"), level.alias("level"),
+        F.when((kind == "fail") & score.isNotNull(), by_score).otherwise(by_level).alias("severity"), expand_message(text, x["message"]["arguments"]).alias("title"), (F.size(F.coalesce(x["message"]["arguments"], F.array())) > 0).alias("_has_args"),
         F.when(F.size(F.coalesce(x["locations"], F.array())) > 0, safe_import_path(loc["artifactLocation"]["uri"])).alias("_p"),
         F.coalesce(loc["region"]["startLine"], F.lit(0)).alias("line"), _fingerprint_text(x).alias("_fps"),
         (F.size(F.coalesce(x["suppressions"], F.array())) > 0).alias("natively_suppressed"), x["baselineState"].alias("_bs"),
-        F.col("_ix"), F.col("_id"), F.col("_ru"), F.coalesce("_dups", F.lit(0)).alias("_dups"), raw_score.alias("_rs"), score.alias("_score"))
-    reason = (F.when(F.col("_ix").isNotNull() & F.col("_ru").isNull(), F.lit("rule index is out of range"))
-              .when(F.col("_ix").isNotNull() & F.col("_id").isNotNull() & (F.col("_id") != F.col("_ru")["id"]), F.lit("rule id and index disagree"))
+        "_ix", "_id", F.col("_ru.id").alias("_rid"), F.col("_ru").isNull().alias("_noru"), "_dups", raw_score.alias("_rs"), score.alias("_score"))
+    reason = (F.when(F.col("_ix").isNotNull() & F.col("_noru"), F.lit("rule index is out of range"))
+              .when(F.col("_ix").isNotNull() & F.col("_id").isNotNull() & (F.col("_id") != F.col("_rid")), F.lit("rule id and index disagree"))
               .when(F.col("_ix").isNull() & (F.col("_dups") > 1), F.lit("duplicate rule definitions"))
               .when(F.coalesce("rule_id", F.lit("")) == "", F.lit("no rule id"))
-              .when(F.coalesce("_tpl", F.lit("")) == "", F.lit("no message"))
-              .when(expand_message(F.col("_tpl"), F.col("_args")).rlike(r"\{[0-9]{1,6}\}") & (F.size("_args") > 0), F.lit("missing message argument"))
+              .when(F.coalesce("title", F.lit("")) == "", F.lit("no message"))
+              .when(F.col("title").rlike(r"\{[0-9]{1,6}\}") & F.col("_has_args"), F.lit("missing message argument"))
               .when(~F.col("kind").isin("fail", "pass", "open", "review", "notApplicable", "informational"), F.lit("invalid kind"))
               .when(F.col("_bs").isNotNull() & ~F.col("_bs").isin("new", "unchanged", "updated", "absent"), F.lit("invalid baseline state"))
               .when(~F.col("level").isin("error", "warning", "note", "none"), F.lit("invalid level"))
@@ -333,8 +336,10 @@ def norm_sarif(reports: DataFrame) -> DataFrame:
     j = j.withColumn("reason", reason).withColumn("identity", F.when(reason.isNull(), identity))
     outcome = F.when(F.col("reason").isNotNull(), F.lit("rejected")).when(F.col("kind") == "fail", F.lit("finding")).otherwise(F.lit("observation"))
     out = j.select("repo", "snapshot", "rid", "run", "pos", outcome.alias("outcome"), "reason", "driver", "rule_id", "kind", "level", "severity",
-                   F.col("_p.path").alias("file"), "line", expand_message(F.col("_tpl"), F.col("_args")).alias("title"), "natively_suppressed",
+                   F.col("_p.path").alias("file"), "line", "title", "natively_suppressed",
                    F.when(stable, F.lit("producer-fingerprint")).otherwise(F.lit("report-local")).alias("identity_basis"), "identity")
+    # The parsed rows are narrow; writing them once is cheaper than parsing every document again.
+    out = cut_lineage(out)
     crowd = out.filter("identity IS NOT NULL").groupBy("repo", "identity").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
     return out.join(crowd, ["repo", "identity"], "left")
 

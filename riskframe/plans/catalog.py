@@ -9,6 +9,8 @@ from .testviews import VIEWS
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
+SPREAD = ["lineitem", "orders", "events", "documents", "pages", "customer", "conversations"]
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -45,7 +47,13 @@ class Tables:
         self.spark, self.path = spark, path.rstrip("/")
 
     def raw(self, name: str):
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A table. One that lies in fewer files than there are cores is spread first, as the views below
+        derive whole texts from its rows; a table of many files is read as it lies."""
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD and len(df.inputFiles()) < cores:
+            return df.repartition(cores)
+        return df
 
     def sql(self, statement: str):
         full = with_views(statement)

@@ -189,5 +189,7 @@ def _(t):
 @query("normalize_reports", None)
 def _(t):
     """Reports to one de-duplicated, confidence-labelled table."""
-    rows = nz.normalize_all(t.reports).withColumn("seq", F.xxhash64("snapshot", "file", "line", "key")).withColumn("alias", F.get("advisory_aliases", F.lit(0)))
+    from ..operators.core import scratch_dir
+    from ..sources.reports import stage_reports
+    rows = nz.normalize_all(stage_reports(t.reports, scratch_dir(t.spark, "reports"))).withColumn("seq", F.xxhash64("snapshot", "file", "line", "key")).withColumn("alias", F.get("advisory_aliases", F.lit(0)))
     return fnd.with_instance_id(fnd.with_confidence(fnd.dedupe_findings(rows))).select("repo", "fingerprint", F.array_join("tools", ",").alias("tools"), "severity", "confidence", "copies", "instance_id")

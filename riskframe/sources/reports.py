@@ -21,3 +21,12 @@ def read_scan_reports(spark: SparkSession, path: str) -> DataFrame:
     docs = raw.select(F.element_at(parts, -3).alias("repo"), F.element_at(parts, -2).alias("snapshot"),
                       F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("tool"), F.col("value").alias("raw"))
     return classify_reports(docs)
+
+
+def stage_reports(reports: DataFrame, path: str) -> DataFrame:
+    """Write the documents once, in a folder per tool, and read them back.
+
+    Each normaliser filters on the tool, so afterwards it reads its own folder only and all of them
+    together read the documents once. Not needed where the table is already laid out by tool."""
+    reports.write.mode("overwrite").partitionBy("tool").parquet(path)
+    return reports.sparkSession.read.parquet(path)
