@@ -261,8 +261,8 @@ def tenant_keys(files: DataFrame, k: int = 6, sample: int = 5) -> DataFrame:
 
     Counts are per file first; both the sums and the smallest paths are partial aggregates."""
     f = with_roles(files).filter("NOT is_test")
-    # Java alternation takes the first branch that matches; longer keys come first.
-    counts = F.filter(F.array(*[F.struct(F.lit(key).alias("key"), F.regexp_count("content", F.lit(key + r"(?!entif|entit)")).alias("n")) for key in R.TENANT_KEYS]), lambda x: x["n"] > 0)
+    counts = F.filter(F.array(*[F.when(F.contains("content", F.lit(key)), F.struct(F.lit(key).alias("key"), F.regexp_count("content", F.lit(key + r"(?!entif|entit)")).alias("n"))) for key in R.TENANT_KEYS]),
+                      lambda x: x.isNotNull() & (x["n"] > 0))
     hits = f.select("repo", "path", F.explode(counts).alias("h")).select("repo", "path", "h.key", "h.n")
     total = hits.groupBy("repo", "key").agg(F.sum("n").alias("occurrences"))
     best = top_k(total, ["repo"], [F.col("occurrences").desc(), F.col("key")], k)
@@ -363,30 +363,32 @@ def taint_events(files: DataFrame) -> DataFrame:
     return small.withColumn("scope", F.sum("_s").over(w)).select("repo", "path", "scope", "pos", F.explode("_e").alias("e")).select("repo", "path", "scope", "pos", "e.*")
 
 
-def taint_flows(files: DataFrame, max_hops: int = 32) -> DataFrame:
+def taint_flows(files: DataFrame) -> DataFrame:
     """(repo, path, scope, pos, sink, hops): sinks whose first argument may carry request data.
 
-    Reaching definitions: for a use, the last plain assignment before it and every conditional one
-    after that. Edges join uses to those definitions; taint then spreads along edges to a fixed point.
-    All joins stay inside one file and scope."""
+    A plain assignment of a variable opens a segment; conditional ones after it join that segment. A use
+    is tainted when a tainted definition of its segment lies before it, so a segment is represented by
+    the position of its first tainted definition and no definition-use pairs are listed. Taint spreads
+    to a fixed point; all joins stay inside one file and scope."""
     ev = cut_lineage(taint_events(files).withColumn("id", F.struct("pos", "kind", "var")))
     at = ["repo", "path", "scope"]
-    uses = ev.select(*at, F.col("pos").alias("upos"), F.col("id").alias("uid"), F.explode("refs").alias("var"))
-    # An update such as x += y also reads x.
-    uses = uses.unionByName(ev.filter("kind = 'assign' AND conditional").select(*at, F.col("pos").alias("upos"), F.col("id").alias("uid"), "var")).distinct()
-    defs = ev.filter("kind = 'assign'").select(*at, "var", F.col("pos").alias("dpos"), F.col("id").alias("did"), "conditional")
-    # The last plain definition before each use, by filling forward over the variable's own events.
-    line = (defs.select(*at, "var", F.col("dpos").alias("p"), F.lit(1).alias("o"), F.when(~F.col("conditional"), F.col("dpos")).alias("plain"), F.lit(None).cast("struct<pos:int,kind:string,var:string>").alias("uid"))
-            .unionByName(uses.select(*at, "var", F.col("upos").alias("p"), F.lit(0).alias("o"), F.lit(None).cast("int").alias("plain"), "uid")))
+    own = "struct<pos:int,kind:string,var:string>"
+    uses = ev.select(*at, F.explode("refs").alias("var"), F.col("pos").alias("p"), "id")
+    defs = ev.filter("kind = 'assign'").select(*at, "var", F.col("pos").alias("p"), "id", "conditional")
+    # One pass over a variable's events in order: a use looks back before the definitions of its line.
+    line = (defs.select(*at, "var", "p", F.lit(1).alias("o"), F.when(~F.col("conditional"), F.col("p")).alias("plain"), F.lit(None).cast(own).alias("uid"), F.col("id").alias("did"))
+            .unionByName(uses.select(*at, "var", "p", F.lit(0).alias("o"), F.lit(None).cast("int").alias("plain"), F.col("id").alias("uid"), F.lit(None).cast(own).alias("did")).distinct()))
     w = W.partitionBy(*at, "var").orderBy("p", "o").rowsBetween(W.unboundedPreceding, W.currentRow)
-    reach = line.withColumn("since", F.last("plain", True).over(w)).filter("uid IS NOT NULL").select(*at, "var", F.col("p").alias("upos"), "uid", "since")
-    edges = (reach.alias("u").join(defs.alias("d"), [F.col("u." + c) == F.col("d." + c) for c in [*at, "var"]]
-                                   + [F.col("d.dpos") < F.col("u.upos"), F.col("d.dpos") >= F.coalesce("u.since", F.lit(-1))])
-             .select(*[F.col("u." + c) for c in at], F.col("d.did").alias("src"), F.col("u.uid").alias("dst")).distinct())
-    edges = cut_lineage(edges)
+    seg = cut_lineage(line.withColumn("since", F.coalesce(F.last("plain", True).over(w), F.lit(-1))).drop("plain"))
+    key = [*at, "var", "since"]
+    def_of = seg.filter("did IS NOT NULL").select(*key, F.col("p").alias("dpos"), F.col("did").alias("id"))
+    use_of = seg.filter("uid IS NOT NULL").select(*key, F.col("p").alias("upos"), F.col("uid").alias("next"))
     start = ev.filter("source").select(*at, "id", F.lit(0).alias("hops"))
 
     def step(front):
-        return (front.join(edges.withColumnRenamed("src", "id"), [*at, "id"]).select(*at, F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops")))
-    known, _done = fixed_point(start, step, [*at, "id"], max_hops)
+        first = front.join(def_of, [*at, "id"]).groupBy(*key).agg(F.min("dpos").alias("dpos"), F.min("hops").alias("hops"))
+        return first.join(use_of, key).filter("upos > dpos").select(*at, F.col("next").alias("id"), (F.col("hops") + 1).alias("hops"))
+    known, done = fixed_point(start, step, [*at, "id"], 100_000)
+    if not done:
+        raise RuntimeError("taint did not reach a fixed point")
     return known.filter("id.kind = 'sink'").select(*at, F.col("id.pos").alias("pos"), F.col("id.var").alias("sink"), "hops")

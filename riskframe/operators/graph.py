@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,16 @@ def suffix_match(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.unionByName(suffix).unionByName(by_base)
 
 
-def dependents(seeds: DataFrame, edges: DataFrame, cap: int = VISIT_CAP, max_rounds: int = 64, relations=None) -> DataFrame:
+def dependents(seeds: DataFrame, edges: DataFrame, cap: int = VISIT_CAP, relations=None) -> DataFrame:
     """visited(repo, seed, id, depth) by walking dependency edges backwards from ``seeds(repo, seed, id)``.
 
-    One frontier per round for all seeds. A seed whose visited count reaches the cap stops growing, which
+    One frontier per round for all seeds, until no round finds a new node. A seed whose visited count reaches the cap stops growing, which
     the caller reports as truncated; lineage is cut every round."""
     rel = edges.filter(F.col("relation").isin(*(relations or DEPENDENCY_RELATIONS))).select("repo", F.col("target").alias("id"), F.col("source").alias("nxt")).distinct()
     rel = cut_lineage(rel)
     known = frontier = cut_lineage(seeds.select("repo", "seed", "id").distinct().withColumn("depth", F.lit(0)))
     sizes = None
-    for depth in range(1, max_rounds + 1):
+    for depth in itertools.count(1):
         growing = frontier
         if sizes is not None:
             growing = frontier.join(sizes.filter(F.col("n") >= cap).select("repo", "seed"), ["repo", "seed"], "left_anti")

@@ -246,7 +246,10 @@ def mount_auth_coverage(mounts: DataFrame, imports: DataFrame) -> DataFrame:
     def step(front):
         nxt = front.join(imports, ["repo", "path"]).select("repo", F.col("target").alias("path")).distinct()
         return nxt.join(barred, ["repo", "path"], "left_anti").filter(~paths.is_test_file(F.col("path")))
-    return fixed_point(start, step, ["repo", "path"], 64)[0]
+    known, done = fixed_point(start, step, ["repo", "path"], 100_000)
+    if not done:
+        raise RuntimeError("import chains are longer than 100,000 files")
+    return known
 
 
 def endpoint_guards(routes: DataFrame, files: DataFrame, covered: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -366,7 +366,7 @@ def _(t):
     return ex.fix_queue(t.ledger)
 
 
-@query("w05_triage_order", "SELECT finding_id, severity, CASE confidence WHEN 'HIGH' THEN 0.85 WHEN 'MEDIUM' THEN 0.5 ELSE 0.25 END AS p FROM ledger")
+@query("w05_triage_order", "SELECT finding_id, severity, CASE confidence WHEN 'HIGH' THEN 0.85 WHEN 'MEDIUM' THEN 0.5 ELSE 0.25 END::DOUBLE AS p FROM ledger")
 def _(t):
     cells = wilson_cells(t.finding_labels).filter("false")
     f = calibrate(t.ledger, cells).withColumn("disposition", std.disposition(F.col("attack_class")))

@@ -317,7 +317,7 @@ SELECT 'repo' || {s('user_id % 20')} AS repo, {pick('event_id', ['get', 'post',
   CASE event_type WHEN 'signup' THEN '/Signup/' || {s('event_id % 400')} || '/' WHEN 'error' THEN '/api/upload/' || {s('event_id % 400')} || '/:id' ELSE '/only/spec/' || {s('event_id % 20')} END AS path FROM events WHERE event_id % 3 = 1
 """
 # Feeds and graph.
-VIEWS["epss_feed"] = "SELECT 'CVE-2024-' || lpad(" + s("p_partkey") + ", 5, '0') AS cve, p_size / 50.0 AS epss, p_size / 60.0 AS percentile FROM part WHERE p_partkey % 3 <> 0"
+VIEWS["epss_feed"] = "SELECT 'CVE-2024-' || lpad(" + s("p_partkey") + ", 5, '0') AS cve, cast(p_size / 50.0 AS double) AS epss, cast(p_size / 60.0 AS double) AS percentile FROM part WHERE p_partkey % 3 <> 0"
 VIEWS["kev_feed"] = "SELECT 'CVE-2024-' || lpad(" + s("p_partkey") + ", 5, '0') AS cve FROM part WHERE p_brand = 'Brand#7'"
 VIEWS["intel_findings"] = f"""
 SELECT 'repo' || {s('o_custkey % 40')} AS repo, o_orderkey AS finding_id, 'CVE-2024-' || lpad({s('o_orderkey % 2500')}, 5, '0') AS cve, cast(o_custkey % 50 / 60.0 AS double) AS epss, false AS kev,
