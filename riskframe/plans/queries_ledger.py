@@ -169,7 +169,7 @@ def _(t):
 
 @query("p11_likely_filtered", r"""
 SELECT finding_id, CASE attack_class WHEN 'redos' THEN 'regex-complexity' WHEN 'open-redirect' THEN 'open-redirect-alone' WHEN 'llm-unbounded' THEN 'cost-concern'
-  ELSE CASE WHEN regexp_matches(file, '(^|/)tests?/') THEN 'test-file' WHEN attack_class = 'buffer-overflow' AND substr(repo, 5)::INT % 3 = 0 THEN 'memory-safe-stack' END END AS filter_reason
+  ELSE CASE WHEN regexp_matches(file, '(^|/)tests?/') THEN 'test-file' WHEN attack_class = 'buffer-overflow' AND substr(repo, 5)::INT % 3 = 0 AND substr(repo, 5)::INT IN (SELECT s_suppkey % 60 FROM supplier) THEN 'memory-safe-stack' END END AS filter_reason
 FROM ledger""")
 def _(t):
     langs = t.sql("SELECT DISTINCT 'repo' || cast(s_suppkey % 60 AS string) AS repo, CASE WHEN s_suppkey % 3 = 0 THEN 'Python' ELSE 'c' END AS language FROM supplier")
