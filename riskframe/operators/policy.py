@@ -138,21 +138,22 @@ def replacement_for(kind: Column, pattern: Column) -> Column:
 def acknowledge(findings: DataFrame, acks: DataFrame) -> DataFrame:
     """Adds status, ack_reason and reopened_reason.
 
-    By fingerprint, else by an alias that leads to one fingerprint only. Expired, malformed and
-    reasonless entries leave the finding open and say so."""
+    By fingerprint, else by an alias that leads to one fingerprint only. Expired, malformed, reasonless
+    and ambiguous entries leave the finding open and say so."""
     a = latest_ack(acks).select("repo", F.col("fingerprint").alias("_key"), "state", "reason", "expires")
     pairs = (findings.select("repo", "fingerprint", F.lit(0).alias("_prio"), F.col("fingerprint").alias("_key"))
              .unionByName(findings.select("repo", "fingerprint", F.lit(1).alias("_prio"), F.explode("fingerprint_aliases").alias("_key")))
              .distinct())
     # A key of either kind that names several fingerprints decides nothing, except for its own fingerprint.
     fan = pairs.groupBy("repo", "_key").agg(F.count_distinct("fingerprint").alias("_fan"))
-    hit = (pairs.join(a, ["repo", "_key"]).join(fan, ["repo", "_key"]).filter("_prio = 0 OR _fan = 1")
-           .groupBy("repo", "fingerprint").agg(F.min_by(F.struct("state", "reason"), F.struct("_prio", "_key")).alias("_a")))
-    live = F.col("_a.state").isin("active", "legacy-no-expiry")
+    usable = (F.col("_prio") == 0) | (F.col("_fan") == 1)
+    hit = (pairs.join(a, ["repo", "_key"]).join(fan, ["repo", "_key"]).groupBy("repo", "fingerprint")
+           .agg(F.min_by(F.when(usable, F.struct("state", "reason")), F.when(usable, F.struct("_prio", "_key"))).alias("_a"), F.bool_or(~usable).alias("_amb")))
+    live = F.coalesce(F.col("_a.state").isin("active", "legacy-no-expiry"), F.lit(False))
+    why = F.when(F.col("_a").isNotNull() & ~live, F.concat(F.lit("acknowledgement "), F.col("_a.state"))).when(F.col("_a").isNull() & F.col("_amb"), F.lit("acknowledgement ambiguous"))
     return (findings.join(hit, ["repo", "fingerprint"], "left")
             .withColumn("status", F.when(live, F.lit("acknowledged")).otherwise(F.lit("open")))
-            .withColumn("ack_reason", F.when(live, F.col("_a.reason")))
-            .withColumn("reopened_reason", F.when(F.col("_a").isNotNull() & ~live, F.concat(F.lit("acknowledgement "), F.col("_a.state"))))
+            .withColumn("ack_reason", F.when(live, F.col("_a.reason"))).withColumn("reopened_reason", why)
             .select(*findings.columns, "status", "ack_reason", "reopened_reason"))
 
 

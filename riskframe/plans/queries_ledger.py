@@ -427,10 +427,12 @@ WITH {ACKS}, o AS (SELECT *, row_number() OVER () AS rn FROM a),
  f AS (SELECT finding_id, repo, 'fp' || (finding_id % 90)::VARCHAR AS fp, 'fp' || (finding_id % 25)::VARCHAR AS al FROM ledger),
  k AS (SELECT DISTINCT repo, fp, 0 AS prio, fp AS key FROM f UNION SELECT DISTINCT repo, fp, 1, al FROM f),
  n AS (SELECT repo, key, count(DISTINCT fp) AS fan FROM k GROUP BY 1, 2),
+ amb AS (SELECT DISTINCT k.repo, k.fp FROM k JOIN la ON la.repo = k.repo AND la.fingerprint = k.key JOIN n ON n.repo = k.repo AND n.key = k.key WHERE prio = 1 AND fan > 1),
  h AS (SELECT k.repo, k.fp, min_by(la.state, k.prio::VARCHAR || k.key) AS state, min_by(la.reason, k.prio::VARCHAR || k.key) AS reason FROM k JOIN la ON la.repo = k.repo AND la.fingerprint = k.key JOIN n ON n.repo = k.repo AND n.key = k.key
    WHERE prio = 0 OR fan = 1 GROUP BY 1, 2)
 SELECT f.finding_id, CASE WHEN h.state IN ('active', 'legacy-no-expiry') THEN 'acknowledged' ELSE 'open' END AS status,
- CASE WHEN h.state NOT IN ('active', 'legacy-no-expiry') THEN 'acknowledgement ' || h.state END AS reopened_reason FROM f LEFT JOIN h ON h.repo = f.repo AND h.fp = f.fp""")
+ CASE WHEN h.state NOT IN ('active', 'legacy-no-expiry') THEN 'acknowledgement ' || h.state WHEN h.state IS NULL AND amb.fp IS NOT NULL THEN 'acknowledgement ambiguous' END AS reopened_reason
+FROM f LEFT JOIN h ON h.repo = f.repo AND h.fp = f.fp LEFT JOIN amb ON amb.repo = f.repo AND amb.fp = f.fp""")
 def _(t):
     _sup, acks = pol.read_policy(t.policy_files, F.lit("2025-06-01").cast("date"))
     # The lines of one repo come from several files here, so a line number is not an order; state is.
