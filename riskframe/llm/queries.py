@@ -50,7 +50,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("at")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +68,10 @@ label AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)"""
 ORACLES = {
     "op1_substring_dedup": f"""
 WITH w AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS ws FROM documents),
-win AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w WHERE len(ws) >= 20),
-later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(ws[p:p + 19], ' ') ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 20)) AS p FROM later),
 word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+win AS (SELECT doc_id, p, string_agg(word, ' ') OVER x AS k FROM word WINDOW x AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) QUALIFY count(*) OVER x = 20),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 20)) AS p FROM later),
 kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.p) AS t, count(*) AS n FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
@@ -90,7 +90,7 @@ bw AS (SELECT item_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS q, len(ws)
 same AS (SELECT doc_id, item_id, p - q AS diagonal, p, m, n FROM dw JOIN bw USING (w)),
 few AS (SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= 11),
 run AS (SELECT doc_id, item_id, diagonal, p, m, n, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM few),
-good AS (SELECT doc_id, item_id, c AS agree, least(p, diagonal + n - 13, m - 13) AS at FROM run WHERE n >= 13 AND c >= 11 AND least(diagonal + n, m) - greatest(diagonal, 0) >= 13)
+good AS (SELECT doc_id, item_id, c AS agree FROM run WHERE n >= 13 AND c >= 11 AND least(diagonal + n, m) - greatest(diagonal, 0) >= 13)
 SELECT doc_id, item_id, max(agree)::INT AS agree, 13 AS aligned FROM good GROUP BY doc_id, item_id""",
     "op10_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS ws FROM documents),
