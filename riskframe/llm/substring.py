@@ -7,8 +7,8 @@ words of a window that starts earlier (smaller doc_id, or earlier in the same do
    the least hash in it (equal windows have equal anchors). Anchors are counted over all documents; only
    windows with a recurring anchor are looked at further. Their hashes meet in buckets, which tell each block
    of documents the windows whose first occurrence is elsewhere.
-2. *Compile sharded automata.* Every block compiles an Aho-Corasick automaton over words (pyahocorasick, keys
-   of word codes) from the anchors of its recurring windows. A shard so holds what its documents can match,
+2. *Compile sharded automata.* Every block compiles an Aho-Corasick automaton (pyahocorasick, words spelled in
+   three letters of a small alphabet) from the anchors of its recurring windows. A shard so holds what its documents can match,
    and its size is bounded by the block.
 3. *Stream all documents* of the block through it. Each hit marks the windows around the phrase; these are
    held against the confirmed windows, and later occurrences are removed.
@@ -30,6 +30,7 @@ from . import exchange as ex
 from .words import Words, member, mixed, run_starts, runs_hashed, words_of
 
 DOCUMENTS, RECURRING, ELSEWHERE = 0, 1, 2
+SPELL = 3
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, changed boolean"
 
 
@@ -130,25 +131,32 @@ def first_elsewhere(windows: DataFrame) -> DataFrame:
     return ex.by_key(windows, answer)
 
 
-def automaton_of(phrases: np.ndarray) -> ahocorasick.Automaton | None:
-    """An automaton over word codes from rows of codes; None without rows."""
-    if not len(phrases):
-        return None
-    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for row in phrases.tolist():
-        out.add_word(tuple(row))
+def spelled(hashes: np.ndarray) -> bytes:
+    """Words as SPELL letters of 64 each. Few letters keep the nodes of an automaton narrow, whose edges it searches in turn."""
+    out = np.empty((len(hashes), SPELL), np.uint8)
+    for i in range(SPELL):
+        out[:, i] = (hashes >> np.uint64(58 - 6 * i)) & np.uint64(63)
+    return out.tobytes()
+
+
+def automaton_of(phrases: set[bytes]) -> ahocorasick.Automaton:
+    """An automaton of spelled phrases."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        out.add_word(phrase.decode("latin-1"))
     out.make_automaton()
     return out
 
 
-def located(b: Block, automaton, codes: np.ndarray) -> np.ndarray:
+def located(b: Block, automaton: ahocorasick.Automaton, letters: bytes) -> np.ndarray:
     """Windows of the block (by their number) that hold a phrase the automaton finds, document by document."""
-    near, reach = np.zeros(len(codes) + 1, np.int64), b.window - b.phrase
+    near, reach = np.zeros(len(b.words.hashes) + 1, np.int64), b.window - b.phrase
     for lo, hi in zip(b.words.first[:-1].tolist(), b.words.first[1:].tolist(), strict=True):
         if hi - lo >= b.window:
-            hits = np.fromiter((end for end, _ in automaton.iter(tuple(codes[lo:hi].tolist()))), np.int64)
-            np.add.at(near, np.maximum(hits - b.phrase + 1 - reach, 0) + lo, 1)
-            np.add.at(near, hits - b.phrase + 2 + lo, -1)
+            ends = np.fromiter((end for end, _ in automaton.iter(letters[SPELL * lo:SPELL * hi].decode("latin-1"))), np.int64) + 1
+            hits = ends[ends % SPELL == 0] // SPELL - b.phrase  # first words of the phrases
+            np.add.at(near, np.maximum(hits - reach, 0) + lo, 1)
+            np.add.at(near, hits + 1 + lo, -1)
     return np.flatnonzero(np.cumsum(near)[b.at] > 0)
 
 
@@ -159,20 +167,15 @@ def removed_words(b: Block, elsewhere: np.ndarray, recurring: np.ndarray) -> np.
         return gone[:-1] > 0
     # phrases come from windows that all documents together confirmed
     confirmed = np.flatnonzero(member(b.hashes(np.arange(len(b.at))), recurring))
-    codes = (b.words.hashes >> np.uint64(32)).astype(np.uint32)
-    starts = np.unique(b.grams[b.place[confirmed]], return_index=True)[1]
-    starts = b.place[confirmed][starts]
-    automaton = automaton_of(np.unique(np.array([codes[starts + j] for j in range(b.phrase)]).T, axis=0))
-    if automaton is None:
-        return gone[:-1] > 0
-    near = located(b, automaton, codes)
+    letters, place = spelled(b.words.hashes), b.place[confirmed]
+    starts = place[np.unique(b.grams[place], return_index=True)[1]].tolist()
+    near = located(b, automaton_of({letters[SPELL * at:SPELL * (at + b.phrase)] for at in starts}), letters)
     value = b.hashes(near)
     known = member(value, recurring)
     near, value = near[known], value[known]
     later = np.ones(len(near), bool)
     later[np.unique(value, return_index=True)[1]] = False
     at = b.at[near[later | member(value, elsewhere)]]
-    gone[:] = 0
     np.add.at(gone, at, 1)
     np.add.at(gone, at + b.window, -1)
     return np.cumsum(gone)[:-1] > 0
