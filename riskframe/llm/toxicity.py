@@ -6,8 +6,8 @@ texts count once). Texts are recoded so that only whole beginnings of words can
 compressed with both dictionaries. The largest and the summed difference of lengths over the windows of a
 text, in a logistic fit, become a calibrated probability; its threshold is the decision.
 
-Trained on at most ``per_class`` texts of each label (a documented bound; two thirds build the dictionaries,
-one third calibrates). Null and empty texts score as a text without evidence. Where one label is missing, the
+Trained on at most ``per_class`` texts of each label (a documented bound); the fit sees each text scored by
+dictionaries of other texts. Null and empty texts score as a text without evidence. Where a label has fewer than three texts, the
 score is the share of the other one: 0, 1, or 0.5 without any label. Rows that repeat a doc_id are scored
 each."""
 
@@ -28,6 +28,7 @@ WINDOW, CARRIER = 120, bytes(64)
 LEVEL = 3
 #: Bytes that one shared code saves, about.
 GAIN = 12
+FOLDS = 3
 #: Words that both dictionaries hold.
 SHARED = 60
 
@@ -59,28 +60,36 @@ class ToxicityModel:
         return self.calibrated(self.features(texts))
 
 
-def train(sample: list[tuple[bytes, int]], share: float) -> ToxicityModel:
-    """The model of labelled texts; ``share``: label 1 among all labelled rows."""
-    ordinary, ordinary_check, toxic, toxic_check = [[t for i, (t, v) in enumerate(sample) if v == y and (i % 3 == 2) == last] for y in (0, 1) for last in (False, True)]
-    if not toxic or not ordinary or not toxic_check or not ordinary_check:
-        return ToxicityModel(Coder(b" "), Coder(b" "), None, share)
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[Coder, Coder]:
+    """One of toxic and one of ordinary texts."""
     toxic, ordinary = apart(toxic), apart(ordinary)
     a, b = prefixes(toxic), prefixes(ordinary)
     shared = b"".join(code_of(w) for _, w in sorted(((c, w) for w, c in b.items()), reverse=True)[:SHARED])
     marks, calm = (b"".join(code_of(w) for w in x) for x in (stems(a, len(toxic), b, len(ordinary), 1000), stems(b, len(ordinary), a, len(toxic), 1000)))
-    model = ToxicityModel(Coder(CARRIER + marks + shared, LEVEL), Coder(CARRIER + calm + shared, LEVEL), None, 0.5)
-    y = np.array([0] * len(ordinary_check) + [1] * len(toxic_check))
-    model.calibrated = Logistic.fit(model.features(ordinary_check + toxic_check), y, share)
-    return model
+    return Coder(CARRIER + marks + shared, LEVEL), Coder(CARRIER + calm + shared, LEVEL)
+
+
+def train(sample: list[tuple[bytes, int]], share: float) -> ToxicityModel:
+    """The model of labelled texts; ``share``: label 1 among all labelled rows."""
+    by_label = [[t for t, v in sample if v == y] for y in (0, 1)]
+    if min(map(len, by_label)) < FOLDS:
+        return ToxicityModel(Coder(b" "), Coder(b" "), None, share)
+    x, y = [], []
+    for fold in range(FOLDS):  # calibrated on texts that the dictionaries have not seen
+        ordinary, toxic = ([t for i, t in enumerate(texts) if i % FOLDS != fold] for texts in by_label)
+        checked = [texts[fold::FOLDS] for texts in by_label]
+        x.append(ToxicityModel(*dictionaries(toxic, ordinary), None, share).features(checked[0] + checked[1]))
+        y += [0] * len(checked[0]) + [1] * len(checked[1])
+    return ToxicityModel(*dictionaries(by_label[1], by_label[0]), Logistic.fit(np.concatenate(x), np.array(y), share), share)
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text_bytes: int = 1 << 16) -> ToxicityModel:
+def learned(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_bytes: int = 1 << 16) -> ToxicityModel:
     """The model of rows with crc32(doc_id) mod 5 other than 0."""
     rows = docs.select("doc_id", "text").withColumn("fold", remainder(5))
     return train(*labelled_sample(rows, labels, "toxic", "fold <> 0", per_class, text_bytes))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text_bytes: int = 1 << 16) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_bytes: int = 1 << 16) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row; learns from rows with crc32(doc_id) mod 5 other than 0."""
     ex.ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class, text_bytes))
@@ -93,7 +102,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text_byt
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(5) == 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 3000, text_bytes: int = 1 << 16) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_bytes: int = 1 << 16) -> DataFrame:
     """The rows, in all their columns, whose text scores below 0.5."""
     ex.ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class, text_bytes))
