@@ -22,17 +22,23 @@ def remainder(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: str, per_class: int, text_bytes: int) -> tuple[list[tuple[bytes, int]], float]:
-    """([(text, 0 or 1)], share of label 1 in all labelled rows; 0.5 without any): up to ``per_class`` distinct texts of each label, chosen by a hash of the text.
-
-    Only rows for which ``train`` holds, texts of ``text_bytes`` or fewer: both bound what the driver holds.
-    A document with contradicting labels is left out."""
-    known = labels.filter(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other")
-    rows = docs.filter(train).filter(f"doc_id is not null and length(text) > 0 and octet_length(text) <= {text_bytes}").select("doc_id", "text")
-    rows = rows.join(known, "doc_id").groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"))
-    both = [rows.filter(f"label = {v}").orderBy("h", "text").limit(per_class).toArrow() for v in (0, 1)]
-    share = rows.agg(F.avg("label")).first()[0]
-    return [(t.encode(), v) for v, table in enumerate(both) for t in table.column("text").to_pylist()], 0.5 if share is None else share
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int, text_bytes: int) -> tuple[list[tuple[bytes, int]], float]:
+    """([(text, 0 or 1)], share of label 1 in all training labels; 0.5 without any): distinct texts of up to
+    ``per_class`` documents of each label, chosen by a hash of the id.
+
+    Only labels for which the column ``train`` holds, texts of ``text_bytes`` or fewer: both bound what the driver
+    holds, and the chosen ids what is broadcast. A document with contradicting labels is left out, and so is a
+    text that has both."""
+    known = labels.filter(train).filter(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other")
+    share = known.agg(F.avg("label")).first()[0]
+    chosen = [known.filter(f"label = {v}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", F.col("label").cast("int").alias("label")))
+    rows = docs.select("doc_id", "text").filter(f"length(text) > 0 and octet_length(text) <= {text_bytes}").join(ids, "doc_id")
+    found: dict[str, set[int]] = {}
+    table = rows.select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    for text, v in zip(table.column("text").to_pylist(), table.column("label").to_pylist(), strict=True):
+        found.setdefault(text, set()).add(v)
+    return [(t.encode(), y) for y in (0, 1) for t, v in found.items() if v == {y}], 0.5 if share is None else share
 
 
 def windows_of(text: bytes, size: int) -> list[bytes]:

@@ -81,7 +81,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_byte
     ex.ready(docs.sparkSession)
     fold = remainder(4)
     rows = docs.select("doc_id", "text")
-    model = train(*labelled_sample(rows.withColumn("fold", fold), labels, "quality", "fold <> 2", per_class, text_bytes))
+    model = train(*labelled_sample(rows, labels, "quality", fold != 2, per_class, text_bytes))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -85,8 +85,7 @@ def train(sample: list[tuple[bytes, int]], share: float) -> ToxicityModel:
 
 def learned(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_bytes: int = 1 << 16) -> ToxicityModel:
     """The model of rows with crc32(doc_id) mod 5 other than 0."""
-    rows = docs.select("doc_id", "text").withColumn("fold", remainder(5))
-    return train(*labelled_sample(rows, labels, "toxic", "fold <> 0", per_class, text_bytes))
+    return train(*labelled_sample(docs, labels, "toxic", remainder(5) != 0, per_class, text_bytes))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_bytes: int = 1 << 16) -> DataFrame:
