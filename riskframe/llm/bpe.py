@@ -48,7 +48,7 @@ def cuts(text: bytes) -> list[int]:
 class Encoder:
     """Ids and decoded texts of a tokenizer's file, with kept chunks and pieces."""
 
-    def __init__(self, path: str, keep_pieces: int = 250_000, keep_chunk_bytes: int = 32 << 20) -> None:
+    def __init__(self, path: str, keep_pieces: int = 100_000, keep_chunk_bytes: int = 12 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -34,7 +34,7 @@ _ODD = re.compile("  | [\t\n\v\f\r]| $")
 class Counter:
     """Counts of a tokenizers or sentencepiece file."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.known: dict[str, int] = {}
         self.old: dict[str, int] = {}
