@@ -321,8 +321,8 @@ def text_leaks(texts: DataFrame, rules=None) -> DataFrame:
 
 def subscription_authz(files: DataFrame) -> DataFrame:
     """(repo, field): subscription fields with a tenant argument and no identity check in any resolver naming them."""
-    arg = r"(\w+)\s*\([^)]{0,300}\b(?:groupId|group_id|orgId|org_id|tenantId|tenant_id|workspaceId|accountId|conversationId|channelId)\b"
-    body = F.regexp_extract("content", r"type\s+Subscription\b[^{]{0,100}\{([^}]{0,4000})\}", 1)
+    arg = r"(\w+)\s*\([^)]*\b(?:groupId|group_id|orgId|org_id|tenantId|tenant_id|workspaceId|accountId|conversationId|channelId)\b"
+    body = F.regexp_extract("content", r"type\s+Subscription\b[^{]*\{([^}]*)\}", 1)
     fields = (files.filter(F.contains("content", F.lit("Subscription"))).select("repo", F.explode(F.regexp_extract_all(body, F.lit(arg), F.lit(1))).alias("field")).distinct())
     bound = F.col("content").rlike(r"identity\.(?:sub|username|claims|resolverContext)|\$ctx\.identity|util\.unauthorized")
     names = files.filter(F.contains("path", F.lit("resolver")) & bound).select("repo", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_]\w{2,60})\b"), F.lit(1)))).alias("field"))
@@ -349,7 +349,7 @@ def taint_events(files: DataFrame) -> DataFrame:
     is_assign, is_call = F.col("text").rlike(ASSIGN), F.col("text").rlike(SINK_CALL)
 
     def code(c):
-        return F.regexp_replace(F.regexp_replace(c, r"'[^']{0,400}'|\"[^\"]{0,400}\"", ""), r"`([^`$]{0,200})\$\{", " ")
+        return F.regexp_replace(F.regexp_replace(c, r"'[^']*'|\"[^\"]*\"", ""), r"`([^`$]*)\$\{", " ")
 
     def event(kind, var, expr, conditional):
         e = code(expr)

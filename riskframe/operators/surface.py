@@ -47,12 +47,12 @@ def _calls(files: DataFrame, pattern: str, suffixes: str, technology: str, engin
 def extract_routes(files: DataFrame) -> DataFrame:
     """routes(repo, code_path, method, path, technology, source, params) from router calls, decorators and file names."""
     js, py = r"\.(?:js|jsx|ts|tsx|mjs|cjs)$", r"\.py$"
-    express = _calls(files, r"\b(?:app|router|server|fastify|api)\.(get|post|put|patch|delete|all)\s*\(\s*['\"`](/[^'\"`\n]{0,200})['\"`]", js, "express", "router", 1, 2)
-    on = _calls(files, r"\.on\s*\(\s*['\"](get|post|put|patch|delete|GET|POST|PUT|PATCH|DELETE)['\"]\s*,\s*['\"](/[^'\"\n]{0,200})['\"]", js, "hono", "router", 1, 2)
-    fastapi = _calls(files, r"@(?:app|router|api)\.(get|post|put|patch|delete)\s*\(\s*['\"](/[^'\"\n]{0,200})['\"]", py, "fastapi", "decorator", 1, 2)
-    spring = _calls(files, r"@(Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?\"(/[^\"\n]{0,200})\"", r"\.java$", "spring", "decorator", 1, 2)
-    aspnet = _calls(files, r"\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*\"(/?[^\"\n]{0,200})\"", r"\.cs$", "aspnet", "decorator", 1, 2)
-    flask_rx = r"@(?:\w+)\.route\s*\(\s*['\"](/[^'\"\n]{0,200})['\"]([^)\n]{0,200})\)"
+    express = _calls(files, r"\b\w*(?:[aA]pp|[rR]outer|[sS]erver|fastify|[aA]pi)\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['\"`](/[^'\"`\n]*)['\"`]", js, "express", "router", 1, 2)
+    on = _calls(files, r"\.on\s*\(\s*['\"](get|post|put|patch|delete|GET|POST|PUT|PATCH|DELETE)['\"]\s*,\s*['\"](/[^'\"\n]*)['\"]", js, "hono", "router", 1, 2)
+    fastapi = _calls(files, r"@\w+\.(get|post|put|patch|delete|head|options)\s*\(\s*['\"](/[^'\"\n]*)['\"]", py, "fastapi", "decorator", 1, 2)
+    spring = _calls(files, r"@(Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?\"(/[^\"\n]*)\"", r"\.java$", "spring", "decorator", 1, 2)
+    aspnet = _calls(files, r"\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*\"(/?[^\"\n]*)\"", r"\.cs$", "aspnet", "decorator", 1, 2)
+    flask_rx = r"@(?:\w+)\.route\s*\(\s*['\"](/[^'\"\n]*)['\"]([^)\n]*)\)"
     z = F.arrays_zip(F.regexp_extract_all("content", F.lit(flask_rx), F.lit(1)).alias("p"), F.regexp_extract_all("content", F.lit(flask_rx), F.lit(2)).alias("o"))
     flask = files.filter(F.col("path").rlike(py)).select("repo", F.col("path").alias("code_path"), F.posexplode(z).alias("pos", "z"))
     listed = F.regexp_extract_all(F.regexp_extract("z.o", r"methods\s*=\s*\[([^\]]*)\]", 1), F.lit(r"['\"](\w+)['\"]"), F.lit(1))
@@ -72,8 +72,8 @@ def serverless_routes(files: DataFrame) -> DataFrame:
     edge = (files.filter(F.col("path").rlike(r"(?:^|/)(?:supabase/functions|netlify/functions|api)/([\w-]+)(?:/index)?\.(?:ts|js)$"))
             .select("repo", F.col("path").alias("code_path"), F.lit("ANY").alias("method"),
                     F.concat(F.lit("/"), F.regexp_extract("path", r"(?:functions|api)/([\w-]+)(?:/index)?\.(?:ts|js)$", 1)).alias("path"), F.lit(None).cast("string").alias("auth_type")))
-    t = files.filter(F.contains("content", F.lit("AWS::Serverless::Function"))).select("repo", F.col("path").alias("code_path"), F.explode(F.slice(F.split("content", r"Type:\s*AWS::Serverless::Function"), 2, 10000)).alias("b"))
-    ev = F.arrays_zip(F.regexp_extract_all("b", F.lit(r"Path:\s*['\"]?(/[^\s'\"]{0,200})"), F.lit(1)).alias("p"), F.regexp_extract_all("b", F.lit(r"Method:\s*['\"]?(\w+)"), F.lit(1)).alias("m"))
+    t = files.filter(F.contains("content", F.lit("AWS::Serverless::Function"))).select("repo", F.col("path").alias("code_path"), F.posexplode(F.split("content", r"Type:\s*AWS::Serverless::Function")).alias("_n", "b")).filter("_n > 0").drop("_n")
+    ev = F.arrays_zip(F.regexp_extract_all("b", F.lit(r"Path:\s*['\"]?(/[^\s'\"]*)"), F.lit(1)).alias("p"), F.regexp_extract_all("b", F.lit(r"Method:\s*['\"]?(\w+)"), F.lit(1)).alias("m"))
     api = (t.select("repo", "code_path", F.explode(ev).alias("e")).filter("e.p IS NOT NULL")
            .select("repo", "code_path", F.upper(F.coalesce("e.m", F.lit("ANY"))).alias("method"), normalize_path(F.col("e.p")).alias("path"), F.lit(None).cast("string").alias("auth_type")))
     url = (t.filter(F.contains("b", F.lit("FunctionUrlConfig"))).select("repo", "code_path", F.lit("ANY").alias("method"), F.lit("/").alias("path"),
@@ -84,7 +84,7 @@ def serverless_routes(files: DataFrame) -> DataFrame:
 def raw_server_routes(files: DataFrame) -> DataFrame:
     """Plain HTTP servers: one row per path literal compared with the request URL, and the methods seen."""
     f = files.filter(F.col("content").rlike(r"createServer\s*\(|BaseHTTPRequestHandler"))
-    p = F.regexp_extract_all("content", F.lit(r"(?:url|pathname|self\.path)\s*={2,3}\s*['\"](/[^'\"\n]{0,200})['\"]"), F.lit(1))
+    p = F.regexp_extract_all("content", F.lit(r"(?:url|pathname|self\.path)\s*={2,3}\s*['\"](/[^'\"\n]*)['\"]"), F.lit(1))
     m = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\.method\s*={2,3}\s*['\"](\w+)['\"]"), F.lit(1))))
     return f.select("repo", F.col("path").alias("code_path"), m.alias("methods_seen"), F.explode(F.array_distinct(p)).alias("path")).select(
         "repo", "code_path", F.lit("ANY").alias("method"), normalize_path(F.col("path")).alias("path"), F.lit("raw").alias("source"), "methods_seen")

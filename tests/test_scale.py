@@ -112,3 +112,23 @@ def test_taint_against_walk(spark):
         by[(e.path, e.scope)].append(e)
     got = {(r.path, r.scope, r.pos, r.sink) for r in packs.taint_flows(f).collect()}
     assert got == brute_flows(by) and got
+
+
+def test_nothing_is_cut_off(spark):
+    """Many functions in a template, long paths, long arguments, routers of any name."""
+    from riskframe.operators import surface
+    template = "AWS::Serverless::Function\n" + "".join(f"F{i}:\n  Type: AWS::Serverless::Function\n  Path: /p{i}\n  Method: get\n" for i in range(10_050))
+    long = "/" + "a" * 250
+    js = f"usersRouter.get('{long}', h)\nadminApp.options('/o', h)\n"
+    py = f"@users.get('{long}')\ndef f(): pass\n@things.head('/h')\n"
+    files = spark.createDataFrame([("r", "template.yaml", template), ("r", "a.js", js), ("r", "b.py", py)], "repo string, path string, content string")
+    assert surface.serverless_routes(files).filter("technology = 'serverless'").count() == 10_050
+    found = {(r.code_path, r.method, r.path) for r in surface.extract_routes(files).collect()}
+    assert {("a.js", "GET", long), ("a.js", "OPTIONS", "/o"), ("b.py", "GET", long), ("b.py", "HEAD", "/h")} <= found
+
+
+def test_long_arguments_are_seen(spark):
+    from riskframe.operators.detect import packs
+    code = "const r = eval(" + "a, " * 150 + "req.body.x)\n"
+    files = spark.createDataFrame([("r", "server.js", "const app = express()\napp.listen(3)\n" + code)], "repo string, path string, content string")
+    assert packs.sinks(files).filter("rule_id like '%eval%'").count() >= 1
