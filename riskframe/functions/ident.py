@@ -75,7 +75,7 @@ def legacy_fingerprint(attack_class: Column, location: Column, title: Column) ->
 def instance_id(category: Column, path: Column, rule: Column, line: Column, what: Column) -> Column:
     """Portable id of one occurrence: the rule id names the detector, this names the site."""
     e = F.lit("")
-    return F.concat(F.lit("wv1_"), sha(F.concat_ws(
+    return F.concat(F.lit("place1_"), sha(F.concat_ws(
         "|", F.coalesce(category, e), F.coalesce(path, e), F.coalesce(rule, e),
         F.coalesce(line, F.lit(0)).cast("string"), F.coalesce(what, e))))
 

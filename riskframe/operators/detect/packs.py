@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from ...functions import paths
 from ..core import cut_lineage, fixed_point, top_k
 from . import rules as R
-from .engine import Rule, has_any, scan_rules, with_roles
+from .engine import Rule, has_any, mask_comments, scan_rules, with_roles
 
 
 def sinks(files: DataFrame, gates: DataFrame | None = None) -> DataFrame:
     """Occurrences of the sink rules. ``gates(repo, has_sql, has_nosql)``: a datastore rule is kept
-    where the repo has that store or the file reads a request."""
-    src = with_roles(files)
+    where the repo has that store or the file reads a request. Comments are blanked out before the scan."""
+    src = mask_comments(with_roles(files)).withColumn("content", F.col("code"))
     if gates is None:
         return scan_rules(src, R.SINKS)
     # Whether the file reads a request is decided in the same pass over its text.

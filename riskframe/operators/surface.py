@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ident, paths
 from .core import cut_lineage, first_row, fixed_point, top_k, unique_match
+from .detect.engine import mask_comments
 
 WRITES = ["POST", "PUT", "PATCH", "DELETE"]
 # Sinks that raise the risk of an endpoint in the same file.
@@ -45,7 +46,10 @@ def _calls(files: DataFrame, pattern: str, suffixes: str, technology: str, engin
 
 
 def extract_routes(files: DataFrame) -> DataFrame:
-    """routes(repo, code_path, method, path, technology, source, params) from router calls, decorators and file names."""
+    """routes(repo, code_path, method, path, technology, source, params) from router calls, decorators and file names.
+
+    Comments are blanked out first: a route in one is none."""
+    files = mask_comments(files).withColumn("content", F.col("code"))
     js, py = r"\.(?:js|jsx|ts|tsx|mjs|cjs)$", r"\.py$"
     express = _calls(files, r"\b\w*(?:[aA]pp|[rR]outer|[sS]erver|fastify|[aA]pi)\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['\"`](/[^'\"`\n]*)['\"`]", js, "express", "router", 1, 2)
     on = _calls(files, r"\.on\s*\(\s*['\"](get|post|put|patch|delete|GET|POST|PUT|PATCH|DELETE)['\"]\s*,\s*['\"](/[^'\"\n]*)['\"]", js, "hono", "router", 1, 2)
@@ -73,9 +77,10 @@ def serverless_routes(files: DataFrame) -> DataFrame:
             .select("repo", F.col("path").alias("code_path"), F.lit("ANY").alias("method"),
                     F.concat(F.lit("/"), F.regexp_extract("path", r"(?:functions|api)/([\w-]+)(?:/index)?\.(?:ts|js)$", 1)).alias("path"), F.lit(None).cast("string").alias("auth_type")))
     t = files.filter(F.contains("content", F.lit("AWS::Serverless::Function"))).select("repo", F.col("path").alias("code_path"), F.posexplode(F.split("content", r"Type:\s*AWS::Serverless::Function")).alias("_n", "b")).filter("_n > 0").drop("_n")
-    ev = F.arrays_zip(F.regexp_extract_all("b", F.lit(r"Path:\s*['\"]?(/[^\s'\"]*)"), F.lit(1)).alias("p"), F.regexp_extract_all("b", F.lit(r"Method:\s*['\"]?(\w+)"), F.lit(1)).alias("m"))
-    api = (t.select("repo", "code_path", F.explode(ev).alias("e")).filter("e.p IS NOT NULL")
-           .select("repo", "code_path", F.upper(F.coalesce("e.m", F.lit("ANY"))).alias("method"), normalize_path(F.col("e.p")).alias("path"), F.lit(None).cast("string").alias("auth_type")))
+    # One piece for each event, so that an event without a method doesn't take the next one's.
+    event = t.select("repo", "code_path", F.explode(F.split("b", r"Type:\s*['\"]?(?:Http)?Api\b")).alias("e"))
+    api = (event.select("repo", "code_path", F.regexp_extract("e", r"Path:\s*['\"]?(/[^\s'\"]*)", 1).alias("p"), F.regexp_extract("e", r"Method:\s*['\"]?(\w+)", 1).alias("m")).filter("p <> ''")
+           .select("repo", "code_path", F.upper(F.when(F.col("m") == "", F.lit("ANY")).otherwise(F.col("m"))).alias("method"), normalize_path(F.col("p")).alias("path"), F.lit(None).cast("string").alias("auth_type")))
     url = (t.filter(F.contains("b", F.lit("FunctionUrlConfig"))).select("repo", "code_path", F.lit("ANY").alias("method"), F.lit("/").alias("path"),
                                                                        F.regexp_extract("b", r"AuthType:\s*['\"]?(\w+)", 1).alias("auth_type")))
     return edge.unionByName(api).unionByName(url).withColumn("technology", F.lit("serverless")).withColumn("source", F.lit("serverless"))
@@ -103,10 +108,13 @@ def dedupe_routes(routes: DataFrame) -> DataFrame:
     return keep.withColumn("listed", listed).drop("_prio", "_svc").select(*routes.columns, "listed")
 
 
-# Parameter and path patterns of the candidate lists.
+# Whole names of parameters, and path patterns, of the candidate lists.
 BUCKETS = [
-    ("write", "method", "^(?:POST|PUT|PATCH|DELETE)$"), ("idor", "param", r"(?i)(?:^|_)id$|Id$|uuid"), ("ssrf", "param", r"(?i)url|uri|endpoint|webhook|callback|target|host"),
-    ("open_redirect", "param", r"(?i)redirect|return|next|goto|continue"), ("upload", "path", r"(?i)upload|import|attachment|avatar|media"),
+    ("write", "method", "^(?:POST|PUT|PATCH|DELETE)$"), ("idor", "param", r"(?:^|_)(?i:id)$|[a-z0-9]Id$|(?i:uuid)"),
+    ("ssrf", "param", r"(?i)^(?:url|uri|link|domain|host|endpoint|webhook|feed|rss|image|img|src|proxy|fetch|target|origin|site|address)s?$"),
+    ("open_redirect", "param", r"(?i)^(?:redirect|redirect_?uri|next|return|return_?url|callback|continue|dest|destination|goto)s?$"),
+    ("traversal", "param", r"(?i)^(?:file|filename|filepath|path|dir|folder|template|name|key|attachment|download|doc)s?$"),
+    ("upload", "path", r"(?i)upload|import|attachment|avatar|media"),
     ("auth", "path", r"(?i)login|signin|sign-in|token|password|register|signup|otp|oauth"),
 ]
 

@@ -60,7 +60,7 @@ def _(t):
 
 
 @query("f03_ids", """
-SELECT repo, seq, l AS line, 'wv1_' || substr(sha256(category || '|' || file || '|' || key || '|' || l::VARCHAR || '|' || coalesce(cve, pkg, '')), 1, 16) AS instance_id,
+SELECT repo, seq, l AS line, 'place1_' || substr(sha256(category || '|' || file || '|' || key || '|' || l::VARCHAR || '|' || coalesce(cve, pkg, '')), 1, 16) AS instance_id,
   'wc1_rul_' || substr(sha256('rule|' || category || ':' || key), 1, 12) AS cluster_id
 FROM (SELECT *, line AS l FROM scan_findings)""")
 def _(t):

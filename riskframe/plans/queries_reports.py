@@ -143,7 +143,7 @@ def _(t):
     return scan_to_ledger(t.scan_findings).select("repo", "seq", "line", "attack_class", "category", "confidence", "rule_id")
 
 
-STD = "(VALUES " + ", ".join(f"('{n}', '{','.join('CWE-' + c for c in cwe)}', '{asvs}')" for n, cwe, asvs, _r in std.standards_rows()) + ") AS s(attack_class, cwe, asvs)"
+STD = "(VALUES " + ", ".join(f"('{n}', '{','.join('CWE-' + c for c in cwe)}', '{asvs}')" for n, cwe, asvs, _r in std.STANDARDS) + ") AS s(attack_class, cwe, asvs)"
 
 
 @query("n15_attach_standards", f"SELECT l.attack_class, s.cwe, s.asvs, count(*) AS n FROM ledger l LEFT JOIN {STD} ON l.attack_class = s.attack_class GROUP BY ALL")

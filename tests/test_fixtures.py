@@ -269,3 +269,24 @@ def test_reassess(spark):
 
 def test_cve_of(spark):
     assert one(spark, ident.cve_of(F.lit(None).cast("string"), F.lit("x"), F.lit("lib cve-2024-12345 bad")).alias("c")).c == "CVE-2024-12345"
+
+
+def test_comments_are_not_code(spark):
+    f = frame(spark, [("r", "src/a.js", '// app.get("/dead", h)\n/* app.get("/gone", h) */\napp.get("/live", h)\n// eval(req.body.code)\nconst u = "http://x";\neval(req.body.code)\n'),
+                      ("r", "src/b.py", '# @app.get("/dead")\n@app.get("/b")\ndef b(): pass\n')], "repo string, path string, content string")
+    assert {r.path for r in sf.extract_routes(f).collect()} == {"/live", "/b"}
+    assert [r.line for r in packs.sinks(f).filter("rule_id = 'eval-injection'").collect()] == [6]
+
+
+def test_bucket_names_are_whole(spark):
+    names = ["securityId", "url", "curl", "redirect_uri", "file", "valid", "user_id"]
+    routes = frame(spark, [("r", "GET", f"/{n}", [n]) for n in names], "repo string, method string, path string, params array<string>")
+    got = {(r.path[1:], r.bucket) for r in sf.target_buckets(routes).collect()}
+    assert got == {("securityId", "idor"), ("url", "ssrf"), ("redirect_uri", "open_redirect"), ("file", "traversal"), ("user_id", "idor")}
+
+
+def test_events_keep_their_methods(spark):
+    text = ("F:\n  Type: AWS::Serverless::Function\n  Events:\n    A:\n      Type: Api\n      Properties:\n        Path: /a\n    B:\n      Type: HttpApi\n"
+            "      Properties:\n        Method: post\n        Path: /b\n")
+    f = frame(spark, [("r", "t.yaml", text)], "repo string, path string, content string")
+    assert {(r.method, r.path) for r in sf.serverless_routes(f).collect()} == {("ANY", "/a"), ("POST", "/b")}
