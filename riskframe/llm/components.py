@@ -41,7 +41,7 @@ def _local_stars(links: DataFrame) -> DataFrame:
 def _large_star(stars: DataFrame) -> DataFrame:
     both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # the small star drops repeats
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
@@ -50,13 +50,19 @@ def _small_star(stars: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _open(stars: DataFrame) -> bool:
+    """Whether an id hangs on two centres, or on one that hangs on another."""
+    ends = stars.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("centre")).unionByName(stars.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("centre")))
+    return bool(ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 or up = 1 and centre = 1").take(1))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of each id in ``links(u, v)``: the least id it can reach. No links give no rows.
 
     Each partition first reduces its links to stars; then stars of neighbours are joined (large and small
-    stars in turn) until no centre hangs on another one. Every round is written to the shared folder."""
+    stars in turn) until every id hangs on one centre, and no centre on another one. Every round is written to the shared folder."""
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     stars = written(_local_stars(links).distinct())
-    while stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").take(1):
+    while _open(stars):
         stars = written(_small_star(_large_star(stars)))
     return stars.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
