@@ -12,8 +12,8 @@ all pairs: a list first links its members with the one whose rare shingles are f
 known, only members of different components are compared.
 
 Shingles and sets are held by 64-bit hashes (sets also by size). Null texts and texts without words have
-empty sets and link with nothing; rows that repeat a doc_id count as that document; rows without doc_id are
-left out."""
+empty sets and link with nothing; rows that repeat a doc_id count as that document, whose sets link; rows without
+doc_id are left out."""
 
 from __future__ import annotations
 
@@ -194,7 +194,7 @@ def _fits(percent: int) -> str:
 
 
 def linked_nodes(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, n: int, percent: int, boundary: int) -> DataFrame:
-    """(u, v): links between sets that join all nodes which similarity joins."""
+    """(id, component) of the nodes that link with others: the least node each can reach."""
     blocks = ex.n_blocks(docs)
     rows = signatures(docs, n, percent, boundary, sketch)
     order = Window.partitionBy("gram", "common").orderBy("place", "n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -206,9 +206,10 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, n: int,
     heavy = lists.filter("common = 0").drop("common")
     pairs = ex.written(heavy.filter(_fits(percent)).select(*pair).distinct())
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    links = ex.written(compared(pairs, members_of(docs, nodes, facts, n, blocks), percent).unionByName(light))
+    again = facts.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).filter("u <> last").select("doc_id", "u")
+    same = facts.join(again, "doc_id").select("u", F.col("node").alias("v")).filter("u <> v")
+    label = ex.written(components(compared(pairs, members_of(docs, nodes, facts, n, blocks), percent).unionByName(light).unionByName(same)))
     # members of one list that are still apart
-    label = components(links)
     every = heavy.select("gram", "node", "n", "place").unionByName(heavy.select("gram", F.col("other").alias("node"), F.col("other_n").alias("n"), F.col("other_place").alias("place"))).distinct()
     apart = heavy.join(label.select(F.col("id").alias("node"), F.col("component").alias("c")), "node", "left").join(label.select(F.col("id").alias("other"), F.col("component").alias("d")), "other", "left").filter("coalesce(c, node) <> coalesce(d, other)").select("gram").distinct()
     mine = every.join(apart, "gram", "left_semi").join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -217,8 +218,9 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, n: int,
     rest = ex.written(rest.join(pairs, ["u", "v"], "left_anti"))
     if rest.take(1):
         nodes = rest.select(F.col("u").alias("node")).unionByName(rest.select(F.col("v").alias("node"))).distinct()
-        links = links.unionByName(compared(rest, members_of(docs, nodes, facts, n, blocks), percent))
-    return links
+        more = compared(rest, members_of(docs, nodes, facts, n, blocks), percent)
+        label = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+    return label
 
 
 def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, sketch_bits: int = 22, boundary: int | None = None) -> DataFrame:
@@ -229,10 +231,10 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, sketch_bi
     found = ex.written(facts_and_sketch(docs, shingle, sketch_bits))
     facts = found.filter("doc_id is not null").select("doc_id", "node", "n")
     sketch = sketch_of(found.filter("slice is not null"), sketch_bits)
-    links = linked_nodes(docs, facts, sketch, shingle, percent, boundary_of(facts, percent) if boundary is None else boundary)
-    # nodes by the least document that has the set
+    label = linked_nodes(docs, facts, sketch, shingle, percent, boundary_of(facts, percent) if boundary is None else boundary)
+    # nodes and components by the least document that has the set
     least = ex.written(facts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
-    edges = links.join(least.select(F.col("node").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("node").alias("v"), F.col("least").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    label = components(edges)
-    own = least.join(label.withColumnRenamed("id", "least"), "least", "left").select("node", F.coalesce("component", "least").alias("component"))
+    linked = label.select(F.col("id").alias("node"), F.col("component").alias("centre")).join(least, "node")
+    first = linked.groupBy("centre").agg(F.min("least").alias("component"))
+    own = least.join(linked.join(first, "centre").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("component"))
     return facts.join(own, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -118,6 +118,12 @@ def test_jaccard_empty_and_repeats(spark, empty):
     assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_join(df).collect()} == {(0, 0), (1, 1)}
 
 
+def test_jaccard_of_documents_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (9, b), (12, c)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_join(df).collect()} == {(3, 3), (5, 3), (9, 3), (12, 12)}
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     RNG.shuffle(links)
@@ -125,6 +131,11 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 130)}}
 
 
+def test_components_of_an_id_between_two_centres(spark):
+    one, two = (spark.createDataFrame([(3, v)], "u long, v long") for v in (1, 2))  # a partition each
+    assert {(r.id, r.component) for r in components.components(one.union(two)).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     with tempfile.TemporaryDirectory() as folder:
