@@ -146,10 +146,10 @@ def _conditions(pack: dict) -> Column:
 
 
 # Comments and string literals of the two comment styles.
-C_STYLE = (r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+){0,400}\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+){0,400}'|`[^`\\]*+(?:\\.[^`\\]*+){0,400}`"
+C_STYLE = (r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
            r"|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:[^-]|-(?!->))*+-->")
-HASH_STYLE = (r"\"\"\"(?:[^\"]|\"(?!\"\"))*+\"\"\"|'''(?:[^']|'(?!''))*+'''|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+){0,400}\""
-              r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+){0,400}'|#[^\n]*")
+HASH_STYLE = (r"\"\"\"(?:[^\"]|\"(?!\"\"))*+\"\"\"|'''(?:[^']|'(?!''))*+'''|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+              r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|#[^\n]*")
 
 
 def _masked(text: Column, pattern: str, comment: str) -> Column:

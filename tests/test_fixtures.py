@@ -235,6 +235,20 @@ def test_mask_keeps_strings_and_lines(spark):
     assert py == "x = '#no'       \ny"
 
 
+@pytest.mark.parametrize("quote", ['"', "'", "`"])
+@pytest.mark.parametrize("escapes", [401, 30_000])
+def test_strings_of_many_escapes_hide_no_code(spark, quote, escapes):
+    literal = quote + "\\n" * escapes + " http://x /* " + quote
+    js = f"const t = {literal}; eval(req.body.code); app.get('/live', h); /* gone */ // dead\n"
+    py = f"t = {literal.replace('//', '# ')}; eval(request.args['q'])  # dead\n"
+    f = files(spark, ("src/a.js", js), *([("src/b.py", py)] if quote != "`" else []))
+    code = {r.path: r.code for r in engine.mask_comments(f).collect()}
+    assert code["src/a.js"] == js.replace("/* gone */ // dead", " " * 18)
+    assert quote == "`" or code["src/b.py"] == py.replace("# dead", " " * 6)
+    assert packs.sinks(f).filter("rule_id = 'eval-injection' and path = 'src/a.js'").count() == 1
+    assert [r.path for r in sf.extract_routes(f).collect()] == ["/live"]
+
+
 def test_redirect_and_backdoor_pairs(spark):
     f = engine.with_roles(files(spark, ("src/a.js", "axios.get(url, o)"), ("src/b.js", "axios.get(url, {maxRedirects: 0})\naxios.get(url, o)"), ("src/c.js", "if (token.startsWith('dev-')) ok()")))
     assert {(r.path, r.kind) for r in engine.file_findings(f, R.REDIRECT_LEADS).collect()} == {("src/a.js", "redirect-unguarded")}
