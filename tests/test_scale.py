@@ -114,6 +114,14 @@ def test_taint_against_walk(spark):
     assert got == brute_flows(by) and got
 
 
+def test_every_call_of_a_line_is_a_sink(spark):
+    lines = ["query(a); exec(req.body.x)", "x = req.query.q;", "fetch(b); exec(x); query(c); exec(c); exec(x + 1)", "eval(" + "a + " * 200 + "req.body.y)", "redirect(query(x))", "exec(); query(c)"]
+    f = spark.createDataFrame([("r", "a.js", "\n".join(lines)), ("r", "b.js", ";".join(["query(a)"] * 500) + ";exec(req.body.x)")], "repo string, path string, content string")
+    got = sorted((r.path, r.pos, r.sink, r.hops) for r in packs.taint_flows(f).collect())
+    assert got == [("a.js", 0, "exec", 0), ("a.js", 2, "exec", 1), ("a.js", 2, "exec", 1), ("a.js", 3, "eval", 0), ("a.js", 4, "query", 1), ("a.js", 4, "redirect", 1), ("b.js", 0, "exec", 0)]
+    assert taint_events(f).filter("path = 'b.js' and kind = 'sink'").count() == 501
+
+
 def test_nothing_is_cut_off(spark):
     """Many functions in a template, long paths, long arguments, routers of any name."""
     from riskframe.operators import surface
