@@ -7,7 +7,9 @@ each hit the aligned words are compared, and the pair counts as a leak where ``o
 row (the whole item, if it is shorter) agree in ``percent`` of places or more.
 
 The default masks hit every overlap of 13 words with up to two substitutions (11 of 13 agree at 80 %); this
-is tested pattern by pattern. Items of fewer words than a mask are never hit by it.
+is tested pattern by pattern. Items of fewer than ``overlap`` words get masks of their own length (only for lengths that
+the benchmark has), which hit every pattern that ``percent`` allows. Items of fewer than ``least_words`` words are
+left out.
 
 Where the benchmark is within ``broadcast_bytes`` (checked), its hashes go to all tasks and texts are neither
 shuffled nor sent; a larger benchmark is joined by Spark on the hashes, with the same result. Null and empty
@@ -16,6 +18,8 @@ left out."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,12 +41,21 @@ def plain_words(column: pa.Array) -> Words:
     return words_of([None if t is None else _PUNCTUATION[np.frombuffer(t, np.uint8)].tobytes() for t in texts])
 
 
+def whole_masks(n: int, percent: int) -> list[str]:
+    """Masks over a whole item of n words: one has 0s at all the words that an allowed copy substitutes.
+
+    Words are dealt to two groups more than may be substituted, and each mask opens as many groups as that."""
+    free = n - -(-percent * n // 100)
+    groups = min(n, free + 2) if free else 1
+    return ["".join("0" if i % groups in gone else "1" for i in range(n)) for gone in itertools.combinations(range(groups), free)]
+
+
 def spaced_hashes(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(first words, hashes) of the places where the mask fits in a document."""
     n = len(words.hashes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    out = np.full(n, int(mask, 2), np.uint64)
+    out = np.full(n, int("1" + mask, 2), np.uint64)
     for i, c in enumerate(mask):
         if c == "1":
             out = out * np.uint64(0x9E3779B97F4A7C15) + words.hashes[i:i + n]
@@ -51,6 +64,13 @@ def spaced_hashes(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return inside, mixed(out[inside])
 
 
+def item_hashes(item: Words, mask: str, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """spaced_hashes of items; of a mask over a whole item, those of the items of its length."""
+    at, value = spaced_hashes(item, mask)
+    own = np.diff(item.first)[item.documents()[at]] == len(mask) if whole else slice(None)
+    return at[own], value[own]
+
+
 def overlaps(text: Words, item: Words, place: np.ndarray, at: np.ndarray, doc: np.ndarray, which: np.ndarray, overlap: int, percent: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each hit (word ``place`` of the texts on word ``at`` of the items): the most agreeing words in a
     window around it, its length (0: no window fits) and its first word in the texts."""
@@ -87,19 +107,25 @@ def _leaks(text: Words, item: Words, place, at, ids: np.ndarray, items: np.ndarr
     return pa.record_batch([pa.array(ids[text_doc[good]], pa.int64()), pa.array(items[item_doc[good]], pa.int64()), pa.array(agree[good].astype(np.int32)), pa.array(aligned[good].astype(np.int32)), pa.array(first[good] - text.first[text_doc[good]])], names=["doc_id", "item_id", "agree", "aligned", "at"])
 
 
+def _lengths(batches):
+    """The number of words of each item."""
+    for batch in batches:
+        yield pa.record_batch([pa.array(np.diff(plain_words(batch.column("text")).first).astype(np.int64))], names=["n"])
+
+
 def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct(-F.col("agree"), -F.col("aligned"), "at")).alias("x")).select("doc_id", "item_id", (-F.col("x.col1")).alias("agree"), (-F.col("x.col2")).alias("aligned"), "x.at")
 
 
 def _against_small(docs: DataFrame, items: pa.Table, masks, overlap: int, percent: int) -> DataFrame:
-    sent, span = docs.sparkSession.sparkContext.broadcast(items), max(map(len, masks))
+    sent, span = docs.sparkSession.sparkContext.broadcast(items), max(len(m) for m, _ in masks)
 
     def run(batches):
         ids = sent.value.column("item_id").to_numpy()
         item = plain_words(sent.value.column("text").combine_chunks())
         tables = []
-        for mask in masks:
-            at, value = spaced_hashes(item, mask)
+        for mask, whole in masks:
+            at, value = item_hashes(item, mask, whole)
             order = np.argsort(value, kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[(value & np.uint64(0xFFFFF)).astype(np.int64)] = True
@@ -123,14 +149,14 @@ def _against_small(docs: DataFrame, items: pa.Table, masks, overlap: int, percen
 
 def _against_large(docs: DataFrame, items: DataFrame, masks, overlap: int, percent: int) -> DataFrame:
     """Spark joins the hashes; candidates then meet their texts."""
-    span = max(map(len, masks))
+    span = max(len(m) for m, _ in masks)
 
     def seeds(table: DataFrame, key: str) -> DataFrame:
         def run(batches):
             for batch in batches:
                 words, ids = plain_words(batch.column("text")), batch.column(key).to_numpy()
-                for mask in masks:
-                    at, value = spaced_hashes(words, mask)
+                for mask, whole in masks:
+                    at, value = item_hashes(words, mask, whole) if key == "item_id" else spaced_hashes(words, mask)
                     doc = words.documents()[at]
                     yield pa.record_batch([pa.array(value.astype(np.int64)), pa.array(ids[doc]), pa.array(at - words.first[doc])], names=["seed", key, key + "_at"])
 
@@ -150,13 +176,16 @@ def _against_large(docs: DataFrame, items: DataFrame, masks, overlap: int, perce
     return _best(near.select("doc_id", "item_id", "diagonal", "item_id_at", "text", "item_text").mapInArrow(verify, RESULT))
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: int = 13, percent: int = 80, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: int = 13, percent: int = 80, broadcast_bytes: int = 32 << 20, least_words: int = 5) -> DataFrame:
     """(doc_id, item_id, agree, aligned, at): each document that holds (a near copy of a part of) an item.
 
     ``at`` is the first word of the best window, in words without punctuation."""
     ex.ready(docs.sparkSession)
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    lengths = items.select("item_id", "text").mapInArrow(_lengths, "n long")
+    short = sorted(x.n for x in lengths.filter(F.col("n").between(1, overlap - 1)).distinct().collect())
+    masks = [(m, False) for m in masks] + [(m, True) for n in short if n >= least_words for m in whole_masks(n, percent)]
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= broadcast_bytes:
         return _against_small(docs, items.orderBy("item_id", "text").toArrow(), masks, overlap, percent)

@@ -267,6 +267,29 @@ def test_masks_hit_every_pattern():
         assert any(all(at + i not in gone for i, c in enumerate(mask) if c == "1") for mask in decontaminate.MASKS for at in range(13 - len(mask) + 1))
 
 
+def test_whole_masks_hit_every_pattern():
+    for n, percent in itertools.product(range(1, 13), (80, 60, 100)):
+        free = n - -(-percent * n // 100)
+        for gone in itertools.combinations(range(n), free):
+            assert any(all(mask[i] == "0" for i in gone) for mask in decontaminate.whole_masks(n, percent)), (n, gone)
+        assert all("1" in mask and len(mask) == n for mask in decontaminate.whole_masks(n, percent))
+
+
+@pytest.mark.parametrize("size", [32 << 20, 0])
+def test_short_items_with_substitutions(spark, size):
+    items, texts, want = [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in range(1, 13)], [], set()
+    for n, t in items:
+        for count in range(n // 5 + 2):  # one more than 80 % allows is no leak
+            for gone in itertools.combinations(range(n), count):
+                if 5 * count <= n:
+                    want.add((len(texts), n))
+                texts.append("before " + " ".join("no" if k in gone else w for k, w in enumerate(t.split())) + " after")
+    df, bench = spark.createDataFrame(rows(texts), DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    leaks = lambda **more: {(r.doc_id, r.item_id) for r in decontaminate.benchmark_leaks(df, bench, broadcast_bytes=size, **more).collect()}
+    assert leaks(least_words=1) == want
+    assert leaks() == {(d, n) for d, n in want if n >= 5}
+
+
 def test_decontamination(spark, empty):
     items = [(i, " ".join(f"t{i}x{k}" for k in range(n))) for i, n in enumerate((40, 13, 9, 4, 300))] + [(9, None), (None, "a b"), (10, "")]
     w = [t.split() if t else [] for _, t in items]
