@@ -28,7 +28,7 @@ DICTIONARY = 24 << 10
 
 def dictionary_of(texts: list[bytes]) -> bytes:
     """A trained zstandard dictionary of windows of texts; their plain join where there is too little to train on."""
-    parts = [w for t in texts for w in windows_of(t, WINDOW)[:64]]
+    parts = [w for t in texts for w in windows_of(t, WINDOW)]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, k=64, d=6).as_bytes()
     except zstandard.ZstdError:

@@ -178,6 +178,15 @@ def test_classifiers(spark, docs, empty, operator, label, least):
         assert 0 <= r.score <= 1
 
 
+def test_quality_dictionary_reads_whole_texts():
+    rng = random.Random(11)
+    noise = lambda n: "".join(f"{rng.getrandbits(48):x} " for _ in range(n))
+    phrase = "this passage stands late in every long text of the sample"
+    texts = [(noise(2400) + " ".join(f"{phrase} {noise(4)}" for _ in range(6))).encode() for _ in range(12)]
+    assert all(t.find(phrase.encode()) > 64 * quality.WINDOW for t in texts)
+    assert phrase.encode()[5:40] in quality.dictionary_of(texts)
+
+
 def test_prefix_codes_and_windows():
     codes, first = compression.prefix_codes([b"Loser los loserly", None, b"12 loser"])
     assert first.tolist() == [0, 6, 6, 8]
