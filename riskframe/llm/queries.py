@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, decontaminate, embeddings, jaccard, langid, lm, quality, substring, toxicity
+from . import audit, bpe, centroids, counts, decontaminate, embeddings, jaccard, langid, lines, lm, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scores, op3_toxicity, op4_quality, op5_language, op6_bpe, op7_token_counts, op8_embedding_dedup, op9_decontamination, op10_jaccard_join)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scores, op3_toxicity, op4_quality, op5_language, op6_bpe, op7_token_counts, op8_embedding_dedup, op9_decontamination, op10_jaccard_join, op11_centroids, op12_line_dedup, op13_filter_audit)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _REACH = """
@@ -65,6 +77,14 @@ reach AS (SELECT a AS id, a AS c FROM (SELECT a FROM link UNION SELECT b FROM li
   UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.c = link.a),
 label AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_NEAREST = "SELECT vec_id, v.e, min_by(k, struct_pack(d := vv + cc - 2 * list_dot_product(v.e, c.e), k := k)) AS k, min(vv + cc - 2 * list_dot_product(v.e, c.e)) AS distance FROM v CROSS JOIN (SELECT k, e, list_dot_product(e, e) AS cc FROM c{r}) c GROUP BY vec_id, v.e"
+_ROUND = """a{r} AS ({nearest}),
+s{r} AS (SELECT k, i, sum(x::BIGINT)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i),
+c{next} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS e FROM s{r} GROUP BY k) m USING (k)),
+"""
+
 ORACLES = {
     "op1_substring_dedup": f"""
 WITH w AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS ws FROM documents),
@@ -101,4 +121,34 @@ link AS MATERIALIZED (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n
 {_REACH.strip()}
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN label ON label.id = w.doc_id""",
+    "op11_centroids": f"""
+WITH v AS MATERIALIZED (SELECT vec_id, e, list_dot_product(e, e) AS vv FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, e FROM v QUALIFY k < 16),
+{"".join(_ROUND.format(r=r, next=r + 1, nearest=_NEAREST.format(r=r)) for r in range(3))}
+a3 AS ({_NEAREST.format(r=3)}),
+named AS (SELECT k, sha256(array_to_string(list_transform(e, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM c3)
+SELECT vec_id, k::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN named USING (k)""",
+    "op12_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM d),
+k AS (SELECT *, {_LOWER.format(f"trim(line, {_SPACES})")} AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT k.doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM k LEFT JOIN f USING (key) WHERE first IS NULL OR first = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)""",
+    "op13_filter_audit": rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+f AS (SELECT part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS m, coalesce(quality = 1, false) AS g, coalesce(toxic = 1, false) AS x
+  FROM w LEFT JOIN labels USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (g) AS g, count(*) FILTER (x) AS x FROM f GROUP BY part, m),
+i AS (SELECT unnest(range(5))::INT AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, step, 1 << o[step] AS own, coalesce(list_sum(list_transform(o[1:step - 1], lambda j: 1 << j)), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (m & (before | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (m & before = 0 AND m & own <> 0), 0) AS removed,
+  coalesce(sum(n) FILTER (m & before <> 0 AND m & own <> 0), 0) AS redundant, coalesce(sum(n) FILTER (m = own), 0) AS unique_fails,
+  coalesce(sum(g) FILTER (m & before = 0 AND m & own <> 0), 0) AS good_lost, coalesce(sum(x) FILTER (m & before = 0 AND m & own <> 0), 0) AS toxic_lost FROM c, s GROUP BY part, o, step, own)
+SELECT part, array_to_string(list_transform(o, lambda j: chr(65 + j)), '') AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
 }
