@@ -3,18 +3,19 @@ documents with benchmark passages out, and the rest encoded.
 
 Every stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again for the next
 one. All but the last keep the columns of documents (and any others). Rows without doc_id pass the stages that
-work by id as they are; of rows that share a doc_id, the second stage keeps the one with the least text."""
+work by id as they are; rows that share a doc_id are told apart by their texts, except that a passage of the
+benchmark in one of them takes all of them out."""
 
 from __future__ import annotations
 
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import bpe, decontaminate, jaccard, substring, toxicity
-from riskframe.llm.exchange import shared_folder
+from riskframe.llm.exchange import shared_folder, written
 from riskframe.llm.queries import table, tokenizer
 
 
@@ -24,17 +25,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies stays; documents without words stay."""
-    gone = jaccard.jaccard_join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    ids = docs.join(gone, "doc_id", "left_anti").filter("doc_id is not null")
-    one = ids.withColumn("№", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("`№` = 1").drop("№")
-    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The row with the least id of each group of near copies stays (five-word shingles, similarity of 0.8 or more); texts without words stay."""
+    return jaccard.one_of_each_group(docs)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of passages that occur earlier; n_chars follows. Other texts stay to the byte."""
-    new = substring.substring_dedup(docs, with_text=True).filter("changed").groupBy("doc_id").agg(F.min("text").alias("№"))
-    out = docs.join(new, "doc_id", "left")
+    """Texts without the words of passages that occur earlier; n_chars follows. Other texts stay to the byte.
+
+    A new text belongs to the rows of its doc_id and its old text; rows that repeat both share the one that lost least (none, if one of them lost none)."""
+    found = written(substring.substring_dedup(docs, with_text=True).select(F.col("doc_id").alias("№id"), F.col("text_sha256").alias("№old"), "n_removed", "changed", F.when(F.col("changed"), F.col("text")).alias("text")))
+    whole = found.filter("not changed").select("№id", "№old").distinct()
+    new = found.filter("changed").join(whole, ["№id", "№old"], "left_anti").groupBy("№id", "№old").agg(F.max_by("text", F.struct(-F.col("n_removed"), "text")).alias("№"))
+    out = docs.join(new, (F.col("doc_id") == F.col("№id")) & (F.sha2("text", 256) == F.col("№old")), "left")
     fresh = {"text": F.coalesce("№", "text")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(F.col("№").isNull(), F.col("n_chars")).otherwise(F.length("№")).cast(docs.schema["n_chars"].dataType)

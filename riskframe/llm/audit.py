@@ -51,6 +51,7 @@ def facts_of(docs: DataFrame) -> DataFrame:
     ex.ready(docs.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([own_failures(t) for t in texts], pa.int32())], names=["doc_id", "part", "digest", "fails"])
@@ -130,6 +131,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(STEPS))
 
     def run(batches):
+        ex.release()
         for batch in batches:
             for row in batch.to_pylist():
                 columns = zip(*steps_of(row["part"], row["documents"], *(row[k] for k in KINDS)), strict=True)

@@ -150,14 +150,9 @@ class Encoder:
         return [self.text(t) for t in texts]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return ex.held(("bpe", path), lambda: Encoder(path))
 
 
 def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:

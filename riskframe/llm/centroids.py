@@ -122,6 +122,7 @@ def points(vectors: DataFrame, parts: int) -> DataFrame:
     ex.ready(vectors.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             column = batch.column("embedding")
             size = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -138,6 +139,7 @@ def cached(kept: DataFrame, simplex: Simplex | None, parts: int, scale: int) ->
     ex.ready(kept.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             x = _doubles(batch, parts)
             d: list[bytes | None] = [None] * len(x)
@@ -173,6 +175,7 @@ def sums(table: DataFrame, simplex: Simplex | None, centroids: np.ndarray, parts
     ex.ready(table.sparkSession)
 
     def run(batches):
+        ex.release()
         total: dict[int, list[int]] = {}
         for batch in batches:
             for _, cells, cluster, _ in _assigned(batch, simplex, centroids, parts, scale):
@@ -227,6 +230,7 @@ def cluster(vectors: DataFrame, clusters: int = 16, rounds: int = 3, parts: int
         centroids = integers([[v // found[c][0] for v in found[c][1]] if c in found else row for c, row in enumerate(centroids.tolist())])
 
     def run(batches):
+        ex.release()
         for batch in batches:
             for rows, _, own, distance in _assigned(batch, simplex, centroids, parts, scale):
                 yield pa.record_batch([batch.column("vec_id").take(pa.array(rows)), pa.array(own.astype(np.int32)), _fitting(distance.tolist())], names=["vec_id", "cluster", "distance"])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ready, written
+from .exchange import ready, release, written
 
 
 def _local_stars(links: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def _local_stars(links: DataFrame) -> DataFrame:
     ready(links.sparkSession)
 
     def run(batches):
+        release()
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:

@@ -121,14 +121,9 @@ class Counter:
         return self.spliced(text, chunk) if len(text) > chunk else self.words(text)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """The worker's counter of a file."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    return ex.held(("counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK) -> DataFrame:

@@ -121,6 +121,7 @@ def _against_small(docs: DataFrame, items: pa.Table, masks, overlap: int, percen
     sent, span = docs.sparkSession.sparkContext.broadcast(items), max(len(m) for m, _ in masks)
 
     def run(batches):
+        ex.release()
         ids = sent.value.column("item_id").to_numpy()
         item = plain_words(sent.value.column("text").combine_chunks())
         tables = []
@@ -153,6 +154,7 @@ def _against_large(docs: DataFrame, items: DataFrame, masks, overlap: int, perce
 
     def seeds(table: DataFrame, key: str) -> DataFrame:
         def run(batches):
+            ex.release()
             for batch in batches:
                 words, ids = plain_words(batch.column("text")), batch.column(key).to_numpy()
                 for mask, whole in masks:

@@ -33,6 +33,7 @@ def points(vectors: DataFrame) -> DataFrame:
     ex.ready(vectors.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             rows = []
             for i, e, label in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
@@ -82,6 +83,7 @@ def cells(unique: DataFrame, pivots: dict[str, np.ndarray], angle: float) -> Dat
     sent = unique.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             places, payloads, row, cell, home = batch.column("place").to_pylist(), batch.column("vector").to_pylist(), [], [], []
             groups: dict[str, list[int]] = {}
@@ -166,6 +168,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tile: int = 2048, p
     ex.ready(spark)
 
     def run(key, table):
+        ex.release()
         return tile_links(table, least, key[2].as_py() == key[3].as_py())
 
     found = ex.written(tiles.groupBy("place", "cell", "a", "b").applyInArrow(run, "rep long, links long, root long"))

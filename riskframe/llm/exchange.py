@@ -8,6 +8,7 @@ key that a third of all documents hold sends one entry for each block."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -24,13 +25,36 @@ BUNDLE = "key long, kind int, sender long, payload binary"
 BLOCK_BYTES = 6 << 20
 #: Rows that Python gets at once.
 BATCH_ROWS = 1000
+#: Bytes that Python gets at once, about; a single longer row comes alone.
+BATCH_BYTES = 8 << 20
+#: Workers live through many stages: memory that arrays free goes back at once, to be there for the next worker.
+WORKER = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 NULL = -1
 
+_HELD: dict[object, object] = {}
+
+
+def held(what: object, make):
+    """What this worker keeps from task to task (an encoder with its cache); only one thing at a time."""
+    if what not in _HELD:
+        release()
+        _HELD[what] = make()
+    return _HELD[what]
+
+
+def release() -> None:
+    """Let go what this worker kept for other operators' tasks."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="riskframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -50,9 +74,12 @@ def ready(spark: SparkSession) -> None:
     home, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH")]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for name, value in WORKER.items():
+        env.setdefault(name, value)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -93,6 +120,8 @@ def bundles(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 def dealt(keys: np.ndarray, arrays: list[np.ndarray], kind: int, sender: int) -> list[tuple[int, int, int, bytes]]:
     """Entries dealt out to the bucket named in ``keys``; their order within a bucket stays."""
+    if not len(keys):
+        return []
     order = np.argsort(keys, kind="stable")
     where, starts = np.unique(keys[order], return_index=True)
     ends = np.append(starts[1:], len(keys))
@@ -104,6 +133,7 @@ def packed_documents(docs: DataFrame, blocks: int, kind: int = 0) -> DataFrame:
     ready(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids, to = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("block").to_numpy(zero_copy_only=False)
@@ -140,6 +170,7 @@ def by_key(messages: DataFrame, answer, schema: str = BUNDLE) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(key, table):
+        release()
         own: dict[int, list[tuple[int, bytes]]] = {}
         for kind, sender, payload in sorted(zip(table.column("kind").to_pylist(), table.column("sender").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda x: x[:2]):
             own.setdefault(kind, []).append((sender, payload))

@@ -58,22 +58,23 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def facts_and_sketch(docs: DataFrame, n: int, sketch_bits: int) -> DataFrame:
-    """(doc_id, node, n) of each document, and for each task slices of its counts of shingles."""
+    """(doc_id, version, node, n) of each document (``version``: hash of the text), and for each task slices of its counts of shingles."""
     ex.ready(docs.sparkSession)
 
     def run(batches):
+        ex.release()
         counts = np.zeros(1 << sketch_bits, np.uint16)
         for batch in batches:
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), n)
             place, more = np.unique(np.concatenate(sets) & np.uint64((1 << sketch_bits) - 1) if sets else np.zeros(0, np.uint64), return_counts=True)
             place = place.astype(np.int64)
             counts[place] = np.minimum(counts[place].astype(np.int64) + more, 65535)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=["doc_id", "node", "n", "slice", "payload"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("version"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=["doc_id", "version", "node", "n", "slice", "payload"])
         for i, part in enumerate(np.split(counts, SLICES)):
             if part.any():
-                yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([i], pa.int64()), pa.array([ex.pack(part)], pa.binary())], names=["doc_id", "node", "n", "slice", "payload"])
+                yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([i], pa.int64()), pa.array([ex.pack(part)], pa.binary())], names=["doc_id", "version", "node", "n", "slice", "payload"])
 
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, slice long, payload binary")
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "doc_id long, version long, node long, n long, slice long, payload binary")
 
 
 def sketch_of(parts: DataFrame, sketch_bits: int) -> np.ndarray:
@@ -128,6 +129,7 @@ def signatures(docs: DataFrame, n: int, percent: int, boundary: int, sketch: np.
     sent, mask = docs.sparkSession.sparkContext.broadcast(sketch), np.uint64(len(sketch) - 1)
 
     def run(batches):
+        ex.release()
         seen: set[int] = set()
         for batch in batches:
             columns = [[], [], [], [], []]
@@ -175,6 +177,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ex.ready(pairs.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
@@ -193,7 +196,7 @@ def _fits(percent: int) -> str:
     return f"100 * least(n, other_n) >= {percent} * greatest(n, other_n) and 1 + least(n - 1 - place, other_n - 1 - other_place) >= {need}"
 
 
-def linked_nodes(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, n: int, percent: int, boundary: int) -> DataFrame:
+def linked_nodes(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, n: int, percent: int, boundary: int, ids_link: bool = True) -> DataFrame:
     """(id, component) of the nodes that link with others: the least node each can reach."""
     blocks = ex.n_blocks(docs)
     rows = signatures(docs, n, percent, boundary, sketch)
@@ -206,9 +209,11 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, n: int,
     heavy = lists.filter("common = 0").drop("common")
     pairs = ex.written(heavy.filter(_fits(percent)).select(*pair).distinct())
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    again = facts.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).filter("u <> last").select("doc_id", "u")
-    same = facts.join(again, "doc_id").select("u", F.col("node").alias("v")).filter("u <> v")
-    label = ex.written(components(compared(pairs, members_of(docs, nodes, facts, n, blocks), percent).unionByName(light).unionByName(same)))
+    links = compared(pairs, members_of(docs, nodes, facts, n, blocks), percent).unionByName(light)
+    if ids_link:
+        again = facts.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).filter("u <> last").select("doc_id", "u")
+        links = links.unionByName(facts.join(again, "doc_id").select("u", F.col("node").alias("v")).filter("u <> v"))
+    label = ex.written(components(links))
     # members of one list that are still apart
     every = heavy.select("gram", "node", "n", "place").unionByName(heavy.select("gram", F.col("other").alias("node"), F.col("other_n").alias("n"), F.col("other_place").alias("place"))).distinct()
     apart = heavy.join(label.select(F.col("id").alias("node"), F.col("component").alias("c")), "node", "left").join(label.select(F.col("id").alias("other"), F.col("component").alias("d")), "other", "left").filter("coalesce(c, node) <> coalesce(d, other)").select("gram").distinct()
@@ -223,18 +228,43 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, sketch: np.ndarray, n: int,
     return label
 
 
+def _labelled(docs: DataFrame, percent: int, shingle: int, sketch_bits: int, boundary: int | None, ids_link: bool) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, version, node, n) of each document, (node, centre) of each set that links)."""
+    found = ex.written(facts_and_sketch(docs, shingle, sketch_bits))
+    facts = found.filter("doc_id is not null").select("doc_id", "version", "node", "n")
+    sketch = sketch_of(found.filter("slice is not null"), sketch_bits)
+    label = linked_nodes(docs, facts, sketch, shingle, percent, boundary_of(facts, percent) if boundary is None else boundary, ids_link)
+    return facts, label.select(F.col("id").alias("node"), F.col("component").alias("centre"))
+
+
 def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, sketch_bits: int = 22, boundary: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document: documents link when 100 * intersection >= percent * union.
 
     ``boundary`` is found by cost unless given."""
-    docs = docs.select("doc_id", "text")
-    found = ex.written(facts_and_sketch(docs, shingle, sketch_bits))
-    facts = found.filter("doc_id is not null").select("doc_id", "node", "n")
-    sketch = sketch_of(found.filter("slice is not null"), sketch_bits)
-    label = linked_nodes(docs, facts, sketch, shingle, percent, boundary_of(facts, percent) if boundary is None else boundary)
+    facts, label = _labelled(docs.select("doc_id", "text"), percent, shingle, sketch_bits, boundary, True)
     # nodes and components by the least document that has the set
     least = ex.written(facts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
-    linked = label.select(F.col("id").alias("node"), F.col("component").alias("centre")).join(least, "node")
+    linked = label.join(least, "node")
     first = linked.groupBy("centre").agg(F.min("least").alias("component"))
     own = least.join(linked.join(first, "centre").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("component"))
     return facts.join(own, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 80, shingle: int = 5, sketch_bits: int = 22) -> DataFrame:
+    """The rows of ``docs``, in all their columns, that stand for their group of near copies: the one with the least (doc_id, hash of its text).
+
+    Groups are of texts, so rows that share a doc_id are only as alike as their texts are. Of exact repeats (same doc_id, same text with words) one
+    row stays. Rows without doc_id, and texts without words, all stay."""
+    facts, label = _labelled(docs.select("doc_id", "text"), percent, shingle, sketch_bits, None, False)
+    facts = facts.filter("node is not null")
+    row = F.struct("doc_id", "version")
+    least = ex.written(facts.groupBy("node").agg(F.min(row).alias("least")))
+    linked = label.join(least, "node")
+    first = linked.groupBy("centre").agg(F.min("least").alias("first"))
+    own = least.join(linked.join(first, "centre").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("first"))
+    rows = ex.written(facts.groupBy("doc_id", "version", "node").agg(F.count(F.lit(1)).alias("№rows")).join(own, "node").select(F.col("doc_id").alias("№id"), F.col("version").alias("№version"), (row != F.col("first")).alias("№gone"), "№rows"))
+    key = [F.col("doc_id") == F.col("№id"), F.xxhash64("text") == F.col("№version")]
+    stay = docs.join(rows.filter("`№gone`"), key, "left_anti")
+    again = rows.filter("not `№gone` and `№rows` > 1").select("№id", "№version")
+    once = stay.join(again, key, "left_semi").withColumn("№version", F.xxhash64("text")).dropDuplicates(["doc_id", "№version"]).select(docs.columns)
+    return stay.join(again, key, "left_anti").unionByName(once) if again.take(1) else stay

@@ -66,6 +66,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
     ex.ready(docs.sparkSession)
 
     def run(batches):
+        ex.release()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
@@ -97,6 +98,7 @@ def identify(docs: DataFrame, dims: int = 1024) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((names, prototypes.astype(np.float32)))
 
     def run(batches):
+        ex.release()
         (names, prototypes), vectors = sent.value, gram_vectors(dims).astype(np.float32)
         for batch in batches:
             best, score = [], []

@@ -58,6 +58,7 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
     ex.ready(docs.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             hashes, numbers, sizes = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -78,6 +79,7 @@ def first_occurrences(ranges: DataFrame) -> DataFrame:
     """From ENTRY rows in order: (kind, hash, doc_id, version, line) with DROPPED lines, lines WAITING for the first document of their hash, FIRST documents."""
 
     def run(batches):
+        ex.release()
         last = first = lead = trail = before = None
         for batch in batches:
             n = batch.num_rows
@@ -135,6 +137,7 @@ def bitmaps(lost: DataFrame) -> DataFrame:
     """(doc_id, version, n_dropped, keep) from dropped lines, one row for each text that loses any."""
 
     def run(batches):
+        ex.release()
         rest = None
         for batch in batches:
             doc, version, line = (batch.column(c).to_numpy() for c in ORDER[1:])
@@ -182,6 +185,7 @@ def apply_bitmaps(docs: DataFrame, keep: DataFrame, with_text: bool = False) ->
     ex.ready(docs.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             n_lines, digests, texts = [], [], []
             for text, keep in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keep").to_pylist(), strict=True):

@@ -85,6 +85,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_byte
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             score = sent.value.scores(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

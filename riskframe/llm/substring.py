@@ -13,7 +13,8 @@ words of a window that starts earlier (smaller doc_id, or earlier in the same do
 3. *Stream all documents* of the block through it. Each hit marks the windows around the phrase; these are
    held against the confirmed windows, and later occurrences are removed.
 
-Windows are compared by two 64-bit hashes (anchor and window). Null and empty texts have no words. Rows that
+Windows are compared by a 64-bit hash among those that a second hash (of window and anchor) dealt to the same
+bucket; the number of buckets grows with the bytes of text, and so do the bits that must agree. Null and empty texts have no words. Rows that
 repeat a doc_id are documents of their own, in the order of their texts; rows without doc_id are left out."""
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .words import Words, member, mixed, run_starts, runs_hashed, words_of
 
 DOCUMENTS, RECURRING, ELSEWHERE = 0, 1, 2
 SPELL = 3
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, changed boolean"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, changed boolean, text_sha256 string"
 
 
 def anchors(words: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,10 +50,12 @@ def anchors(words: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndar
     return at, place[at] if len(at) else at, grams
 
 
-def window_hashes(words: Words, at: np.ndarray, anchor: np.ndarray, window: int) -> np.ndarray:
-    """One value of 64 bits for each window, from its words and its anchor."""
-    every = runs_hashed(words.hashes, window)
-    return mixed(every[at] ^ mixed(anchor)) if len(at) else np.zeros(0, np.uint64)
+def window_hashes(words: Words, at: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two values of 64 bits for each window, from its words and its anchor: the first is what windows are compared by, the second deals them out."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    every = runs_hashed(words.hashes, window)[at]
+    return mixed(every ^ mixed(anchor)), mixed(every + anchor * np.uint64(0xA0761D6478BD642F))
 
 
 def anchor_counts(docs: DataFrame, blocks: int, window: int, phrase: int) -> DataFrame:
@@ -60,6 +63,7 @@ def anchor_counts(docs: DataFrame, blocks: int, window: int, phrase: int) -> Dat
     ex.ready(docs.sparkSession)
 
     def run(batches):
+        ex.release()
         for batch in batches:
             words = words_of(batch.column("text").cast(pa.binary()).to_pylist())
             at, place, grams = anchors(words, window, phrase)
@@ -94,7 +98,7 @@ class Block:
         self.at, self.place, self.grams = anchors(self.words, window, phrase)
         self.window, self.phrase = window, phrase
 
-    def hashes(self, chosen: np.ndarray) -> np.ndarray:
+    def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return window_hashes(self.words, self.at[chosen], self.grams[self.place[chosen]], self.window)
 
 
@@ -105,12 +109,13 @@ def candidate_windows(messages: DataFrame, blocks: int, window: int, phrase: int
         b = Block(own, window, phrase)
         known = np.unique(ex.gathered([p for _, p in own.get(RECURRING, [])], 1, "u8")[0])
         chosen = np.flatnonzero(member(b.grams[b.place], known)) if len(b.at) else b.at
-        value, first, count = np.unique(b.hashes(chosen), return_index=True, return_counts=True)
+        every, deal = b.hashes(chosen)
+        value, first, count = np.unique(every, return_index=True, return_counts=True)
         order = np.argsort(first)
-        value, first, count = value[order], chosen[first[order]], count[order]
+        value, deal, first, count = value[order], deal[first[order]], chosen[first[order]], count[order]
         word = b.at[first]
         doc = b.words.documents()[word] if len(word) else word
-        return ex.bundles(ex.dealt((value >> np.uint64(20)) % np.uint64(blocks), [value, b.ids[doc], (word - b.words.first[doc]).astype(np.int32), (count > 1).astype(np.uint8)], 0, key))
+        return ex.bundles(ex.dealt(deal % np.uint64(blocks), [value, b.ids[doc], (word - b.words.first[doc]).astype(np.int32), (count > 1).astype(np.uint8)], 0, key))
 
     return ex.by_key(messages, answer)
 
@@ -166,11 +171,11 @@ def removed_words(b: Block, elsewhere: np.ndarray, recurring: np.ndarray) -> np.
     if not len(recurring):
         return gone[:-1] > 0
     # phrases come from windows that all documents together confirmed
-    confirmed = np.flatnonzero(member(b.hashes(np.arange(len(b.at))), recurring))
+    confirmed = np.flatnonzero(member(b.hashes(np.arange(len(b.at)))[0], recurring))
     letters, place = spelled(b.words.hashes), b.place[confirmed]
     starts = place[np.unique(b.grams[place], return_index=True)[1]].tolist()
     near = located(b, automaton_of({letters[SPELL * at:SPELL * (at + b.phrase)] for at in starts}), letters)
-    value = b.hashes(near)
+    value = b.hashes(near)[0]
     known = member(value, recurring)
     near, value = near[known], value[known]
     later = np.ones(len(near), bool)
@@ -195,19 +200,19 @@ def removed(messages: DataFrame, window: int, phrase: int, with_text: bool) -> D
             if n:
                 kept = [w for w, g in zip(kept, gone[lo:hi].tolist(), strict=True) if not g]
             joined = b" ".join(kept)
-            rows.append((hi - lo, n, hashlib.sha256(joined).hexdigest(), (joined if n else text) if with_text else None, n > 0))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_())
+            rows.append((hi - lo, n, hashlib.sha256(joined).hexdigest(), (joined if n else text) if with_text else None, n > 0, hashlib.sha256(text).hexdigest() if with_text and text is not None else None))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.string())
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         columns[3] = columns[3].cast(pa.string())
-        return pa.record_batch([pa.array(b.ids), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text", "changed"])
+        return pa.record_batch([pa.array(b.ids), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text", "changed", "text_sha256"])
 
     return ex.by_key(messages, answer, RESULT)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, phrase: int = 6, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, text, changed) for each document with an id.
+    """(doc_id, n_words, n_removed, kept_sha256, text, changed, text_sha256) for each document with an id.
 
-    ``text`` is null unless ``with_text``: then the kept words joined by a space where words went, else the
+    ``text_sha256`` names the text as it was; null unless ``with_text``. ``text`` is null unless ``with_text``: then the kept words joined by a space where words went, else the
     text as it is. An empty table gives an empty result."""
     if not 1 <= phrase <= window:
         raise ValueError("a phrase has from one word to the words of a window")

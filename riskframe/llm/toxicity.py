@@ -94,6 +94,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text_byt
     sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class, text_bytes))
 
     def run(batches):
+        ex.release()
         for batch in batches:
             score = sent.value.scores(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -107,6 +108,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, tex
     sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, per_class, text_bytes))
 
     def run(batches):
+        ex.release()
         for batch in batches:
             yield batch.filter(pa.array(sent.value.scores(batch.column("text").cast(pa.binary()).to_pylist()) < 0.5))
 

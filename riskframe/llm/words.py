@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,9 +11,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SEGMENT = 1 << 16
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
+#: Words longer than this are hashed one by one.
+LONG_WORD = 64
+_LANE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -22,17 +23,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
-_UP, _DOWN = powers(_BASE, SEGMENT), powers(_UNBASE, SEGMENT)
-
-
 @dataclass
 class Words:
     """Words of documents joined by a line feed: places in the bytes, hashes, and the first word of each document (one more at the end)."""
@@ -48,45 +38,56 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: lanes of eight bytes, mixed one after the other, so no arithmetic structure of a word survives."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + _LANE)
+    if not len(size):
+        return out
+    padded = np.append(data, np.zeros(8, np.uint8))
+    lanes = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+    short = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        short = short[size[short] > at]
+        if not len(short):
+            break
+        spare = np.uint64(8) * (np.uint64(8) - np.minimum(size[short] - at, 8).astype(np.uint64))
+        out[short] = mixed(out[short] * _LANE ^ ((lanes[starts[short] + at] << spare) >> spare))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     """The words of texts; ``lower`` maps A-Z first. A null text has none."""
     data = np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8)
     if lower:
         data = LOWER[data]
-    up = down = 1
-    carry, before = np.uint64(0), True
-    places, sums, backs = [], [], []
-    for base in range(0, len(data), SEGMENT):
-        part = data[base:base + SEGMENT]
-        space = SPACE[part]
-        edge = np.flatnonzero(np.diff(space, prepend=before))
-        terms = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * _UP[:len(part)], out=terms[1:])
-        terms = terms * np.uint64(up) + carry
-        places.append(edge + base)
-        sums.append(terms[edge])
-        backs.append(_DOWN[edge] * np.uint64(down))
-        carry, before = terms[-1], bool(space[-1])
-        up, down = up * pow(_BASE, SEGMENT, 1 << 64) % (1 << 64), down * pow(_UNBASE, SEGMENT, 1 << 64) % (1 << 64)
-    if not before:
-        places.append(np.array([len(data)]))
-        sums.append(np.array([carry], np.uint64))
-        backs.append(np.zeros(1, np.uint64))
-    places, sums, backs = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((places, np.int64), (sums, np.uint64), (backs, np.uint64)))
+    space = np.ones(len(data) + 2, bool)
+    np.take(SPACE, data, out=space[1:-1])
+    places = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = places[0::2], places[1::2]
-    hashes = mixed((sums[1::2] - sums[0::2]) * backs[0::2] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, begins))
+    return Words(data, starts, ends, _word_hashes(data, starts, ends), np.searchsorted(starts, begins))
 
 
 def runs_hashed(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each run of ``n`` words, by its first word; runs may cross documents."""
+    """The hash of each run of ``n`` words, by its first word; runs may cross documents. Runs of 2k words come from two of k."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for j in range(n):
-        out = out * np.uint64(_BASE) + hashes[j:len(hashes) - n + 1 + j]
-    return mixed(out ^ np.uint64(n))
+    out, reach, power, size = None, 0, hashes, 1
+    while True:
+        if n & size:
+            out = power if out is None else _joined(out[:len(power) - reach], power[reach:])
+            reach += size
+        size *= 2
+        if size > n:
+            return mixed(out[:len(hashes) - n + 1] ^ np.uint64(n))
+        power = _joined(power[:len(power) - size // 2], power[size // 2:])
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mixed(left[:len(right)] * _LANE + right[:len(left)])
 
 
 def run_starts(first: np.ndarray, n: int) -> np.ndarray:

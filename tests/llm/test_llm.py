@@ -75,6 +75,32 @@ def test_words_and_hashes_do_not_depend_on_segments():
     assert np.diff(found.first).tolist() == [len((t or b"").split()) for t in texts]
 
 
+def thue_morse(n=10):
+    """Words that any polynomial in an odd base modulo 2 ** 64 hashes alike."""
+    out = "a"
+    for _ in range(n):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_structured_words(spark):
+    a, b = thue_morse()
+    assert len(set(W.words_of([f"{a} {b} {a[:64]} {b[:64]} {a[:16]} {b[:16]}".encode()]).hashes.tolist())) == 6
+    rest = " ".join(f"w{k}" for k in range(19))
+    df = spark.createDataFrame(rows([a, b, a + " " + rest, b + " " + rest]), DOCS)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(df).collect()} == {i: i for i in range(4)}
+    assert sum(r.n_removed for r in substring.substring_dedup(df).collect()) == 0
+    bench = spark.createDataFrame([(1, a + " " + rest)], "item_id long, text string")
+    assert decontaminate.benchmark_leaks(spark.createDataFrame(rows([b]), DOCS), bench).count() == 0
+
+
+def test_runs_of_words_are_hashed_by_themselves():
+    base = W.mixed(np.arange(1, 60, dtype=np.uint64))
+    for n in range(1, 25):
+        whole = W.runs_hashed(base, n)
+        assert len(set(whole.tolist())) == len(whole) == 60 - n and W.runs_hashed(base[7:7 + n], n)[0] == whole[7]
+
+
 def test_substring(docs):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(docs).collect()}
     assert got == brute_windows(list(enumerate(TEXTS)))
@@ -350,15 +376,29 @@ def test_pipeline_by_stage(spark, tmp_path):
     assert {i: r["ids"] for i, r in five.items()} == {i: plain.encode(r["text"] or "", add_special_tokens=False).ids for i, r in four.items()}
 
 
-def brute_fast(texts):
-    """brute_groups by inverted lists."""
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    """Rows go for their text, not for their doc_id."""
+    p, clean, other = prose(120), prose(120), prose(120)
+    near = " ".join("changed" if k in (40, 80) else w for k, w in enumerate(p.split()))
+    data = [(1, p), (5, near), (5, clean), (6, None), (6, other), (6, other), (7, ""), (None, p)]
+    df = spark.createDataFrame([(i, t, *[None] * 6) for i, t in data], DOCS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, df, SMALL).collect())
+    assert got == Counter([(1, p), (5, clean), (6, None), (6, other), (7, ""), (None, p)])
+    data = [(1, PASSAGE), (5, "x " + PASSAGE + " y"), (5, clean), (5, None), (8, other), (8, other)]
+    df = spark.createDataFrame([(i, t, *[None] * 6) for i, t in data], DOCS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.remove_passages(spark, df, SMALL).collect())
+    assert got == Counter([(1, PASSAGE), (5, "x y"), (5, clean), (5, None), (8, other), (8, other)])
+
+
+def brute_fast(texts, n=5, percent=80):
+    """brute_groups by inverted lists, by the rule of the pipeline's stage."""
     lists, sets, group = defaultdict(list), {}, {}
     for i in sorted(texts):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), texts[i] or ""))
-        sets[i] = {tuple(w[p:p + 3]) for p in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[p:p + n]) for p in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
         group[i] = i
         for j, common in Counter(j for g in sets[i] for j in lists[g]).items():
-            if 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common) and group[i] != group[j]:
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common) and group[i] != group[j]:
                 low, high = sorted((group[i], group[j]))
                 group = {k: low if g == high else g for k, g in group.items()}
         for g in sets[i]:
