@@ -145,11 +145,18 @@ def _conditions(pack: dict) -> Column:
     return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
 
-# Comments and string literals of the two comment styles.
-C_STYLE = (r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
-           r"|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:[^-]|-(?!->))*+-->")
+# Comments and literals of the comment styles. A slash begins a regular expression only where no value can end before it;
+# "//" after a colon is part of an address in markup text.
+REGEX_LITERAL = r"(?<=[=(,:\[!&|?{};+\n>]|return|typeof|case)[ \t]*+/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+TEMPLATE = (r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`'\"]|'[^'\n]*+'|\"[^\"\n]*+\"|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*+\})*+`|\{[^{}]*+\})*+\})*+`")
+C_STYLE = (r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|" + TEMPLATE + "|" + REGEX_LITERAL
+           + r"|(?<!:)//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:[^-]|-(?!->))*+-->")
 HASH_STYLE = (r"\"\"\"(?:[^\"]|\"(?!\"\"))*+\"\"\"|'''(?:[^']|'(?!''))*+'''|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
               r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|#[^\n]*")
+# In shells, YAML and Ruby a sign inside a word is no comment.
+SHELL_STYLE = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\n]*+'|(?<![^\s;])#[^\n]*"
+SHELL_FILES = r"\.(?:rb|sh|bash|ya?ml|toml|tf)$|(?:^|/)Dockerfile[^/]*$"
+QUOTED_MARKUP = r"(?is)<(pre|code)\b[^>]*+>.*?</\1\s*>"
 
 
 def _masked(text: Column, pattern: str, comment: str) -> Column:
@@ -160,10 +167,14 @@ def _masked(text: Column, pattern: str, comment: str) -> Column:
 
 
 def mask_comments(files: DataFrame) -> DataFrame:
-    """Adds ``code``: the text with comments blanked out, same length, same lines. String literals stay."""
-    text = F.col("content")
-    py = F.endswith("path", F.lit(".py"))
+    """Adds ``code``: the text with comments blanked out, same length, same lines. Strings, templates and regular expressions stay.
+
+    In markup files the bodies of <pre> and <code> elements, which show code instead of being it, are blanked out too."""
+    markup = F.col("path").rlike(r"\.(?:html?|vue|svelte|mdx?)$") & F.col("content").rlike(r"(?i)<(?:pre|code)\b")
+    text = F.when(markup, _masked(F.col("content"), QUOTED_MARKUP, "^<")).otherwise(F.col("content"))
+    py, shell = F.endswith("path", F.lit(".py")), F.col("path").rlike(SHELL_FILES)
     code = (F.when(py & F.contains(text, F.lit("#")), _masked(text, HASH_STYLE, "^#"))
+            .when(shell, F.when(F.contains(text, F.lit("#")), _masked(text, SHELL_STYLE, "^#")).otherwise(text))
             .when(~py & (F.contains(text, F.lit("//")) | F.contains(text, F.lit("/*")) | F.contains(text, F.lit("<!--"))),
                   _masked(text, C_STYLE, r"^(?://|/\*|<!--)")).otherwise(text))
     return files.withColumn("code", code)

@@ -10,6 +10,7 @@ from ...functions import paths
 from ..core import cut_lineage, fixed_point, top_k
 from . import rules as R
 from .engine import Rule, has_any, mask_comments, scan_rules, with_roles
+from .tokens import events as token_events
 
 
 def sinks(files: DataFrame, gates: DataFrame | None = None) -> DataFrame:
@@ -333,50 +334,29 @@ def config_checks(files: DataFrame) -> DataFrame:
     return scan_rules(files, [Rule(n, "transport-security", p, suffixes=(sfx,)) for n, p, sfx, _cwe in R.CONFIG_CHECKS])
 
 
-# Events of a file in order: one assignment a line, and every call. The argument is only looked at, so calls in it are found too.
-ASSIGN = r"^\s*(?:const\s+|let\s+|var\s+)?([A-Za-z_$][\w$]*)\s*(\+?)=(?!=)\s*(.+)$"
-SINK_CALL = r"\b(exec|execSync|eval|query|execute|system|fetch|redirect)\s*\(\s*(?=([^,)\n]+))"
-IDENT = r"\b([A-Za-z_$][\w$]*)\b"
-
-
 def taint_events(files: DataFrame) -> DataFrame:
-    """events(repo, path, scope, pos, kind, var, call, refs, source, conditional) by line patterns; ``call`` numbers the calls of a line.
-
-    Scope is the number of top-level function starts before the line. String literals are dropped
-    before identifiers are read; template interpolations count as code."""
-    l = files.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    starts = F.col("text").rlike(r"^(?:async\s+)?(?:function|def|export)\b")
-    is_assign, is_call = F.col("text").rlike(ASSIGN), F.col("text").rlike(SINK_CALL)
-
-    def code(c):
-        return F.regexp_replace(F.regexp_replace(c, r"'[^']*'|\"[^\"]*\"", ""), r"`([^`$]*)\$\{", " ")
-
-    def event(kind, var, expr, conditional, call):
-        e = code(expr)
-        return F.struct(F.lit(kind).alias("kind"), var.alias("var"), call.alias("call"), conditional.alias("conditional"), e.rlike(R.REQUEST).alias("source"), F.array_distinct(F.regexp_extract_all(e, F.lit(IDENT), F.lit(1))).alias("refs"))
-    joins = (F.regexp_extract("text", ASSIGN, 2) == "+") | F.col("text").rlike(r"^(?:\t|    ){2,}")
-    calls = F.arrays_zip(F.regexp_extract_all("text", F.lit(SINK_CALL), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(SINK_CALL), F.lit(2)).alias("arg"))
-    assigned = F.filter(F.array(F.when(is_assign, event("assign", F.regexp_extract("text", ASSIGN, 1), F.regexp_extract("text", ASSIGN, 3), joins, F.lit(0)))), lambda e: e.isNotNull())
-    both = F.concat(assigned, F.transform(calls, lambda c, i: event("sink", c["name"], c["arg"], F.lit(False), i)))
-    # Only lines that start a scope or hold an event are shuffled, and without their text.
-    small = l.filter(starts | is_assign | is_call).select("repo", "path", "pos", starts.cast("int").alias("_s"), both.alias("_e"))
-    w = W.partitionBy("repo", "path").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return small.withColumn("scope", F.sum("_s").over(w)).select("repo", "path", "scope", "pos", F.explode("_e").alias("e")).select("repo", "path", "scope", "pos", "e.*")
+    """Assignments and sink calls of each file in order, from its token table."""
+    return token_events(files)
 
 
 def taint_flows(files: DataFrame) -> DataFrame:
-    """(repo, path, scope, pos, sink, hops): sinks whose first argument may carry request data, a row for each call.
+    """(repo, path, scope, pos, sink, hops): sinks whose first argument may carry request data, a row for each call; ``pos`` is its line from 0."""
+    return taint_over(taint_events(files))
+
+
+def taint_over(events: DataFrame) -> DataFrame:
+    """taint_flows of events(repo, path, scope, at, pos, kind, var, refs, source, conditional) in the order of ``at``.
 
     A plain assignment of a variable opens a segment; conditional ones after it join that segment. A use
     is tainted when a tainted definition of its segment lies before it, so a segment is represented by
     the position of its first tainted definition and no definition-use pairs are listed. Taint spreads
     to a fixed point; all joins stay inside one file and scope."""
-    ev = cut_lineage(taint_events(files).withColumn("id", F.struct("pos", "kind", "var", "call")))
+    ev = cut_lineage(events.select("repo", "path", "scope", "at", "pos", "kind", "var", "refs", "source", "conditional", F.struct("at", "kind", "var", "pos").alias("id")))
     at = ["repo", "path", "scope"]
-    own = "struct<pos:int,kind:string,var:string,call:int>"
-    uses = ev.select(*at, F.explode("refs").alias("var"), F.col("pos").alias("p"), "id")
-    defs = ev.filter("kind = 'assign'").select(*at, "var", F.col("pos").alias("p"), "id", "conditional")
-    # One pass over a variable's events in order: a use looks back before the definitions of its line.
+    own = ev.schema["id"].dataType
+    uses = ev.select(*at, F.explode("refs").alias("var"), F.col("at").alias("p"), "id")
+    defs = ev.filter("kind = 'assign'").select(*at, "var", F.col("at").alias("p"), "id", "conditional")
+    # One pass over a variable's events in order: a use looks back before the definitions of its own event.
     line = (defs.select(*at, "var", "p", F.lit(1).alias("o"), F.when(~F.col("conditional"), F.col("p")).alias("plain"), F.lit(None).cast(own).alias("uid"), F.col("id").alias("did"))
             .unionByName(uses.select(*at, "var", "p", F.lit(0).alias("o"), F.lit(None).cast("int").alias("plain"), F.col("id").alias("uid"), F.lit(None).cast(own).alias("did")).distinct()))
     w = W.partitionBy(*at, "var").orderBy("p", "o").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -251,6 +251,17 @@ def _(t):
     return packs.text_leaks(t.page_texts).select(*OCC)
 
 
+@query("d28_taint_over_events", """
+WITH RECURSIVE d AS (SELECT * FROM flow_events WHERE kind = 'assign'),
+edge AS (SELECT d.repo, d.path, d.n AS src, u.n AS dst FROM d JOIN flow_events u ON d.repo = u.repo AND d.path = u.path AND d.n < u.n AND (u.ref1 = d.var OR u.ref2 = d.var)
+  WHERE NOT EXISTS (SELECT 1 FROM d p WHERE p.repo = d.repo AND p.path = d.path AND p.var = d.var AND NOT p.conditional AND p.n > d.n AND p.n < u.n)),
+walk AS (SELECT repo, path, n, 0 AS hops FROM flow_events WHERE source UNION SELECT w.repo, w.path, e.dst, w.hops + 1 FROM walk w JOIN edge e ON e.repo = w.repo AND e.path = w.path AND e.src = w.n)
+SELECT w.repo, w.path, f.pos, f.var AS sink, min(hops) AS hops FROM walk w JOIN flow_events f ON f.repo = w.repo AND f.path = w.path AND f.n = w.n WHERE f.kind = 'sink' GROUP BY w.repo, w.path, w.n, f.pos, f.var""")
+def _(t):
+    events = t.flow_events.select("repo", "path", F.lit(0).alias("scope"), F.col("n").alias("at"), "pos", "kind", "var", F.array("ref1", "ref2").alias("refs"), "source", "conditional")
+    return packs.taint_over(events).select("repo", "path", "pos", "sink", "hops")
+
+
 @query("d28_taint_flows", None)
 def _(t):
     return packs.taint_flows(t.code_files)

@@ -373,3 +373,10 @@ SELECT 'repo' || {s('o_custkey % 8')} AS repo, {pick('o_orderkey', ['src', 'node
 VIEWS["detector_outcomes"] = "SELECT 'repo' || cast(c_custkey % 8 AS string) AS repo, 'd' || cast(c_custkey AS string) AS detector, CASE WHEN c_custkey % 8 = 3 AND c_custkey % 50 = 11 THEN 'failed' ELSE 'completed' END AS outcome FROM customer"
 VIEWS["requested_paths"] = f"SELECT 'repo' || {s('s_suppkey % 60')} AS repo, {pick('s_suppkey', ['src', 'docs/setup.md', 'tests/unit/', 'nope', 'src/app/handler.js'])} AS entry FROM supplier WHERE s_suppkey % 60 < 45"
 """end of views"""
+
+# Assignments and calls of one scope a file: what taint walks over.
+VIEWS["flow_events"] = """
+SELECT concat('repo', o_custkey % 5) AS repo, concat('f', o_custkey % 997, '.js') AS path, CAST(o_orderkey AS INT) AS n, CAST(o_orderkey AS INT) AS pos,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'sink' ELSE 'assign' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'exec' WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS var,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS ref1, CASE WHEN o_orderkey % 5 = 0 THEN 'a' ELSE 'c' END AS ref2,
+  o_orderkey % 11 = 4 AND o_orderkey % 3 <> 0 AS source, o_orderkey % 7 < 3 AS conditional FROM orders"""
