@@ -341,7 +341,9 @@ def taint_events(files: DataFrame) -> DataFrame:
 
 def taint_flows(files: DataFrame) -> DataFrame:
     """(repo, path, scope, pos, sink, hops): sinks whose first argument may carry request data, a row for each call; ``pos`` is its line from 0."""
-    return taint_over(taint_events(files))
+    asks = has_any(F.col("content"), ("req", "searchParams", "nextUrl", "params", "query", "body", "ctx", "userInput", "userProvided"))
+    reads = F.regexp_replace("content", r"\s*+\??([.\[])\s*+", "$1").rlike(R.REQUEST)  # without it nothing can be tainted
+    return taint_over(taint_events(files.filter(F.when(asks, reads).otherwise(False))))
 
 
 def taint_over(events: DataFrame) -> DataFrame:

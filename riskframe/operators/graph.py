@@ -6,14 +6,14 @@ import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import paths
 from ..functions.ident import clean_path
 from .core import cut_lineage, top_k
 
-# Relations that mean "depends on", and the report limits of a radius.
+# Relations that mean "depends on", and how many dependents a report names.
 DEPENDENCY_RELATIONS = ["calls", "indirect_call", "references", "imports", "imports_from", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds"]
-VISIT_CAP = 20000
 SAMPLE = 8
 
 
@@ -38,44 +38,67 @@ def suffix_match(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.unionByName(suffix).unionByName(by_base)
 
 
-def dependents(seeds: DataFrame, edges: DataFrame, cap: int = VISIT_CAP, relations=None) -> DataFrame:
-    """visited(repo, seed, id, depth) by walking dependency edges backwards from ``seeds(repo, seed, id)``.
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """(repo, seed, word, bit): seeds numbered so that up to 64 of one repository share a word. Ranges split a repository with many seeds."""
+    ordered = seeds.select("repo", "seed").distinct().repartitionByRange("repo", "seed").sortWithinPartitions("repo", "seed")
+    number = ordered.withColumn("_n", F.monotonically_increasing_id())
+    return cut_lineage(number.select("repo", "seed", F.shiftright("_n", 6).alias("word"), (F.col("_n") % 64).cast("int").alias("bit")))
 
-    One frontier per round for all seeds, until no round finds a new node. A seed whose visited count reaches the cap stops growing, which
-    the caller reports as truncated; lineage is cut every round."""
-    rel = edges.filter(F.col("relation").isin(*(relations or DEPENDENCY_RELATIONS))).select("repo", F.col("target").alias("id"), F.col("source").alias("nxt")).distinct()
-    rel = cut_lineage(rel)
-    known = frontier = cut_lineage(seeds.select("repo", "seed", "id").distinct().withColumn("depth", F.lit(0)))
-    sizes = None
+
+def dependents(seeds: DataFrame, edges: DataFrame, relations=None) -> tuple[DataFrame, DataFrame]:
+    """((repo, seed, word, bit), visited(repo, id, word, bits, depth)) by walking dependency edges backwards from ``seeds(repo, seed, id)``.
+
+    A row holds 64 seeds: the bits of those that first reach the node at this depth. Edges are walked for all of them at
+    once, so there are no rows for pairs of a seed and a node. One frontier a round, until no round finds a new bit; cycles end by themselves."""
+    rel = cut_lineage(edges.filter(F.col("relation").isin(*(relations or DEPENDENCY_RELATIONS))).select("repo", F.col("target").alias("id"), F.col("source").alias("nxt")).distinct())
+    names = _numbered(seeds)
+    key = ["repo", "id", "word"]
+    start = seeds.select("repo", "seed", "id").distinct().join(names, ["repo", "seed"])
+    fresh = cut_lineage(start.groupBy(*key).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")))
+    seen, visited = fresh, fresh.withColumn("depth", F.lit(0))
     for depth in itertools.count(1):
-        growing = frontier
-        if sizes is not None:
-            growing = frontier.join(sizes.filter(F.col("n") >= cap).select("repo", "seed"), ["repo", "seed"], "left_anti")
-        nxt = growing.join(rel, ["repo", "id"]).select("repo", "seed", F.col("nxt").alias("id")).distinct()
-        fresh = cut_lineage(nxt.join(known, ["repo", "seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        reached = fresh.join(rel, ["repo", "id"]).groupBy("repo", F.col("nxt").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = seen.groupBy(*key).agg(F.bit_or("bits").alias("old"))
+        fresh = cut_lineage(reached.join(old, key, "left").select(*key, F.expr("bits & ~coalesce(old, 0L)").alias("bits")).filter("bits <> 0"))
         if fresh.isEmpty():
-            break
-        known = cut_lineage(known.unionByName(fresh)) if depth % 4 == 0 else known.unionByName(fresh)
-        sizes = known.groupBy("repo", "seed").agg(F.count(F.lit(1)).alias("n"))
-        frontier = fresh
-    return known
+            return names, visited
+        seen, visited = seen.unionByName(fresh), visited.unionByName(fresh.withColumn("depth", F.lit(depth)))
+        if depth % 8 == 0:
+            seen, visited = cut_lineage(seen.groupBy(*key).agg(F.bit_or("bits").alias("bits"))), cut_lineage(visited)
+
+
+def reached_counts(names: DataFrame, visited: DataFrame) -> DataFrame:
+    """(repo, seed, depth, n): nodes that a seed first reaches at a depth. Bits are counted in each task before the shuffle."""
+    bits = F.array(*[F.sum(F.shiftrightunsigned("bits", b).bitwiseAND(F.lit(1))) for b in range(64)])
+    counted = visited.groupBy("repo", "word", "depth").agg(bits.alias("_c")).select("repo", "word", "depth", F.posexplode("_c").alias("bit", "n")).filter("n > 0")
+    return counted.join(names, ["repo", "word", "bit"]).select("repo", "seed", "depth", "n")
+
+
+def nearest_nodes(names: DataFrame, visited: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """(repo, seed, id, depth): the nodes of each seed down to the depth at which it has ``k`` besides its own; only these become pairs."""
+    w = W.partitionBy("repo", "seed").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)
+    wanted = counts.filter("depth > 0").withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("_before") < k)
+    mask = wanted.join(names, ["repo", "seed"]).groupBy("repo", "word", "depth").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+    left = visited.join(mask, ["repo", "word", "depth"]).withColumn("bits", F.expr("bits & mask")).filter("bits <> 0")
+    pairs = left.select("repo", "word", "id", "depth", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1L) = 1L)")).alias("bit"))
+    return pairs.join(names, ["repo", "word", "bit"]).select("repo", "seed", "id", "depth")
 
 
-def blast_radius(findings: DataFrame, nodes: DataFrame, edges: DataFrame, cap: int = VISIT_CAP) -> DataFrame:
+def blast_radius(findings: DataFrame, nodes: DataFrame, edges: DataFrame, cap: int | None = None) -> DataFrame:
     """(repo, place, blast_radius, sample, truncated) per matched place.
 
-    Radius counts dependents without the seeds themselves; the sample is the nearest eight by label."""
+    Radius counts all dependents without the seeds themselves, of whatever number; with ``cap`` it stops there (the seeds' own nodes
+    counted in) and says ``truncated``. The sample is the nearest eight by label."""
     match = suffix_match(findings, nodes)
     n = nodes.withColumn("source_file", clean_path(F.col("source_file")))
     seeds = match.join(n, ["repo", "source_file"]).select("repo", F.col("source_file").alias("seed"), "id")
-    seen = dependents(seeds, edges, cap)
-    grown = seen.filter("depth > 0")
-    # What lies past the cap is not counted; the nearest nodes stay.
-    total = seen.groupBy("repo", "seed").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("depth") == 0).alias("_own"))
-    near = top_k(grown.join(nodes.select("repo", "id", F.coalesce("label", "source_file", "id").alias("label")), ["repo", "id"], "left"),
+    names, visited = dependents(seeds, edges)
+    counts = cut_lineage(reached_counts(names, visited))
+    total = counts.groupBy("repo", "seed").agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("depth") == 0, F.col("n")).otherwise(0)).alias("_own"))
+    near = top_k(nearest_nodes(names, visited, counts, SAMPLE).join(nodes.select("repo", "id", F.coalesce("label", "source_file", "id").alias("label")), ["repo", "id"], "left"),
                  ["repo", "seed"], [F.col("depth"), F.coalesce("label", "id"), F.col("id")], SAMPLE)
     sample = near.groupBy("repo", "seed").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("label", "id").alias("label")))).alias("s"))
     out = total.join(sample, ["repo", "seed"], "left")
+    shown, cut = (F.col("_all"), F.lit(False)) if cap is None else (F.least(F.col("_all"), F.lit(cap)), F.col("_all") >= cap)
     return (match.withColumnRenamed("source_file", "seed").join(out, ["repo", "seed"])
-            .select("repo", "place", F.least(F.col("_all"), F.lit(cap)).alias("_v"), "_own", F.coalesce(F.transform("s", lambda x: x["label"]), F.array().cast("array<string>")).alias("sample"), (F.col("_all") >= cap).alias("truncated"))
-            .select("repo", "place", (F.col("_v") - F.col("_own")).alias("blast_radius"), "sample", "truncated"))
+            .select("repo", "place", (shown - F.col("_own")).alias("blast_radius"), F.coalesce(F.transform("s", lambda x: x["label"]), F.array().cast("array<string>")).alias("sample"), cut.alias("truncated")))
