@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .textjoin import contains_join
 
 
 def _cell_columns(n: str = "n", k: str = "k"):
@@ -80,7 +81,7 @@ def truth_match(findings: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds ``is_real``: the verdict all matching truth entries agree on, else NULL.
 
     Entries match on repo and class, and by wildcard or substring of the location. Wildcards are
-    reduced to one row per class first; substrings are tested against distinct locations only."""
+    reduced to one row per class first; substrings meet distinct locations through their rarest gram."""
     t = (truth.filter("is_real IS NOT NULL")
          .select(F.col("app").alias("repo"), "attack_class",
                  F.lower(F.coalesce("location_contains", F.lit(""))).alias("_sub"), "is_real"))
@@ -90,11 +91,9 @@ def truth_match(findings: DataFrame, truth: DataFrame) -> DataFrame:
     subs = (t.filter(~wild).groupBy("repo", "attack_class", "_sub")
             .agg(F.min("is_real").alias("_smin"), F.max("is_real").alias("_smax")))
     places = findings.select("repo", "attack_class", F.lower("location").alias("_loc")).distinct()
-    hit = (places.alias("p").join(subs.alias("s"), (F.col("p.repo") == F.col("s.repo"))
-                                  & (F.col("p.attack_class") == F.col("s.attack_class"))
-                                  & F.expr("contains(p._loc, s._sub)"))
-           .groupBy("p.repo", "p.attack_class", "p._loc")
-           .agg(F.min("_smin").alias("_smin"), F.max("_smax").alias("_smax")))
+    keys = ["repo", "attack_class"]
+    hit = (contains_join(places, subs, keys, "_loc", "_sub").join(subs, [*keys, "_sub"])
+           .groupBy(*keys, "_loc").agg(F.min("_smin").alias("_smin"), F.max("_smax").alias("_smax")))
     lo, hi = F.least("_wmin", "_smin"), F.greatest("_wmax", "_smax")
     return (findings.withColumn("_loc", F.lower("location"))
             .join(any_place, ["repo", "attack_class"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ident import clean_path, embedded_paths
+from .textjoin import contains_join, longest_literal
 
 
 def read_policy(files: DataFrame, today: Column | None = None):
@@ -89,35 +90,45 @@ def finding_paths() -> Column:
     return F.filter(F.array_distinct(F.transform(every, lambda v: clean_path(F.coalesce(v, F.lit(""))))), lambda v: v != "")
 
 
+def path_literal(pattern: Column) -> Column:
+    """What every path that ``path_regex`` accepts contains."""
+    return longest_literal(F.lower(F.translate(F.trim(pattern), "\\", "/")), "/")
+
+
+def matched_paths(paths: DataFrame, patterns: DataFrame, keys, path: str) -> DataFrame:
+    """(keys, path, pattern): lower-case paths that a path pattern of the same keys matches. Patterns meet paths by their longest literal."""
+    keys = list(keys)
+    p = patterns.select(*keys, "pattern", path_regex(F.col("pattern")).alias("_rx"), path_literal(F.col("pattern")).alias("_lit")).filter("_rx IS NOT NULL").distinct()
+    near = contains_join(paths, p, keys, path, "_lit")
+    return near.join(p, [*keys, "_lit"]).filter(F.rlike(F.col(path), F.col("_rx"))).select(*keys, path, "pattern").distinct()
+
+
 def suppress(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Adds suppressed, legacy_only and the number of legacy patterns that hit.
 
-    The theta join runs on distinct (repo, category, location, file, title) tuples against the
-    patterns of the same repo, so copies of a finding are tested once. Category patterns are an equi
-    join. A pattern list is small next to the findings; Spark broadcasts it if its size allows and
-    otherwise splits hot repos (adaptive skew join)."""
+    Works on distinct (repo, category, location, file, title) tuples, so copies of a finding are tested once. No pattern is tried on
+    all findings of its repository: category patterns are an equi join, all others meet the texts that hold their longest literal."""
     cols = ["repo", "category", "location", "file", "title"]
-    shapes = findings.select(*cols).distinct()
     text = F.lower(F.concat_ws(" ", F.coalesce("category", F.lit("")), F.coalesce("location", F.lit("")), F.coalesce("title", F.lit(""))))
-    pats = (suppressions.select("repo", "pattern", "kind").distinct()
-            .withColumn("_rx", F.when(F.col("kind") == "path", path_regex(F.col("pattern"))))
-            .withColumn("_glob", legacy_regex(F.col("pattern"))).withColumn("_low", F.lower("pattern"))
-            .withColumn("_cat", F.when(F.col("kind") == "category", F.trim(F.split_part("_low", F.lit(":"), F.lit(2)))))
-            .select(F.col("repo").alias("_repo"), "pattern", "_rx", "_glob", "_low", "_cat", "kind"))
-    s = shapes.withColumn("_text", text).withColumn("_paths", F.transform(finding_paths(), lambda p: F.lower(p)))
-    strict = (F.coalesce(F.lower("category") == F.col("_cat"), F.lit(False))
-              | F.coalesce(F.exists("_paths", lambda p: F.rlike(p, F.col("_rx"))), F.lit(False)))
-    legacy = (F.expr("contains(_text, _low)") | F.rlike(F.lower(F.coalesce("location", F.lit(""))), F.col("_glob")))
-    same = [F.col("s." + c).eqNullSafe(F.col("v." + c)) for c in cols]
-    verdict = (s.join(pats, (F.col("repo") == F.col("_repo")) & (strict | legacy))
-               .groupBy(*cols).agg(F.bool_or(strict).alias("_strict"), F.count_if(legacy).alias("_legacy")))
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return (findings.alias("s").join(verdict.alias("v"), cond, "left")
-            .select("s.*", F.col("v._legacy").isNotNull().alias("suppressed"),
-                    F.coalesce(~F.col("v._strict"), F.lit(False)).alias("legacy_only"),
-                    F.when(F.coalesce(~F.col("v._strict"), F.lit(False)), F.col("v._legacy")).otherwise(F.lit(0)).alias("legacy_patterns")))
+    shapes = (findings.select(*cols).distinct().withColumn("_id", F.sha2(F.to_json(F.struct(*cols)), 256)).withColumn("_text", text)
+              .withColumn("_where", F.lower(F.coalesce("location", F.lit("")))).withColumn("_paths", F.transform(finding_paths(), lambda p: F.lower(p))))
+    pats = (suppressions.select("repo", "pattern", "kind").distinct().withColumn("_low", F.lower("pattern")).withColumn("_glob", legacy_regex(F.col("pattern")))
+            .withColumn("_cat", F.when(F.col("kind") == "category", F.trim(F.split_part("_low", F.lit(":"), F.lit(2))))))
+
+    def hits(df, strict):
+        return df.select("repo", "_id", "pattern", F.lit(strict).alias("_strict"), F.lit(not strict).alias("_legacy"))
+    by_category = shapes.select("repo", "_id", F.lower("category").alias("_cat")).join(pats.filter("_cat IS NOT NULL").select("repo", "_cat", "pattern"), ["repo", "_cat"])
+    each = shapes.select("repo", "_id", F.explode("_paths").alias("_path"))
+    by_path = each.join(matched_paths(each, pats.filter("kind = 'path'"), ["repo"], "_path"), ["repo", "_path"])
+    by_text = shapes.join(contains_join(shapes, pats, ["repo"], "_text", "_low"), ["repo", "_text"]).join(pats.select("repo", "_low", "pattern"), ["repo", "_low"])
+    globs = pats.select("repo", "pattern", "_glob", longest_literal(F.col("_low")).alias("_lit"))
+    by_place = (shapes.join(contains_join(shapes, globs, ["repo"], "_where", "_lit"), ["repo", "_where"]).join(globs, ["repo", "_lit"]).filter(F.rlike(F.col("_where"), F.col("_glob"))))
+    every = hits(by_category, True).unionByName(hits(by_path, True)).unionByName(hits(by_text, False)).unionByName(hits(by_place, False))
+    verdict = (every.groupBy("_id", "pattern").agg(F.bool_or("_strict").alias("_strict"), F.bool_or("_legacy").alias("_legacy"))
+               .groupBy("_id").agg(F.bool_or("_strict").alias("_strict"), F.count_if("_legacy").alias("_legacy")))
+    legacy_only = F.coalesce(~F.col("_strict"), F.lit(False))
+    return (findings.withColumn("_id", F.sha2(F.to_json(F.struct(*cols)), 256)).join(verdict, "_id", "left")
+            .select(*findings.columns, F.col("_legacy").isNotNull().alias("suppressed"), legacy_only.alias("legacy_only"), F.when(legacy_only, F.col("_legacy")).otherwise(F.lit(0)).alias("legacy_patterns")))
 
 
 def replacement_for(kind: Column, pattern: Column) -> Column:

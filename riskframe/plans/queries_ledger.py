@@ -185,9 +185,10 @@ SELECT pattern, kind, count(file) FILTER (regexp_matches(file, rx)) AS hits FROM
 WHERE pattern IN (SELECT unnest(string_split(content, chr(10))) FROM policy_files) GROUP BY 1, 2""")
 def _(t):
     sup, _acks = pol.read_policy(t.policy_files)
-    pats = sup.select("pattern", "kind").distinct().withColumn("rx", F.when(F.col("kind") == "path", pol.path_regex(F.col("pattern"))))
-    files = t.ledger.select("file").distinct()
-    hit = files.join(pats.filter("rx IS NOT NULL"), F.rlike(F.lower("file"), F.col("rx"))).groupBy("pattern").agg(F.count("*").alias("hits"))
+    pats = sup.select("pattern", "kind").distinct()
+    files = t.ledger.select("file", F.lower("file").alias("low")).distinct()
+    found = pol.matched_paths(files, pats.filter("kind = 'path'"), [], "low")
+    hit = files.join(found, "low").groupBy("pattern").agg(F.count("*").alias("hits"))
     return pats.join(hit, "pattern", "left").select("pattern", "kind", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
