@@ -13,6 +13,10 @@ from .queries_detect import pack_sql, rules_sql
 from .queries_ledger import W_HI, W_LO, sev
 
 
+#: Buckets of the streams' state here: few, as the given tables have few keys.
+STATE_BUCKETS = 8
+
+
 def _stream(t, table):
     """Given table as a stream: the folder with a filter on the file name."""
     schema = t.raw(table).schema
@@ -23,6 +27,19 @@ def _run(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def _in_batches(t, parts, name):
+    """Frames of one schema as a stream with a batch for each, in order."""
+    folder = scratch_dir(t.spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _thirds(df):
+    """Three frames that hold all rows between them; a key may occur in each."""
+    return [df.filter(F.col("event_id") % 3 == i) for i in range(3)]
+
+
 @query("m01_evidence_fold", f"""
 WITH s AS (SELECT DISTINCT user_id % 300 AS id FROM events WHERE user_id % 300 % 7 <> 0), l AS (SELECT (['xss', 'sqli', 'ssrf'])[id % 3 + 1] AS c, (['HIGH', 'MEDIUM', 'LOW'])[id % 5 % 3 + 1] AS f, id % 4 <> 0 AS r FROM s),
  c0 AS (SELECT 'class_label' AS grp, c || '|' || f AS key, count(*)::DOUBLE AS n, (count(*) FILTER (r))::DOUBLE AS k FROM l GROUP BY 2 UNION ALL SELECT 'label', f, count(*), count(*) FILTER (r) FROM l GROUP BY 2)
@@ -32,20 +49,23 @@ def _(t):
 
     def pick(e, *v):
         return F.element_at(F.array(*[F.lit(x) for x in v]), (e + 1).cast("int"))
-    s = _stream(t, "events").select(pick(i % 3, "xss", "sqli", "ssrf").alias("attack_class"), pick(i % 5 % 3, "HIGH", "MEDIUM", "LOW").alias("confidence"), (i % 4 != 0).alias("is_real"),
-                                    i.cast("string").alias("sample_id"), (i % 7 != 0).alias("evidence_verified"))
+    parts = [p.select(pick(i % 3, "xss", "sqli", "ssrf").alias("attack_class"), pick(i % 5 % 3, "HIGH", "MEDIUM", "LOW").alias("confidence"), (i % 4 != 0).alias("is_real"),
+                      i.cast("string").alias("sample_id"), (i % 7 != 0).alias("evidence_verified")) for p in _thirds(t.events)]
     root = scratch_dir(t.spark, "evidence")
-    _run(ev.evidence_fold(s, root))
+    _run(ev.evidence_fold(_in_batches(t, parts, "evidence-in"), root, STATE_BUCKETS))
+    ev.evidence_folding(root, STATE_BUCKETS)(parts[2], 2)  # a batch run again changes nothing
     return ev.evidence_cells(t.spark, root)
 
 
 @query("m02_feedback_queue", """
 SELECT CASE WHEN user_id % 2 = 0 THEN 'stale' ELSE 'pending' END AS state, count(DISTINCT user_id || event_type) AS candidates FROM events WHERE event_id % 3 = 0 GROUP BY 1""")
 def _(t):
-    s = _stream(t, "events").select(F.col("ts").alias("recorded"), F.when(F.col("event_id") % 3 == 0, F.lit("false-positive")).otherwise(F.lit("missed")).alias("verdict"), F.lit("r").alias("reason"),
+    parts = [p.select(F.col("ts").alias("recorded"), F.when(F.col("event_id") % 3 == 0, F.lit("false-positive")).otherwise(F.lit("missed")).alias("verdict"), F.lit("r").alias("reason"),
                                     F.col("user_id").cast("string").alias("fingerprint"), F.col("event_type").alias("attack_class"), F.when(F.col("user_id") % 2 == 0, F.lit("old")).otherwise(F.lit("v2")).alias("detector_revision"))
+             for p in [t.events.filter(F.floor(F.col("event_id") / 3) % 3 == i) for i in range(3)]]
     root = scratch_dir(t.spark, "feedback")
-    _run(ev.feedback_queue(s, root, "v2"))
+    _run(ev.feedback_queue(_in_batches(t, parts, "feedback-in"), root, "v2", STATE_BUCKETS))
+    ev.feedback_folding(root, "v2", STATE_BUCKETS)(parts[2], 2)
     return t.spark.read.parquet(f"{root}/candidates").groupBy("state").agg(F.count("*").alias("candidates"))
 
 
@@ -61,15 +81,23 @@ def _(t):
     return ev.review(c, d).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+# Three batches: one of days 5 to 14, one of days 10 to 19, one of days 0 to 9; each is held against the days before it.
 @query("m03_monotone_intel", """
-WITH p AS (SELECT 'src' || (s_suppkey % 10) AS source, max(DATE '2024-01-10' + (s_suppkey % 10)::INT) AS pub FROM supplier GROUP BY 1), b AS (SELECT 'src' || (user_id % 12) AS source, DATE '2024-01-05' + (event_id % 20)::INT AS feed_date FROM events)
-SELECT b.source, count(*) FILTER (pub IS NULL OR feed_date >= pub) AS accepted, count(*) FILTER (feed_date < pub) AS rejected FROM b LEFT JOIN p USING (source) GROUP BY 1""")
+WITH p AS (SELECT 'src' || (s_suppkey % 10) AS source, max(DATE '2024-01-10' + (s_suppkey % 10)::INT) AS pub FROM supplier GROUP BY 1),
+ b AS (SELECT event_id % 3 AS batch, 'src' || (user_id % 12) AS source, DATE '2024-01-05' + (event_id % 10 + [0, 5, -5][event_id % 3 + 1])::INT AS feed_date FROM events),
+ r0 AS (SELECT b.*, pub FROM b LEFT JOIN p USING (source) WHERE batch = 0), p0 AS (SELECT source, max(d) AS pub FROM (SELECT source, pub AS d FROM p UNION ALL SELECT source, feed_date FROM r0 WHERE pub IS NULL OR feed_date >= pub) GROUP BY 1),
+ r1 AS (SELECT b.*, pub FROM b LEFT JOIN p0 USING (source) WHERE batch = 1), p1 AS (SELECT source, max(d) AS pub FROM (SELECT source, pub AS d FROM p0 UNION ALL SELECT source, feed_date FROM r1 WHERE pub IS NULL OR feed_date >= pub) GROUP BY 1),
+ r2 AS (SELECT b.*, pub FROM b LEFT JOIN p1 USING (source) WHERE batch = 2)
+SELECT source, count(*) FILTER (pub IS NULL OR feed_date >= pub) AS accepted, count(*) FILTER (feed_date < pub) AS rejected FROM (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2) GROUP BY 1""")
 def _(t):
     root = scratch_dir(t.spark, "intel")
     seed = t.supplier.select(F.concat(F.lit("src"), F.col("s_suppkey") % 10).alias("source"), F.lit("CVE-2024-00001").alias("cve"), F.lit(0.1).alias("value"), F.date_add(F.lit("2024-01-10").cast("date"), (F.col("s_suppkey") % 10).cast("int")).alias("feed_date"))
-    seed.write.parquet(f"{root}/published/batch=-1")
-    s = _stream(t, "events").select(F.concat(F.lit("src"), F.col("user_id") % 12).alias("source"), F.lit("CVE-2024-00002").alias("cve"), F.col("value"), F.date_add(F.lit("2024-01-05").cast("date"), (F.col("event_id") % 20).cast("int")).alias("feed_date"))
-    _run(ev.monotone_intel(s, root))
+    ev.seed_intel(seed, root, STATE_BUCKETS)
+    e = F.col("event_id")
+    parts = [p.select(F.concat(F.lit("src"), F.col("user_id") % 12).alias("source"), F.lit("CVE-2024-00002").alias("cve"), F.col("value"), F.date_add(F.lit("2024-01-05").cast("date"), (e % 10 + shift).cast("int")).alias("feed_date"))
+             for p, shift in zip(_thirds(t.events), (0, 5, -5))]
+    _run(ev.monotone_intel(_in_batches(t, parts, "intel-in"), root, STATE_BUCKETS))
+    ev.intel_folding(root, STATE_BUCKETS)(parts[2], 2)
     ok = t.spark.read.parquet(f"{root}/published").filter("batch >= 0").groupBy("source").agg(F.count("*").alias("accepted"))
     bad = t.spark.read.parquet(f"{root}/rejected").groupBy("source").agg(F.sum("rows").alias("rejected"))
     return ok.join(bad, "source", "full_outer").na.fill(0)
@@ -78,25 +106,36 @@ def _(t):
 SEVS = "(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'])"
 
 
+
+
+def _run_sql(i):
+    """CTEs of run 4 + i: its rows b, repos live, joined rows j with events, next state s."""
+    return f"""b{i} AS (SELECT DISTINCT 'r' || (user_id % 40) AS repo, 'f' || (event_id % 97) AS fp, {4 + i} AS run, {SEVS}[(event_id % 97 + user_id % 40 + {i}) % 5 + 1] AS severity FROM events WHERE event_id % 4 <> {i}),
+ live{i} AS (SELECT repo FROM (SELECT DISTINCT repo FROM b{i}) x WHERE NOT EXISTS (SELECT 1 FROM s{i} s WHERE s.repo = x.repo AND s.run >= {4 + i})), c{i} AS (SELECT b{i}.* FROM b{i} JOIN live{i} USING (repo)),
+ j{i} AS (SELECT coalesce(c.repo, s.repo) AS repo, coalesce(c.fp, s.fp) AS fp, c.repo IS NOT NULL AS now, s.run AS srun, coalesce(c.severity, s.severity) AS severity, CASE WHEN c.repo IS NOT NULL THEN 'open' ELSE s.status END AS status, s.seen, coalesce(c.repo, s.repo) IN (SELECT repo FROM live{i}) AS ran,
+   CASE WHEN c.repo IS NOT NULL AND s.repo IS NULL THEN 'new' WHEN c.repo IS NOT NULL AND (s.status = 'acknowledged' OR NOT s.seen) THEN 'reopened' WHEN c.repo IS NOT NULL AND {sev('c.severity')} > {sev('s.severity')} THEN 'changed'
+   WHEN c.repo IS NOT NULL THEN 'unchanged' WHEN s.repo IN (SELECT repo FROM live{i}) AND s.seen THEN 'no-longer-observed' END AS event FROM c{i} c FULL JOIN s{i} s ON c.repo = s.repo AND c.fp = s.fp),
+ s{i + 1} AS (SELECT repo, fp, CASE WHEN ran THEN {4 + i} ELSE srun END AS run, severity, status, now OR (NOT ran AND seen) AS seen FROM j{i})"""
+
+
+# Runs 4, 5 and 6 of the repos over a known state; three repos already had run 5.
 @query("m04_lifecycle_stream", f"""
-WITH b AS (SELECT DISTINCT ON (repo, fp) repo, fp, severity FROM (SELECT 'r' || (user_id % 40) AS repo, 'f' || (event_id % 97) AS fp, {SEVS}[(event_id % 97 + user_id % 40) % 5 + 1] AS severity FROM events WHERE event_id % 3 <> 0)),
- s AS (SELECT DISTINCT 'r' || (c_custkey % 45) AS repo, 'f' || (c_custkey % 110) AS fp, CASE WHEN c_custkey % 45 < 3 THEN 5 ELSE 1 END AS run, {SEVS}[(c_custkey % 110) % 5 + 1] AS severity, CASE WHEN c_custkey % 110 % 4 = 0 THEN 'acknowledged' ELSE 'open' END AS status, c_custkey % 110 % 9 <> 0 AS seen FROM customer),
- live AS (SELECT DISTINCT repo FROM b WHERE repo NOT IN ('r0', 'r1', 'r2')), c AS (SELECT b.* FROM b JOIN live USING (repo)),
- j AS (SELECT coalesce(c.repo, s.repo) AS repo, CASE WHEN c.repo IS NOT NULL AND s.repo IS NULL THEN 'new' WHEN c.repo IS NOT NULL AND (s.status = 'acknowledged' OR NOT s.seen) THEN 'reopened' WHEN c.repo IS NOT NULL AND {sev('c.severity')} > {sev('s.severity')} THEN 'changed'
-   WHEN c.repo IS NOT NULL THEN 'unchanged' WHEN s.repo IN (SELECT repo FROM live) AND s.seen THEN 'no-longer-observed' END AS event FROM c FULL JOIN s ON c.repo = s.repo AND c.fp = s.fp)
-SELECT repo, event, count(*) AS n FROM j WHERE event IS NOT NULL GROUP BY 1, 2""")
+WITH s0 AS (SELECT DISTINCT 'r' || (c_custkey % 45) AS repo, 'f' || (c_custkey % 110) AS fp, CASE WHEN c_custkey % 45 < 3 THEN 5 ELSE 1 END AS run, {SEVS}[(c_custkey % 110) % 5 + 1] AS severity, CASE WHEN c_custkey % 110 % 4 = 0 THEN 'acknowledged' ELSE 'open' END AS status, c_custkey % 110 % 9 <> 0 AS seen FROM customer),
+ {_run_sql(0)}, {_run_sql(1)}, {_run_sql(2)}
+SELECT repo, run, event, count(*) AS n FROM (SELECT repo, event, 4::BIGINT AS run FROM j0 UNION ALL SELECT repo, event, 5 FROM j1 UNION ALL SELECT repo, event, 6 FROM j2) WHERE event IS NOT NULL GROUP BY 1, 2, 3""")
 def _(t):
     root = scratch_dir(t.spark, "lifecycle")
 
     def sevs(e):
         return F.element_at(F.array(*[F.lit(x) for x in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")]), (e % 5 + 1).cast("int"))
     k = F.col("c_custkey")
-    t.customer.select(F.concat(F.lit("r"), k % 45).alias("repo"), F.concat(F.lit("f"), k % 110).alias("fingerprint"), F.when(k % 45 < 3, 5).otherwise(1).cast("bigint").alias("run"), sevs(k % 110).alias("severity"),
-                      F.when(k % 110 % 4 == 0, F.lit("acknowledged")).otherwise(F.lit("open")).alias("status"), (k % 110 % 9 != 0).alias("seen")).distinct().write.parquet(f"{root}/state/v=-1")
+    ev.lifecycle_state(root, STATE_BUCKETS).put(t.customer.select(F.concat(F.lit("r"), k % 45).alias("repo"), F.concat(F.lit("f"), k % 110).alias("fingerprint"), F.when(k % 45 < 3, 5).otherwise(1).cast("bigint").alias("run"), sevs(k % 110).alias("severity"),
+                                                F.when(k % 110 % 4 == 0, F.lit("acknowledged")).otherwise(F.lit("open")).alias("status"), (k % 110 % 9 != 0).alias("seen")).distinct(), -1)
     e, u = F.col("event_id"), F.col("user_id")
-    s = _stream(t, "events").filter(e % 3 != 0).select(F.concat(F.lit("r"), u % 40).alias("repo"), F.concat(F.lit("f"), e % 97).alias("fingerprint"), F.lit(4).cast("bigint").alias("run"), sevs(e % 97 + u % 40).alias("severity"), F.lit("open").alias("status"))
-    _run(ev.lifecycle_stream(s, root))
-    return t.spark.read.parquet(f"{root}/events").groupBy("repo", "event").agg(F.count("*").alias("n"))
+    parts = [t.events.filter(e % 4 != i).select(F.concat(F.lit("r"), u % 40).alias("repo"), F.concat(F.lit("f"), e % 97).alias("fingerprint"), F.lit(4 + i).cast("bigint").alias("run"), sevs(e % 97 + u % 40 + i).alias("severity"), F.lit("open").alias("status")) for i in range(3)]
+    _run(ev.lifecycle_stream(_in_batches(t, parts, "lifecycle-in"), root, STATE_BUCKETS))
+    ev.lifecycle_folding(root, STATE_BUCKETS)(parts[2], 2)
+    return t.spark.read.parquet(f"{root}/events").groupBy("repo", "run", "event").agg(F.count("*").alias("n"))
 
 
 @query("m05_bypass_log", """

@@ -1,8 +1,9 @@
 """Continuous folding of evidence with Structured Streaming.
 
-State that must outlive any watermark (a sample counts once, ever) is a table keyed by the id. Each
-micro-batch is written under its batch id with overwrite, so a batch that is run again after a
-failure replaces its own output instead of adding to it."""
+State that must outlive any watermark (a sample counts once, ever) is kept in hash buckets (``state.py``), of
+which a batch reads only its own. What a batch adds is written under its batch id with overwrite, so a
+batch that is run again after a failure replaces its own output instead of adding to it. Each writer has its
+fold apart, a function of (batch, batch id), for use outside a stream."""
 
 from __future__ import annotations
 
@@ -12,39 +13,47 @@ from pyspark.sql import functions as F
 from ..functions import ranks
 from ..functions.ident import sha
 from ..operators.calibration import wilson_cells
+from ..operators.core import cut_lineage, first_row
+from .state import KeyedState
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+def _put(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def _earlier(spark, path, batch_id, schema):
-    """Rows of other batches than this one; an empty frame before the first."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", batch bigint").parquet(path).filter(F.col("batch") != batch_id).drop("batch")
+def _write(stream: DataFrame, fold, root: str):
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/_checkpoint")
 
 
-def _put(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _once(batch: DataFrame, batch_id: int, state: KeyedState, key: str) -> DataFrame:
+    """Rows of the batch whose key no earlier batch had; the state then holds their keys too."""
+    seen = state.before(batch, batch_id)
+    fresh = cut_lineage(batch.join(seen, key, "left_anti").select(*batch.columns))
+    state.put(seen.unionByName(fresh.select(key)), batch_id)
+    return fresh
 
 
 EVIDENCE = "attack_class string, confidence string, is_real boolean, sample_id string, evidence_verified boolean"
 
 
-def evidence_fold(stream: DataFrame, root: str):
-    """Writer of labelled evidence: new verified samples to <root>/samples, the rest to <root>/quarantine.
+def evidence_folding(root: str, buckets: int = 256):
+    """Fold of labelled evidence: new verified samples to <root>/samples, the rest to <root>/quarantine.
+
+    A sample id is accepted once over all batches; of rows of one batch that share an id the least counts."""
+    state = KeyedState(f"{root}/seen", "sample_id string", ["sample_id"], buckets)
+    cols = [c.split()[0] for c in EVIDENCE.split(", ")]
 
-    A sample id is accepted once over all batches."""
     def fold(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
         ok = F.coalesce("evidence_verified", F.lit(False)) & F.col("sample_id").isNotNull() & F.col("is_real").isNotNull()
-        cols = [c.split()[0] for c in EVIDENCE.split(", ")]
-        fresh = batch.filter(ok).select(*cols).dropDuplicates(["sample_id"]).join(_earlier(spark, f"{root}/samples", batch_id, EVIDENCE), "sample_id", "left_anti").select(*cols)
-        _put(fresh, f"{root}/samples", batch_id)
+        one = first_row(batch.filter(ok).select(*cols), ["sample_id"], ["attack_class", "confidence", "is_real"])
+        _put(_once(one, batch_id, state, "sample_id"), f"{root}/samples", batch_id)
         _put(batch.filter(~ok).select(*cols), f"{root}/quarantine", batch_id)
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/_checkpoint")
+    return fold
+
+
+def evidence_fold(stream: DataFrame, root: str, buckets: int = 256):
+    """Writer of labelled evidence, see ``evidence_folding``."""
+    return _write(stream, evidence_folding(root, buckets), root)
 
 
 def evidence_cells(spark: SparkSession, root: str) -> DataFrame:
@@ -54,23 +63,28 @@ def evidence_cells(spark: SparkSession, root: str) -> DataFrame:
 def feedback_candidates(feedback: DataFrame, revision: str) -> DataFrame:
     """Candidates of false-positive verdicts, one per id; stale where the detector changed since."""
     cid = sha(F.concat_ws("|", "fingerprint", "attack_class", F.coalesce("detector_revision", F.lit(""))))
-    return (feedback.filter("verdict = 'false-positive'").withColumn("candidate_id", cid).dropDuplicates(["candidate_id"])
+    one = first_row(feedback.filter("verdict = 'false-positive'").withColumn("candidate_id", cid), ["candidate_id"], ["recorded", "reason"])
+    return (one
             .withColumn("state", F.when(F.coalesce("detector_revision", F.lit("")) != revision, F.lit("stale")).otherwise(F.lit("pending"))))
 
 
 FEEDBACK = "recorded timestamp, verdict string, reason string, fingerprint string, attack_class string, detector_revision string"
 
 
-def feedback_queue(stream: DataFrame, root: str, revision: str):
-    """Writer of review candidates; every record is kept under <root>/records."""
-    schema = FEEDBACK + ", candidate_id string, state string"
+def feedback_folding(root: str, revision: str, buckets: int = 256):
+    """Fold of review candidates, each once over all batches; every record is kept under <root>/records."""
+    state = KeyedState(f"{root}/seen", "candidate_id string", ["candidate_id"], buckets)
+    cols = [c.split()[0] for c in FEEDBACK.split(", ")] + ["candidate_id", "state"]
 
     def fold(batch: DataFrame, batch_id: int):
-        cols = [c.split()[0] for c in schema.split(", ")]
-        new = feedback_candidates(batch, revision).select(*cols)
-        _put(new.join(_earlier(batch.sparkSession, f"{root}/candidates", batch_id, schema), "candidate_id", "left_anti").select(*cols), f"{root}/candidates", batch_id)
+        _put(_once(feedback_candidates(batch, revision).select(*cols), batch_id, state, "candidate_id"), f"{root}/candidates", batch_id)
         _put(batch, f"{root}/records", batch_id)
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/_checkpoint")
+    return fold
+
+
+def feedback_queue(stream: DataFrame, root: str, revision: str, buckets: int = 256):
+    """Writer of review candidates, see ``feedback_folding``."""
+    return _write(stream, feedback_folding(root, revision, buckets), root)
 
 
 def review(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -92,12 +106,36 @@ def newest_feeds(batch: DataFrame, published: DataFrame):
     return j.filter(~late).drop("_pub"), j.filter(late).groupBy("source", "feed_date").agg(F.max("_pub").alias("published"), F.count(F.lit(1)).alias("rows"))
 
 
-def monotone_intel(stream: DataFrame, root: str):
+def _newest(root: str, buckets: int) -> KeyedState:
+    return KeyedState(f"{root}/newest", "source string, feed_date date", ["source"], buckets)
+
+
+def _dates(feeds: DataFrame) -> DataFrame:
+    return feeds.groupBy("source").agg(F.max("feed_date").alias("feed_date"))
+
+
+def seed_intel(published: DataFrame, root: str, buckets: int = 256) -> None:
+    """Feeds published before the stream begins."""
+    _put(published.select("source", "cve", "value", "feed_date"), f"{root}/published", -1)
+    _newest(root, buckets).put(_dates(published), -1)
+
+
+def intel_folding(root: str, buckets: int = 256):
+    """Fold of feeds: rows to <root>/published, sources with an older feed to <root>/rejected. The state has one date a source."""
+    state = _newest(root, buckets)
+
     def fold(batch: DataFrame, batch_id: int):
-        ok, bad = newest_feeds(batch, _earlier(batch.sparkSession, f"{root}/published", batch_id, INTEL))
+        old = state.before(batch, batch_id)
+        ok, bad = newest_feeds(batch, old)
         _put(ok.select("source", "cve", "value", "feed_date"), f"{root}/published", batch_id)
         _put(bad, f"{root}/rejected", batch_id)
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/_checkpoint")
+        state.put(_dates(old.unionByName(ok.select("source", "feed_date"))), batch_id)
+    return fold
+
+
+def monotone_intel(stream: DataFrame, root: str, buckets: int = 256):
+    """Writer of feeds, see ``intel_folding``."""
+    return _write(stream, intel_folding(root, buckets), root)
 
 
 OBSERVED = "repo string, fingerprint string, run bigint, severity string, status string"
@@ -124,18 +162,25 @@ def lifecycle_events(batch: DataFrame, state: DataFrame):
     return ev.filter("event IS NOT NULL").select("repo", "fingerprint", F.coalesce("run", "_run").alias("run"), "event"), nxt
 
 
-def lifecycle_stream(stream: DataFrame, root: str):
-    """Writer of lifecycle events to <root>/events. State versions are written per batch; the last two stay readable."""
-    schema = OBSERVED + ", seen boolean"
+def lifecycle_state(root: str, buckets: int = 256) -> KeyedState:
+    """Last known rows, bucketed by repo: a run changes all rows of its repo."""
+    return KeyedState(f"{root}/state", OBSERVED + ", seen boolean", ["repo"], buckets)
+
+
+def lifecycle_folding(root: str, buckets: int = 256):
+    """Fold of runs: events to <root>/events. Repos without a run in the batch share buckets and pass unchanged."""
+    state = lifecycle_state(root, buckets)
 
     def fold(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        prev = f"{root}/state/v={batch_id - 1}"
-        state = spark.read.parquet(prev) if _exists(spark, prev) else spark.createDataFrame([], schema)
-        events, nxt = lifecycle_events(batch, state)
-        events.write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}")
-        nxt.write.mode("overwrite").parquet(f"{root}/state/v={batch_id}")
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/_checkpoint")
+        events, nxt = lifecycle_events(batch, state.before(batch, batch_id))
+        _put(events, f"{root}/events", batch_id)
+        state.put(nxt, batch_id)
+    return fold
+
+
+def lifecycle_stream(stream: DataFrame, root: str, buckets: int = 256):
+    """Writer of lifecycle events, see ``lifecycle_folding``. Of the state the newest version and the one before it stay."""
+    return _write(stream, lifecycle_folding(root, buckets), root)
 
 
 def parse_log(lines: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from riskframe.sources import intel
 from riskframe.sources.reports import read_scan_reports
 from riskframe.sources.tree import read_source_tree
 from riskframe.streaming import evidence as ev
+from riskframe.streaming.state import KeyedState
 
 
 def put(path, text):
@@ -126,3 +127,50 @@ def test_failing_pack_is_a_row(spark):
     ext.register_pack("good", lambda f: f.select("repo"))
     out, rows = ext.run_packs(spark.createDataFrame([("r", "a", "b")], "repo string, path string, content string"), ["bad", "good"])
     assert {r.pack: r.outcome for r in rows.collect()} == {"bad": "error", "good": "completed"} and set(out) == {"good"}
+
+
+def files_of(root):
+    return sorted(os.path.join(d, n) for d, _s, names in os.walk(root) for n in names if n.endswith(".parquet"))
+
+
+def test_state_reads_own_buckets_and_repeats(spark, tmp_path):
+    st = KeyedState(f"{tmp_path}/st", "k string, v int", ["k"], 16)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
+
+    def add(rows, n):
+        batch = frame(rows)
+        st.put(st.before(batch, n).unionByName(batch).groupBy("k").agg(F.sum("v").cast("int").alias("v")), n)
+    want = {}
+    for n in range(6):
+        rows = [(f"k{(n * 7 + i) % 40}", i + 1) for i in range(5)] + [(None, 1)]
+        add(rows, n)
+        if n % 2:
+            add(rows, n)  # run again
+        for k, v in rows:
+            want[k] = want.get(k, 0) + v
+        assert {r.k: r.v for r in st.all(spark).collect()} == want
+    one = frame([("k3", 0)])
+    bucket = one.select(st.bucket()).first()[0]
+    assert {p.split("bucket=")[1].split("/")[0] for p in st.before(one, 6).inputFiles()} == {str(bucket)}
+    assert len({tuple(p.split("/rows/")[1].split("/")[:2]) for p in files_of(f"{tmp_path}/st/rows")}) <= 2 * 16
+    with pytest.raises(ValueError):
+        KeyedState(f"{tmp_path}/st", "k string, v int", ["k"], 8).all(spark)
+
+
+def test_empty_batches_leave_the_state(spark, tmp_path):
+    st = KeyedState(f"{tmp_path}/st", "k string, v int", ["k"], 4)
+    none = spark.createDataFrame([], "k string, v int")
+    st.put(none, 0)
+    st.put(spark.createDataFrame([("a", 1)], "k string, v int"), 1)
+    st.put(none, 2)
+    assert [tuple(r) for r in st.all(spark).collect()] == [("a", 1)]
+
+
+def test_repeated_batch_of_a_late_run(spark, tmp_path):
+    fold = ev.lifecycle_folding(f"{tmp_path}/out", 4)
+    runs = [[("r", "f", 1, "LOW", "open"), ("q", "f", 1, "LOW", "open")], [("r", "f", 2, "HIGH", "open")], [("r", "g", 2, "LOW", "open"), ("q", "g", 2, "LOW", "open")]]
+    for n, rows in enumerate(runs):
+        for _again in range(2):
+            fold(spark.createDataFrame(rows, ev.OBSERVED), n)
+    got = sorted((r.repo, r.run, r.fingerprint, r.event) for r in spark.read.parquet(f"{tmp_path}/out/events").collect())
+    assert got == [("q", 1, "f", "new"), ("q", 2, "f", "no-longer-observed"), ("q", 2, "g", "new"), ("r", 1, "f", "new"), ("r", 2, "f", "changed")]
