@@ -216,22 +216,48 @@ def resolve_import(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(best, ["repo", "path", "spec"], "left")
 
 
-def compose_mounts(roots: DataFrame, mounts: DataFrame, leaves: DataFrame, max_depth: int = 12) -> DataFrame:
+def compose_mounts(roots: DataFrame, mounts: DataFrame, leaves: DataFrame, max_depth: int | None = None) -> DataFrame:
     """routes(repo, method, path, status, depth) by following mounts from the roots.
 
     ``roots(repo, node)``, ``mounts(repo, parent, prefix, child)``, ``leaves(repo, node, method, path)``. A
-    mount without a child, or one met again on its own way or beyond the depth, is a candidate row with
-    the prefix known so far."""
-    start = roots.select("repo", "node", F.lit("").alias("prefix"), F.lit(0).alias("depth"), F.array("node").alias("way"))
-    m = mounts.select("repo", F.col("parent").alias("node"), F.col("prefix").alias("_add"), "child")
+    mount without a child, or one met again on its own way (or beyond ``max_depth``, if given), is a candidate
+    row with the prefix known so far. Of ways with one prefix to one node the shortest, then the least, counts.
 
-    def step(front):
-        j = front.join(m, ["repo", "node"])
-        ok = F.col("child").isNotNull() & ~F.array_contains("way", F.col("child")) & (F.col("depth") < max_depth)
-        return j.filter(ok).select("repo", F.col("child").alias("node"), F.concat("prefix", "_add").alias("prefix"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array("child")).alias("way"))
-    known, _done = fixed_point(start, step, ["repo", "node", "prefix"], max_depth)
-    routes = known.join(leaves, ["repo", "node"]).select("repo", "method", F.concat("prefix", "path").alias("path"), F.lit("resolved").alias("status"), "depth")
-    stuck = known.join(m, ["repo", "node"]).filter(F.col("child").isNull() | F.array_contains("way", F.col("child")) | (F.col("depth") >= max_depth))
+    Ways from the roots and jumps between any two nodes double in length each round, so a chain of n mounts
+    takes log2(n) rounds; in a forest a round has at most one jump for each node."""
+    m = mounts.select("repo", F.col("parent").alias("node"), F.col("prefix").alias("_add"), "child")
+    # Names of nodes on a way, its first left out: a way may not meet itself.
+    jump = m.filter("child IS NOT NULL AND child <> node").select("repo", F.col("node").alias("_from"), F.col("child").alias("node"), F.col("_add").alias("prefix"), F.array("child").alias("way"))
+    known = roots.select("repo", "node", F.lit("").alias("prefix"), F.array("node").alias("way"))
+    where = ["repo", "node"]
+
+    def least(ways, keys):
+        best = F.min_by("way", F.struct(F.size("way"), "way"))
+        return cut_lineage(ways.groupBy(*keys).agg(best.alias("way")))
+
+    def onward(ways, jumps, first):
+        """Ways with a jump at their end, where the two have no node in common."""
+        nxt = jumps.select("repo", F.col("_from").alias("_at"), F.col("node").alias("_to"), F.col("prefix").alias("_add"), F.col("way").alias("_more"))
+        j = ways.withColumnRenamed("node", "_at").join(nxt, ["repo", "_at"]).filter(~F.arrays_overlap("way", "_more"))
+        if first:
+            j = j.filter(~F.array_contains("_more", F.col("_from")))
+        return j.select("repo", *(["_from"] if first else []), F.col("_to").alias("node"), F.concat("prefix", "_add").alias("prefix"), F.concat("way", "_more").alias("way"))
+
+    known, jump = least(known, [*where, "prefix"]), least(jump, ["repo", "_from", "node", "prefix"])
+    length = 1  # of every jump; known has all ways of fewer mounts
+    while max_depth is None or length <= max_depth:
+        longer = cut_lineage(onward(known, jump, False))
+        if longer.isEmpty():
+            break
+        known = least(known.unionByName(longer), [*where, "prefix"])
+        jump = least(onward(jump, jump, True), ["repo", "_from", "node", "prefix"])
+        length *= 2
+    known = known.withColumn("depth", F.size("way") - 1)
+    if max_depth is not None:
+        known = known.filter(F.col("depth") <= max_depth)
+    far = F.lit(False) if max_depth is None else F.col("depth") >= max_depth
+    routes = known.join(leaves, where).select("repo", "method", F.concat("prefix", "path").alias("path"), F.lit("resolved").alias("status"), "depth")
+    stuck = known.join(m, where).filter(F.col("child").isNull() | F.array_contains("way", F.col("child")) | far)
     return routes.unionByName(stuck.select("repo", F.lit("ANY").alias("method"), F.concat("prefix", "_add").alias("path"), F.lit("candidate").alias("status"), "depth")).distinct()
 
 
