@@ -251,7 +251,6 @@ def report_validity(reports: DataFrame) -> DataFrame:
     return r.select("repo", "snapshot", "tool", outcome.alias("outcome"), scoped.cast("int").alias("rule_errors"), (total - scoped).cast("int").alias("errors"))
 
 
-RULES = "array<struct<id string, messageStrings map<string, struct<text string>>, defaultConfiguration struct<level string>, properties map<string, string>>>"
 SARIF = """runs array<struct<tool struct<driver struct<name string, guid string, rules array<struct<id string,
   messageStrings map<string, struct<text string>>, defaultConfiguration struct<level string>, properties map<string, string>>>>>,
   automationDetails struct<id string>, results array<struct<ruleId string, ruleIndex int, kind string, level string, baselineState string,
@@ -287,19 +286,24 @@ def safe_import_path(uri: Column) -> Column:
 def norm_sarif(reports: DataFrame) -> DataFrame:
     """One row per SARIF result: accepted findings, observations, and rejected rows with the reason.
 
-    Rules are looked up by index or id inside the run's row, so only a result's own rule leaves it. ``identity`` binds
+    Rules are joined from a dictionary of (report, run, index or id), so results and rules cost their sum. ``identity`` binds
     tool, rule, automation id, file and the producer's fingerprints; without fingerprints the row is
     bound to its place in the report. Colliding identities get an occurrence number and a flag."""
     d = reports.filter("tool = 'sarif'").select("repo", "snapshot", F.sha2("raw", 256).alias("rid"), F.from_json("raw", SARIF).alias("d"))
     runs = d.select("repo", "snapshot", "rid", F.posexplode("d.runs").alias("run", "r"))
     at = ["repo", "snapshot", "rid", "run"]
-    rules = F.coalesce("r.tool.driver.rules", F.array().cast(RULES))
-
-    def with_rule(x):
-        same = F.filter(rules, lambda u: u["id"] == x["ruleId"])
-        return F.struct(x.alias("x"), F.when(x["ruleIndex"] >= 0, F.get(rules, x["ruleIndex"])).alias("_ru"), F.size(same).alias("_dups"), F.get(same, F.lit(0)).alias("_rd"))
-    j = runs.select(*at, F.col("r.tool.driver.name").alias("driver"), F.coalesce("r.tool.driver.guid", F.lit("")).alias("guid"),
-                    F.coalesce("r.automationDetails.id", F.lit("")).alias("automation"), F.posexplode(F.transform("r.results", with_rule)).alias("pos", "y")).select("*", "y.*")
+    found = runs.select(*at, F.col("r.tool.driver.name").alias("driver"), F.coalesce("r.tool.driver.guid", F.lit("")).alias("guid"),
+                        F.coalesce("r.automationDetails.id", F.lit("")).alias("automation"), F.posexplode("r.results").alias("pos", "x"))
+    # A result names its rule by index or else by id, so the dictionary has a row for each index and one for each id.
+    # A report that lies there twice gives each of them once.
+    entry = runs.select(*at, F.posexplode("r.tool.driver.rules").alias("_i", "_ru"))
+    names = F.array(F.concat(F.lit("#"), F.col("_i")), F.concat(F.lit("="), F.col("_ru.id")))
+    entries = entry.select(*at, "_i", "_ru", F.explode(names).alias("_key")).groupBy(*at, "_key").agg(F.min_by("_ru", "_i").alias("_ru"), F.count_distinct("_i").alias("_dups"))
+    key = F.when(F.col("x.ruleIndex").isNotNull(), F.concat(F.lit("#"), F.col("x.ruleIndex"))).otherwise(F.concat(F.lit("="), F.col("x.ruleId")))
+    same = lambda c: F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}"))
+    j = (found.withColumn("_key", key).alias("f").join(entries.alias("b"), same("repo") & same("snapshot") & same("rid") & same("run") & (F.col("f._key") == F.col("b._key")), "left")
+         .select("f.*", F.col("b._ru").alias("_rule"), F.col("b._dups").alias("_dups")))
+    j = j.withColumn("_ru", F.when(F.col("x.ruleIndex").isNotNull(), F.col("_rule"))).withColumn("_rd", F.when(F.col("x.ruleIndex").isNull(), F.col("_rule")))
     x = F.col("x")
     j = j.withColumn("_ix", x["ruleIndex"]).withColumn("_id", x["ruleId"])
     rule = F.coalesce("_ru", F.when(F.col("_ix").isNull(), F.col("_rd")))
