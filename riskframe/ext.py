@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from .functions.stats import wilson
+from .operators.core import scratch_dir
 from .operators.detect.engine import Rule, scan_rules
 
 PACKS: dict = {}
@@ -18,20 +21,25 @@ def register_pack(name: str, fn) -> None:
     PACKS[name] = fn
 
 
-def run_packs(files: DataFrame, names=None):
+def run_packs(files: DataFrame, names=None, path: str | None = None):
     """({name: DataFrame}, outcomes). A pack that fails becomes an error row; the others still run.
 
-    Outcomes count the rows of each pack, which runs it once; write the results rather than recompute."""
+    Each pack runs once: its rows are written as Parquet under ``path`` (a fresh folder beside the checkpoints by
+    default), counted by an observation of that write, and read from there."""
+    spark = files.sparkSession
+    path = path or scratch_dir(spark, "packs")
     out, rows = {}, []
-    for name in names or sorted(PACKS):
+    for i, name in enumerate(names or sorted(PACKS)):
         try:
+            seen, folder = Observation(f"pack-{uuid.uuid4().hex}"), f"{path}/pack={i}"
             df = PACKS[name](files)
-            rows.append((name, "completed", int(df.count()), None))
-            out[name] = df
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+            rows.append((name, "completed", int(seen.get["n"]), None))
+            out[name] = spark.read.schema(df.schema).parquet(folder)
         except Exception as e:
-            rows.append((name, "error", 0, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"))
+            rows.append((name, "error", 0, f"{type(e).__name__}: {(str(e).splitlines() or [""])[0][:200]}"))
     schema = "pack string, outcome string, findings bigint, detail string"
-    return out, files.sparkSession.createDataFrame(rows, schema)
+    return out, spark.createDataFrame(rows, schema)
 
 
 def rules_from_table(rules: DataFrame) -> list:
