@@ -240,13 +240,56 @@ def dependency_hygiene(files: DataFrame) -> DataFrame:
     return scripts.unionByName(unpinned).unionByName(open_scope).unionByName(drift)
 
 
+def table_events(files: DataFrame) -> DataFrame:
+    """(repo, path, pos, name, kind, policy, owned): statements on tables of .sql files, comments and literals blanked out.
+
+    Kinds: create, drop, column, enable, disable, policy, unpolicy. ``name`` is schema.table in lower case, public where
+    no schema is named. Bodies between dollar signs are read like the rest. Renames are not followed."""
+    clean = F.regexp_replace("content", R.SQL_NOISE, " ")
+    stmt = (files.filter(F.endswith("path", F.lit(".sql"))).select("repo", "path", F.posexplode(F.split(clean, ";")).alias("pos", "s"))
+            .filter(F.col("s").rlike(R.SQL_VERB)))
+
+    def part(pattern, group):
+        return F.regexp_extract("s", pattern, group)
+    switch = F.element_at(F.filter(F.regexp_extract_all("s", F.lit(R.SQL_SWITCH), F.lit(1)), lambda w: ~F.lower(w).startswith("no")), -1)
+    # Of each kind: pattern, group of the name, policy, whether an owner column is named.
+    owned = F.col("s").rlike(R.OWNER_COLUMN)
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    kinds = [("create", R.SQL_CREATE, 1, none, owned), ("column", R.SQL_ADD_COLUMN, 1, none, owned), ("policy", R.SQL_POLICY, 2, part(R.SQL_POLICY, 1), no), ("unpolicy", R.SQL_UNPOLICY, 2, part(R.SQL_UNPOLICY, 1), no)]
+    rows = [F.when(F.col("s").rlike(p), F.struct(part(p, g).alias("name"), F.lit(k).alias("kind"), pol.alias("policy"), own.alias("owned"))) for k, p, g, pol, own in kinds]
+    rows.append(F.when(F.col("s").rlike(R.SQL_ALTER) & F.col("s").rlike(R.SQL_SWITCH) & switch.isNotNull(),
+                       F.struct(part(R.SQL_ALTER, 1).alias("name"), F.when(F.lower(switch) == "disable", F.lit("disable")).otherwise(F.lit("enable")).alias("kind"), none.alias("policy"), no.alias("owned"))))
+    # One statement may drop several tables.
+    drops = F.transform(F.split(part(R.SQL_DROP, 1), ","), lambda n: F.struct(F.trim(F.regexp_replace(n, r"(?i)\s+(?:CASCADE|RESTRICT)\s*$", "")).alias("name"), F.lit("drop").alias("kind"), none.alias("policy"), no.alias("owned")))
+    every = F.concat(F.filter(F.array(*rows), lambda e: e.isNotNull()), F.when(F.col("s").rlike(R.SQL_DROP), drops).otherwise(F.filter(drops, lambda e: F.lit(False))))
+    e = stmt.select("repo", "path", "pos", F.explode(every).alias("e")).select("repo", "path", "pos", "e.*")
+    bare = F.lower(F.regexp_replace("name", r"[\"`\s]", ""))
+    return e.withColumn("name", F.when(bare.contains("."), bare).otherwise(F.concat(F.lit("public."), bare))).withColumn("policy", F.lower(F.regexp_replace("policy", r"[\"`]", "")))
+
+
+def table_states(files: DataFrame) -> DataFrame:
+    """(repo, name, exists, owned, rls, policies): each table after all statements, in the order of paths and of places in them.
+
+    What comes before a table's last drop counts no more; a policy dropped later is none; the last switch of row security
+    decides. Partial aggregation by table and by policy, no list of statements."""
+    ev = table_events(files).withColumn("o", F.struct("path", "pos"))
+    dropped = ev.filter("kind = 'drop'").groupBy("repo", "name").agg(F.max("o").alias("_gone"))
+    live = ev.filter("kind <> 'drop'").join(dropped, ["repo", "name"], "left").filter("_gone IS NULL OR o > _gone")
+    # First by policy (null for the rest), then by table.
+    by_policy = live.groupBy("repo", "name", "policy").agg(
+        F.bool_or(F.col("kind") == "create").alias("exists"), F.bool_or(F.col("owned")).alias("owned"), (F.max_by("kind", "o") == "policy").alias("_held"),
+        F.max(F.when(F.col("kind").isin("enable", "disable"), F.struct("o", "kind"))).alias("_switch"))
+    now = by_policy.groupBy("repo", "name").agg(F.bool_or("exists").alias("exists"), F.bool_or("owned").alias("owned"), F.max("_switch").alias("_switch"),
+                                                F.count_if(F.col("policy").isNotNull() & F.col("_held")).alias("policies"))
+    now = now.select("repo", "name", "exists", "owned", F.coalesce(F.col("_switch.kind") == "enable", F.lit(False)).alias("rls"), "policies")
+    gone = dropped.select("repo", "name").join(now, ["repo", "name"], "left_anti")
+    return now.unionByName(gone.select("repo", "name", F.lit(False).alias("exists"), F.lit(False).alias("owned"), F.lit(False).alias("rls"), F.lit(0).cast("bigint").alias("policies")))
+
+
 def missing_rls(files: DataFrame) -> DataFrame:
-    """(repo, tables, owner_tables): repos with owner-scoped tables and no row policy anywhere."""
-    sql = files.filter(F.endswith("path", F.lit(".sql")))
-    z = F.arrays_zip(F.regexp_extract_all("content", F.lit(R.SQL_TABLE), F.lit(1)).alias("name"), F.regexp_extract_all("content", F.lit(R.SQL_TABLE), F.lit(2)).alias("body"))
-    per_file = sql.select("repo", F.size(z).alias("tables"), F.size(F.filter(z, lambda t: t["body"].rlike(R.OWNER_COLUMN))).alias("owned"), F.col("content").rlike(R.RLS).alias("rls"))
-    return (per_file.groupBy("repo").agg(F.sum("tables").alias("tables"), F.sum("owned").alias("owner_tables"), F.bool_or("rls").alias("_rls"))
-            .filter("NOT _rls AND owner_tables > 0").drop("_rls"))
+    """(repo, tables, owner_tables): repos with owner-scoped tables and no policy or row security left at the end, on any table."""
+    per_repo = table_states(files).groupBy("repo").agg(F.count_if("exists").alias("tables"), F.count_if(F.col("exists") & F.col("owned")).alias("owner_tables"), F.bool_or(F.col("rls") | (F.col("policies") > 0)).alias("_rls"))
+    return per_repo.filter("NOT _rls AND owner_tables > 0").drop("_rls")
 
 
 def entities(files: DataFrame) -> DataFrame:

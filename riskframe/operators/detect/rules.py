@@ -106,7 +106,7 @@ FRONTEND_DEPS = r'"(?:next|vite|react|react-dom|@sveltejs/kit|svelte|@angular/co
 SERVER_SECRET = r"process\.env\.[A-Z0-9_]*(?:SECRET|PRIVATE|TOKEN|PASSWORD|API_?KEY|ACCESS_?KEY)[A-Z0-9_]*"
 
 SECRET_VAR = (r"(?:JWT[_-]?SECRET|TOKEN[_-]?SECRET|REFRESH[_-]?SECRET|SIGNING[_-]?KEY|SESSION[_-]?SECRET|COOKIE[_-]?SECRET|AUTH[_-]?SECRET|APP[_-]?SECRET|HMAC[_-]?KEY|PRIVATE[_-]?KEY|SECRET[_-]?KEY|SECRET)")
-SECRET_DEFAULT = (r"(?i)(?:process\.env(?:\.|\[['\"]))([A-Z0-9_]*" + SECRET_VAR + r")['\"\]\s]{0,4}(?:\|\||\?\?)\s*[`'\"]([^`'\"\n]{3,80})[`'\"]",
+SECRET_DEFAULT = (r"(?i)(?:process\.env(?:\.|\[['\"]))([A-Z0-9_]*" + SECRET_VAR + r")['\"\]\s]*(?:\|\||\?\?)\s*[`'\"]([^`'\"\n]{3,80})[`'\"]",
                   r"(?i)(?:os\.environ\.get|os\.getenv|getenv)\(\s*['\"]([A-Z0-9_]*" + SECRET_VAR + r"[A-Z0-9_]*)['\"]\s*,\s*['\"]([^'\"\n]{3,80})['\"]")
 DEVISH = r"(?i)dev|do[_-]?not[_-]?use|change[_-]?(?:me|it|this)|placeholder|secret|test|local|example|sample|default|your[_-]|xxx|todo|fixme|123456|password"
 JWT_USE = r"(?i)jwt\.(?:sign|verify)|jsonwebtoken|\bjose\b|jwtVerify|SignJWT|jwt\.encode"
@@ -318,9 +318,19 @@ PUBLIC_SCOPES = ["aws-sdk", "angular", "angular-devkit", "babel", "nestjs", "typ
 NPM_INTENTIONAL = ["workspace:", "file:", "link:", "portal:", "catalog:", "npm:"]
 TENANT_KEYS = ["groupId", "group_id", "orgId", "org_id", "organizationId", "tenantId", "tenant_id", "workspaceId", "workspace_id", "accountId", "account_id", "companyId", "company_id", "teamId", "team_id",
                "projectId", "project_id", "licenseHash", "license_hash", "licenseKey", "license_key", "visitorId", "visitor_id", "deviceId", "device_id", "subscriptionId", "subscription_id", "customerId", "customer_id"]
-SQL_TABLE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[\"`]?(?:\w+\.)?([A-Za-z_]\w*)[\"`]?\s*\(([^;]*)"
 OWNER_COLUMN = r"(?i)\b(owner_?id|user_?id|tenant_?id|org_?id|organization_?id|account_?id|group_?id|workspace_?id|team_?id|company_?id|customer_?id|created_?by|profile_?id|license_?hash|license_?key)\b"
-RLS = r"(?i)\bCREATE\s+POLICY\b|\bALTER\s+TABLE\b[\s\S]{0,200}?\b(?:ENABLE|FORCE)\s+ROW\s+LEVEL\s+SECURITY\b"
+# Statements on tables, found after comments and literals are blanked out.
+SQL_NOISE = r"(?s)/\*.*?\*/|--[^\n]*|'[^']*'"
+_PART = r"(?:\"[^\"]+\"|`[^`]+`|[A-Za-z_][\w$]*)"
+SQL_NAME = r"(" + _PART + r"(?:\s*\.\s*" + _PART + r")?)"
+SQL_VERB = r"(?i)\b(?:CREATE|ALTER|DROP)\b"
+SQL_CREATE = r"(?i)\bCREATE\s+(?:(?:GLOBAL|LOCAL|TEMP|TEMPORARY|UNLOGGED)\s+)*TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?" + SQL_NAME + r"\s*\("
+SQL_ALTER = r"(?i)\bALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?" + SQL_NAME
+SQL_ADD_COLUMN = SQL_ALTER + r"\s[^;]*\bADD\s+(?:COLUMN\s+)?(?!CONSTRAINT\b)"
+SQL_SWITCH = r"(?i)\b((?:NO\s+)?FORCE|ENABLE|DISABLE)\s+ROW\s+LEVEL\s+SECURITY\b"
+SQL_POLICY = r"(?i)\bCREATE\s+POLICY\s+(" + _PART + r")\s+ON\s+" + SQL_NAME
+SQL_UNPOLICY = r"(?i)\bDROP\s+POLICY\s+(?:IF\s+EXISTS\s+)?(" + _PART + r")\s+ON\s+" + SQL_NAME
+SQL_DROP = r"(?i)\bDROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?([^;]+)"
 ENTITIES = [("pydantic", r"class\s+(\w+)\s*\([^)\n]*BaseModel"), ("django", r"class\s+(\w+)\s*\([^)\n]*models\.Model"), ("prisma", r"\bmodel\s+(\w+)\s*\{"),
             ("mongoose", r"\b(\w+)\s*=\s*(?:new\s+)?(?:mongoose\.)?Schema\s*\("), ("zod", r"\b(\w+)\s*=\s*z\.object\s*\("), ("sequelize", r"sequelize\.define\s*\(\s*['\"](\w+)['\"]")]
 PASSWORD_FIELD = r"\b(?:password|newPassword|userPassword)\b"

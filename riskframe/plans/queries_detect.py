@@ -220,6 +220,19 @@ def _(t):
     return packs.missing_rls(t.sql_files)
 
 
+@query("d24_table_states", """
+WITH f AS (SELECT repo, path, lower(split_part(content, chr(10), 2)) AS s FROM migration_files),
+ e AS (SELECT repo, path, unnest(CASE WHEN s LIKE 'drop table%' THEN string_split(regexp_replace(regexp_replace(s, 'drop table (if exists )?', ''), '( cascade)?;', ''), ', ') ELSE [regexp_extract(s, '(?:public[.])?([tu][0-9])', 0)] END) AS n,
+   CASE WHEN s LIKE 'drop table%' THEN 'drop' WHEN s LIKE 'create table%' THEN 'create' WHEN s LIKE 'create policy%' THEN 'policy' WHEN s LIKE 'drop policy%' THEN 'unpolicy' WHEN s LIKE '%enable row%' THEN 'enable' WHEN s LIKE '%disable row%' THEN 'disable' ELSE 'column' END AS kind,
+   regexp_extract(s, 'policy (?:if exists )?(p[0-9])', 1) AS policy, regexp_matches(s, 'user_id|tenant_id|owner_id') AS owned FROM f),
+ k AS (SELECT repo, path, 'public.' || replace(n, 'public.', '') AS name, kind, policy, owned FROM e), l AS (SELECT * FROM k WHERE path > coalesce((SELECT max(path) FROM k d WHERE d.repo = k.repo AND d.name = k.name AND d.kind = 'drop'), '')),
+ p AS (SELECT repo, name, policy, last(kind ORDER BY path) = 'policy' AS held FROM l WHERE policy <> '' GROUP BY 1, 2, 3)
+SELECT a.repo, a.name, coalesce(bool_or(l.kind = 'create'), false) AS "exists", coalesce(bool_or(l.owned), false) AS owned, coalesce(last(l.kind ORDER BY l.path) FILTER (l.kind IN ('enable', 'disable')) = 'enable', false) AS rls,
+ (SELECT count(*) FROM p WHERE p.repo = a.repo AND p.name = a.name AND held) AS policies FROM (SELECT DISTINCT repo, name FROM k) a LEFT JOIN l ON l.repo = a.repo AND l.name = a.name GROUP BY 1, 2""")
+def _(t):
+    return packs.table_states(t.migration_files)
+
+
 @query("d24_entities", "SELECT repo, path, 'zod' AS kind, 'el' AS name FROM code_files WHERE contains(content, 'const el = z.object(')")
 def _(t):
     return packs.entities(t.code_files)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import dynamic as dyn
 from ..operators import surface as sf
-from ..operators.core import unique_match
+from ..operators.core import scratch_dir, unique_match
 from ..sources import files as src
 from ..sources import intel
+from ..sources.tree import read_source_tree
 from .catalog import query
 
 
@@ -163,7 +164,7 @@ def _(t):
 # Mount forest: node k is mounted by node k/2 of its repo; every fifth has no resolvable child.
 @query("t07_compose_mounts", """
 WITH RECURSIVE m AS (SELECT c_nationkey AS repo, floor(c_custkey / 50)::BIGINT AS k FROM customer), n AS (SELECT DISTINCT repo, k FROM m), e AS (SELECT a.repo, b.k AS parent, '/s' || a.k AS prefix, CASE WHEN a.k % 5 <> 4 THEN a.k END AS child FROM n a JOIN n b ON a.repo = b.repo AND b.k = floor(a.k / 2)::BIGINT AND a.k > 0),
- w AS (SELECT repo, 0::BIGINT AS node, '' AS prefix, 0 AS depth FROM n WHERE k = 0 UNION ALL SELECT w.repo, e.child, w.prefix || e.prefix, w.depth + 1 FROM w JOIN e ON e.repo = w.repo AND e.parent = w.node AND e.child IS NOT NULL WHERE w.depth < 12)
+ w AS (SELECT repo, 0::BIGINT AS node, '' AS prefix, 0 AS depth FROM n WHERE k = 0 UNION ALL SELECT w.repo, e.child, w.prefix || e.prefix, w.depth + 1 FROM w JOIN e ON e.repo = w.repo AND e.parent = w.node AND e.child IS NOT NULL)
 SELECT repo, 'GET' AS method, prefix || '/leaf' AS path, 'resolved' AS status, depth FROM w UNION ALL SELECT w.repo, 'ANY', w.prefix || e.prefix, 'candidate', w.depth FROM w JOIN e ON e.repo = w.repo AND e.parent = w.node AND e.child IS NULL""")
 def _(t):
     n = t.sql("SELECT DISTINCT c_nationkey AS repo, cast(floor(c_custkey / 50) AS bigint) AS k FROM customer")
@@ -323,6 +324,34 @@ def _(t):
     return src.classify_read(t.sized_files, 400_000, 30_000_000).select("repo", "path", "read_status")
 
 
+def _write_files(folder):
+    """Task function that writes (repo, path, text) rows as files below a shared folder; a task run again writes the same."""
+    def write(frames):
+        import os
+
+        import pandas as pd
+        for frame in frames:
+            for repo, path, text in zip(frame["repo"], frame["path"], frame["text"]):
+                full = os.path.join(folder, repo, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write(text.encode("utf-8"))
+            yield pd.DataFrame({"n": [len(frame)]})
+    return write
+
+
+# Every document is a file of one of two trees, some of them below hidden folders, and is read again.
+@query("s01_read_source_tree", """
+SELECT 'app' || (doc_id % 2) AS repo, '.d' || (doc_id % 7) || '/' || CASE WHEN doc_id % 3 = 0 THEN 'sub/' ELSE '' END || '_' || doc_id || '.txt' AS path, CASE WHEN octet_length(encode(text)) <= 2000000 THEN sha256(text) END AS sha256,
+ octet_length(encode(text))::BIGINT AS n_bytes, CASE WHEN octet_length(encode(text)) <= 2000000 THEN 'ok' ELSE 'oversized' END AS read_status FROM documents WHERE text IS NOT NULL""")
+def _(t):
+    folder = scratch_dir(t.spark, "tree").removeprefix("file://").removeprefix("file:")
+    k = F.col("doc_id")
+    rows = t.documents.filter("text IS NOT NULL").select(F.concat(F.lit("app"), k % 2).alias("repo"), F.concat(F.lit(".d"), k % 7, F.when(k % 3 == 0, F.lit("/sub/_")).otherwise(F.lit("/_")), k, F.lit(".txt")).alias("path"), "text")
+    rows.mapInPandas(_write_files(folder), "n bigint").agg(F.sum("n")).collect()
+    return read_source_tree(t.spark, [f"{folder}/app0", f"{folder}/app1"]).select("repo", "path", "sha256", "n_bytes", "read_status")
+
+
 @query("s03_prune_paths", """
 SELECT repo, path, CASE WHEN path LIKE '.local/%' THEN 'private' WHEN path LIKE '%node_modules/%' OR path LIKE '%/build/%' THEN 'skip-dir' WHEN path LIKE '%.min.js' OR path LIKE 'pkg/tests/%' THEN 'excluded' END AS skip_reason FROM sized_files""")
 def _(t):

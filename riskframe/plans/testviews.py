@@ -265,6 +265,13 @@ SELECT 'repo' || {s('c_custkey')} AS repo, 'db/' || {s('c_custkey')} || '.sql' A
   'CREATE TABLE t' || {s('c_custkey')} || ' (id int, ' || {pick('c_custkey', ['user_id int', 'name text', 'owner_id uuid'])} || ');' || chr(10) || 'CREATE TABLE IF NOT EXISTS public.l (id int);'
   || CASE WHEN c_custkey % 4 = 0 THEN chr(10) || 'CREATE POLICY p ON t;' ELSE '' END AS content FROM customer
 """
+# Migrations of forty repositories, one statement a file in the order of paths, with a comment that must not count.
+VIEWS["migration_files"] = f"""
+SELECT 'repo' || {s('c_custkey % 40')} AS repo, 'm/' || lpad({s('c_custkey')}, 12, '0') || '.sql' AS path,
+  '-- DROP TABLE t0; CREATE POLICY p0 ON t0;' || chr(10) || replace(replace(replace(CASE c_custkey % 11 WHEN 0 THEN 'CREATE TABLE t# (id int, user_id uuid)' WHEN 1 THEN 'CREATE TABLE IF NOT EXISTS public.t# (id int)' WHEN 2 THEN 'create policy @ on public.t# for all using (true)' WHEN 3 THEN 'DROP POLICY IF EXISTS @ ON t#'
+    WHEN 4 THEN 'ALTER TABLE t#' || repeat(' ', 300) || 'ENABLE ROW LEVEL SECURITY' WHEN 5 THEN 'ALTER TABLE ONLY t# DISABLE ROW LEVEL SECURITY' WHEN 6 THEN 'DROP TABLE IF EXISTS t#, u# CASCADE' WHEN 7 THEN 'ALTER TABLE t# ADD COLUMN tenant_id text' WHEN 8 THEN 'CREATE TABLE u# (owner_id int)' WHEN 9 THEN 'CREATE POLICY @ ON u#' ELSE 'CREATE TABLE t# (name text)' END,
+    '#', {s('c_custkey % 3')}), '@', 'p' || {s('c_custkey % 2')}), 'DROP TABLE IF EXISTS t0, u0', 'DROP TABLE t0, public.u0') || ';' AS content FROM customer
+"""
 # Container, agent and display files, one per customer.
 CONFIGS = [
     ("docker-compose.yml", "services:#  web:#    volumes: [/var/run/docker.sock:/x]#    privileged: true#    environment:#      API_KEY: abc"),
