@@ -50,6 +50,55 @@ def execution_errors(coverage: DataFrame) -> DataFrame:
     return coverage.withColumn("errors", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests]), lambda e: e.isNotNull()))
 
 
+EVIDENCE = ("repo string, area string, item string, outcome string, execution boolean, selected boolean, installed boolean, runnable boolean, ran boolean, errors bigint, "
+            "amount bigint, allowed bigint, truncated bigint")
+PROFILE_OUTCOMES = ["completed", "manual", "unknown", "not-applicable", "not_applicable"]
+
+
+def _constraints():
+    """(error, area, condition that violates it) over one row of evidence; an unknown value never passes for a good one."""
+    c = F.col
+    good, no_errors = c("outcome").eqNullSafe("completed"), F.coalesce("errors", F.lit(0)) == 0
+    sure = lambda name: F.coalesce(c(name), F.lit(False))
+    selected = sure("selected")
+    return [
+        ("not-complete", "claim", ~good), ("gap-unclassified", "gap", c("execution").isNull()), ("execution-gap", "gap", sure("execution")),
+        ("read-loss", "read", F.coalesce("amount", F.lit(1)) != 0), ("selection-truncated", "read", F.coalesce("truncated", F.lit(0)) != 0),
+        ("bytes-invalid", "bytes", c("amount") < 0), ("limit-invalid", "bytes", c("allowed") < 0), ("bytes-over-limit", "bytes", c("amount") > c("allowed")),
+        ("check-incomplete", "check", ~good), ("check-reported-errors", "check", ~no_errors),
+        ("selection-unknown", "scanner", c("selected").isNull()), ("scanner-incomplete", "scanner", selected & ~(good & sure("ran") & sure("installed") & sure("runnable"))),
+        ("scanner-reported-errors", "scanner", selected & ~no_errors),
+        ("import-incomplete", "import", ~(good & sure("ran"))), ("import-gap", "import", good & sure("ran") & (sure("execution") | ~no_errors)),
+        ("route-errors", "route", ~no_errors), ("route-diagnostics-truncated", "route", F.coalesce("truncated", F.lit(0)) != 0), ("route-gap", "route", sure("execution")),
+        ("route-count-invalid", "route", c("amount") < 0), ("route-limit-invalid", "route", c("allowed") < 0),
+        ("profile-check-failed", "profile", ~F.coalesce(c("outcome").isin(*PROFILE_OUTCOMES), F.lit(False))),
+    ]
+
+
+def evidence_errors(evidence: DataFrame) -> DataFrame:
+    """(repo, error, items, example): every contradiction between a claim of completion and its detailed evidence.
+
+    ``evidence`` has the columns of EVIDENCE, a row for each claim, gap, kind of read loss, byte account, check, scanner, import,
+    route engine and profile check. All constraints are tried in one pass over the rows. Those across rows of a repo come from the
+    same aggregate: claim-missing, claims-disagree, claimed-complete-despite (a complete claim beside any other error), and
+    reads-disagree (byte accounts of one item that name different amounts). ``items`` counts, ``example`` is the least item."""
+    tests = _constraints()
+    areas = sorted({a for _n, a, _c in tests})
+    hits = [F.when((F.col("area") == a) & F.coalesce(cond, F.lit(False)), F.lit(n)) for n, a, cond in tests]
+    hits.append(F.when(~F.coalesce(F.col("area").isin(*areas), F.lit(False)), F.lit("area-unknown")))
+    found = F.filter(F.array(*hits), lambda e: e.isNotNull())
+    seen = evidence.select("repo", "area", "item", "amount", F.col("outcome").eqNullSafe("completed").alias("_good"), found.alias("_found"))
+    rows = seen.select("repo", "item", F.explode("_found").alias("error"))
+    claim = F.col("area").eqNullSafe("claim")
+    per_repo = seen.groupBy("repo").agg(F.count_if(claim).alias("_claims"), F.coalesce(F.bool_or(F.when(claim, F.col("_good"))), F.lit(False)).alias("_yes"), F.coalesce(F.bool_or(F.when(claim, ~F.col("_good"))), F.lit(False)).alias("_no"),
+                                        F.coalesce(F.bool_or(F.when(~claim, F.size("_found") > 0)), F.lit(False)).alias("_bad"))
+    across = F.filter(F.array(F.when(F.col("_claims") == 0, F.lit("claim-missing")), F.when(F.col("_yes") & F.col("_no"), F.lit("claims-disagree")), F.when(F.col("_yes") & F.col("_bad"), F.lit("claimed-complete-despite"))), lambda e: e.isNotNull())
+    cross = per_repo.select("repo", F.lit(None).cast("string").alias("item"), F.explode(across).alias("error"))
+    double = (seen.filter("area = 'bytes' AND item IS NOT NULL AND amount IS NOT NULL").groupBy("repo", "item").agg((F.min("amount") < F.max("amount")).alias("_d")).filter("_d")
+              .select("repo", "item", F.lit("reads-disagree").alias("error")))
+    return (rows.unionByName(cross).unionByName(double).groupBy("repo", "error").agg(F.count(F.lit(1)).alias("items"), F.min("item").alias("example")))
+
+
 def scanner_outcomes(installed: DataFrame, requested: DataFrame, results: DataFrame, validity: DataFrame) -> DataFrame:
     """(repo, tool, outcome). Every tool that is installed, requested or left a result gets one row.
 

@@ -210,6 +210,35 @@ def _(t):
     return cov.execution_errors(c).select("repo", F.array_join("errors", ",").alias("errors"))
 
 
+# Evidence of 400 repos, a row for each order; every constraint has rows that violate it and rows that do not.
+COVERAGE_EVIDENCE = f"""SELECT o_custkey % 400 AS repo, CASE WHEN o_orderkey % 5 = 0 THEN 'claim' WHEN o_orderkey % 37 = 0 THEN NULL ELSE element_at(array('gap', 'read', 'bytes', 'check', 'scanner', 'import', 'route', 'profile', 'other'), cast(o_orderkey % 9 + 1 AS int)) END AS area, 'i' || (o_orderkey % 23) AS item,
+ CASE WHEN o_orderkey % 3 > 0 THEN 'completed' WHEN o_orderkey % 7 = 1 THEN 'manual' WHEN o_orderkey % 7 > 1 THEN 'failed' END AS outcome, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 4 = 0 END AS execution, CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 2 = 0 END AS selected,
+ o_orderkey % 17 > 0 AS installed, CASE WHEN o_orderkey % 19 > 0 THEN TRUE END AS runnable, o_orderkey % 29 > 0 AS ran, CASE WHEN o_orderkey % 31 > 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 0 END END AS errors, CASE WHEN o_orderkey % 8 > 0 THEN o_orderkey % 10 - 1 END AS amount,
+ CASE WHEN o_orderkey % 14 > 0 THEN o_orderkey % 12 - 1 END AS allowed, CASE WHEN o_orderkey % 15 = 0 THEN 1 ELSE 0 END AS truncated FROM orders"""
+GOOD = "coalesce(outcome = 'completed', false)"
+
+
+@query("a15_evidence_errors", f"""
+WITH e AS ({COVERAGE_EVIDENCE.replace("element_at(array('gap', 'read', 'bytes', 'check', 'scanner', 'import', 'route', 'profile', 'other'), cast(o_orderkey % 9 + 1 AS int))", "(['gap', 'read', 'bytes', 'check', 'scanner', 'import', 'route', 'profile', 'other'])[o_orderkey % 9 + 1]")}),
+ h AS (SELECT repo, item, 'not-complete' AS error FROM e WHERE area = 'claim' AND NOT {GOOD}
+  UNION ALL SELECT repo, item, 'gap-unclassified' FROM e WHERE area = 'gap' AND execution IS NULL UNION ALL SELECT repo, item, 'execution-gap' FROM e WHERE area = 'gap' AND execution
+  UNION ALL SELECT repo, item, 'read-loss' FROM e WHERE area = 'read' AND (amount IS NULL OR amount <> 0) UNION ALL SELECT repo, item, 'selection-truncated' FROM e WHERE area = 'read' AND truncated <> 0
+  UNION ALL SELECT repo, item, 'bytes-invalid' FROM e WHERE area = 'bytes' AND amount < 0 UNION ALL SELECT repo, item, 'limit-invalid' FROM e WHERE area = 'bytes' AND allowed < 0 UNION ALL SELECT repo, item, 'bytes-over-limit' FROM e WHERE area = 'bytes' AND amount > allowed
+  UNION ALL SELECT repo, item, 'check-incomplete' FROM e WHERE area = 'check' AND NOT {GOOD} UNION ALL SELECT repo, item, 'check-reported-errors' FROM e WHERE area = 'check' AND errors <> 0
+  UNION ALL SELECT repo, item, 'selection-unknown' FROM e WHERE area = 'scanner' AND selected IS NULL UNION ALL SELECT repo, item, 'scanner-incomplete' FROM e WHERE area = 'scanner' AND selected AND NOT ({GOOD} AND ran AND installed AND coalesce(runnable, false))
+  UNION ALL SELECT repo, item, 'scanner-reported-errors' FROM e WHERE area = 'scanner' AND selected AND errors <> 0
+  UNION ALL SELECT repo, item, 'import-incomplete' FROM e WHERE area = 'import' AND NOT ({GOOD} AND ran) UNION ALL SELECT repo, item, 'import-gap' FROM e WHERE area = 'import' AND {GOOD} AND ran AND (coalesce(execution, false) OR coalesce(errors, 0) <> 0)
+  UNION ALL SELECT repo, item, 'route-errors' FROM e WHERE area = 'route' AND errors <> 0 UNION ALL SELECT repo, item, 'route-diagnostics-truncated' FROM e WHERE area = 'route' AND truncated <> 0 UNION ALL SELECT repo, item, 'route-gap' FROM e WHERE area = 'route' AND execution
+  UNION ALL SELECT repo, item, 'route-count-invalid' FROM e WHERE area = 'route' AND amount < 0 UNION ALL SELECT repo, item, 'route-limit-invalid' FROM e WHERE area = 'route' AND allowed < 0
+  UNION ALL SELECT repo, item, 'profile-check-failed' FROM e WHERE area = 'profile' AND coalesce(outcome, 'none') NOT IN ('completed', 'manual') UNION ALL SELECT repo, item, 'area-unknown' FROM e WHERE area IS NULL OR area = 'other'),
+ r AS (SELECT repo, count(*) FILTER (area = 'claim') AS claims, count(*) FILTER (area = 'claim' AND {GOOD}) AS yes FROM e GROUP BY 1), bad AS (SELECT DISTINCT repo FROM h WHERE error <> 'not-complete'),
+ x AS (SELECT * FROM h UNION ALL SELECT repo, NULL, 'claim-missing' FROM r WHERE claims = 0 UNION ALL SELECT repo, NULL, 'claims-disagree' FROM r WHERE yes > 0 AND yes < claims UNION ALL SELECT repo, NULL, 'claimed-complete-despite' FROM r SEMI JOIN bad USING (repo) WHERE yes > 0
+  UNION ALL SELECT repo, item, 'reads-disagree' FROM e WHERE area = 'bytes' GROUP BY repo, item HAVING min(amount) < max(amount))
+SELECT repo, error, count(*) AS items, min(item) AS example FROM x GROUP BY 1, 2""")
+def _(t):
+    return cov.evidence_errors(t.sql(COVERAGE_EVIDENCE))
+
+
 @query("a16_scanner_outcomes", """
 WITH b AS (SELECT c_custkey AS repo, 't' AS tool, c_custkey % 2 = 0 AS i, c_custkey % 3 <> 0 AS q, c_custkey % 5 <> 0 AS r, c_custkey % 7 AS m, c_custkey % 11 AS v FROM customer), x AS (SELECT * FROM b WHERE i OR q OR r)
 SELECT repo, tool, CASE WHEN NOT q THEN CASE WHEN i THEN 'not_selected' ELSE 'unavailable' END WHEN NOT i THEN 'unavailable' WHEN repo % 13 = 0 THEN 'unsupported_adapter' WHEN NOT r THEN 'not_run' WHEN m = 0 THEN 'timeout' WHEN m = 1 OR v = 1 THEN 'error' WHEN v = 2 THEN 'parse_failed'
