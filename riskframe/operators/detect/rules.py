@@ -51,9 +51,10 @@ SINKS = [
          r"\.(?:inner|outer)HTML\s*=\s*[^;=][^;]*?(?:\$\{|`|\+|req\.|request\.|props\.|params\b|state\.|location\.|searchParams|\.value\b)"
          r"|\.insertAdjacentHTML\s*\([^)]*(?:\$\{|`|\+|req\.|props\.|params\b|state\.|location\.)|document\.write(?:ln)?\s*\([^)]*(?:\$\{|`|\+|req\.|location\.|params\b|search)"
          r"|\bv-html\s*=\s*['\"]?(?:[\w.$]+|\{)|\{%\s*autoescape\s+(?:false|off)|\|\s*safe\b|\bmark_safe\s*\(|\bMarkup\s*\("
-         r"|res\.(?:send|write)\s*\(\s*[`'\"][^`'\"]*<[a-z][^`'\"]*\$\{[^}]*(?:req|request|params|query|body)\b",
-         ("HTML", "document.write", "v-html", "autoescape", "safe", "Markup", "res."), exclude=r"(?:DOMPurify\.sanitize|sanitizeHtml|escapeHtml)\s*\("),
-    Rule("xss-react", "xss", r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:[^}]*(?:\$\{|`|\+|req\.|props\.|params|state\.|data\.|content|body|markdown|html\b|value)",
+         r"|res\.(?:send|write)\s*\(\s*[`'\"][^`'\"]*<[a-z][^`'\"]*\$\{[^}]*(?:req|request|params|query|body)\b"
+         r"|(?:\.(?:inner|outer)HTML\s*\+?=|\.insertAdjacentHTML\s*\([^,)]*,|document\.write(?:ln)?\s*\(|\.html\s*\(|\{@html\s)\s*[A-Za-z_$][\w$.]*\s*\(?",
+         ("HTML", "document.write", "v-html", "autoescape", "safe", "Markup", "res.", ".html", "{@html"), exclude=r"(?:DOMPurify\.sanitize|sanitizeHtml|escapeHtml)\s*\("),
+    Rule("xss-react", "xss", r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:[^}]*(?:\$\{|`|\+|req\.|props\.|params|state\.|data\.|content|body|markdown|html\b|value)|dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:\s*[A-Za-z_$][\w$.]*\s*\(?",
          ("dangerouslySetInnerHTML",), exclude=r"DOMPurify|sanitiz"),
     Rule("log-injection", "log-injection",
          r"(?i)" + LOG + r"\s*\(\s*(?:`[^`,;)]*\$\{[^}]*" + REQUEST + r"|f['\"][^'\",;)]*\{[^}]*" + REQUEST

@@ -51,7 +51,7 @@ def extract_routes(files: DataFrame) -> DataFrame:
     Comments are blanked out first: a route in one is none."""
     files = mask_comments(files).withColumn("content", F.col("code"))
     js, py = r"\.(?:js|jsx|ts|tsx|mjs|cjs)$", r"\.py$"
-    express = _calls(files, r"\b\w*(?:[aA]pp|[rR]outer|[sS]erver|fastify|[aA]pi)\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['\"`](/[^'\"`\n]*)['\"`]", js, "express", "router", 1, 2)
+    express = _calls(files, r"[\w$]\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['\"`](/[^'\"`\n]*)['\"`]", js, "express", "router", 1, 2)
     on = _calls(files, r"\.on\s*\(\s*['\"](get|post|put|patch|delete|GET|POST|PUT|PATCH|DELETE)['\"]\s*,\s*['\"](/[^'\"\n]*)['\"]", js, "hono", "router", 1, 2)
     fastapi = _calls(files, r"@\w+\.(get|post|put|patch|delete|head|options)\s*\(\s*['\"](/[^'\"\n]*)['\"]", py, "fastapi", "decorator", 1, 2)
     spring = _calls(files, r"@(Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?\"(/[^\"\n]*)\"", r"\.java$", "spring", "decorator", 1, 2)
@@ -87,11 +87,18 @@ def serverless_routes(files: DataFrame) -> DataFrame:
 
 
 def raw_server_routes(files: DataFrame) -> DataFrame:
-    """Plain HTTP servers: one row per path literal compared with the request URL, and the methods seen."""
-    f = files.filter(F.col("content").rlike(r"createServer\s*\(|BaseHTTPRequestHandler"))
-    p = F.regexp_extract_all("content", F.lit(r"(?:url|pathname|self\.path)\s*={2,3}\s*['\"](/[^'\"\n]*)['\"]"), F.lit(1))
-    m = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\.method\s*={2,3}\s*['\"](\w+)['\"]"), F.lit(1))))
-    return f.select("repo", F.col("path").alias("code_path"), m.alias("methods_seen"), F.explode(F.array_distinct(p)).alias("path")).select(
+    """Plain HTTP servers: one row per path literal that the request URL is held against, and the methods seen.
+
+    Methods are compared names and handler methods (do_GET). A server that answers itself but names no path is one row for every path."""
+    f = files.filter(F.col("content").rlike(r"createServer\s*\(|BaseHTTPRequestHandler|\bBun\.serve\s*\("))
+
+    def found(pattern, group=1):
+        return F.regexp_extract_all("content", F.lit(pattern), F.lit(group))
+    p = F.array_distinct(F.concat(found(r"(?:url|pathname|\.path)\s*={2,3}\s*['\"](/[^'\"\n]*)['\"]"), found(r"(?:url|pathname|\.path)\.starts(?:With|with)\s*\(\s*['\"](/[^'\"\n]*)['\"]"), found(r"\bcase\s+['\"](/[^'\"\n]*)['\"]")))
+    m = F.array_sort(F.array_distinct(F.concat(F.transform(found(r"\.method\s*={2,3}\s*['\"](\w+)['\"]"), F.upper), found(r"\bdef\s+do_([A-Z]+)\s*\("))))
+    answers = F.col("content").rlike(r"\bres(?:ponse)?\.(?:writeHead|end|write)\s*\(|\breq(?:uest)?\.(?:url|method)\b|\bdef\s+do_[A-Z]+\s*\(|\bfetch\s*\(")
+    named = F.when(F.size(p) > 0, p).when(answers, F.array(F.lit("/*"))).otherwise(p)
+    return f.select("repo", F.col("path").alias("code_path"), m.alias("methods_seen"), F.explode(named).alias("path")).select(
         "repo", "code_path", F.lit("ANY").alias("method"), normalize_path(F.col("path")).alias("path"), F.lit("raw").alias("source"), "methods_seen")
 
 

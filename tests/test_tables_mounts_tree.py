@@ -6,6 +6,7 @@ import os
 import random
 
 from riskframe import ext
+from riskframe.operators import coverage as cov
 from riskframe.operators import normalize as nz
 from riskframe.operators import surface as sf
 from riskframe.operators.detect import packs
@@ -151,3 +152,45 @@ def test_packs_run_once(spark):
 def test_secret_default_on_a_later_line(spark):
     f = spark.createDataFrame([("r", "a.js", "const s = process.env.JWT_SECRET\n          || 'change-me-now';")], FILES)
     assert [(r["var"], r.literal) for r in packs.secret_defaults(f).collect()] == [("JWT_SECRET", "change-me-now")]
+
+
+def evidence(spark, *rows):
+    names = [c.split()[0] for c in cov.EVIDENCE.split(", ")]
+    return spark.createDataFrame([tuple({"repo": "r", "item": "i", **r}.get(n) for n in names) for r in rows], cov.EVIDENCE)
+
+
+CLEAN = [{"area": "claim", "outcome": "completed"}, {"area": "gap", "execution": False}, {"area": "read", "amount": 0}, {"area": "bytes", "amount": 5, "allowed": 5}, {"area": "check", "outcome": "completed"},
+         {"area": "scanner", "selected": False}, {"area": "scanner", "item": "j", "selected": True, "ran": True, "installed": True, "runnable": True, "outcome": "completed"}, {"area": "import", "outcome": "completed", "ran": True},
+         {"area": "route", "amount": 3}, {"area": "profile", "outcome": "manual"}]
+
+
+def test_each_constraint_has_a_violating_and_a_clean_row(spark):
+    assert cov.evidence_errors(evidence(spark, *CLEAN)).count() == 0
+    done = {"outcome": "completed", "ran": True, "installed": True, "runnable": True, "selected": True}
+    broken = {"not-complete": {"area": "claim"}, "gap-unclassified": {"area": "gap"}, "execution-gap": {"area": "gap", "execution": True}, "read-loss": {"area": "read", "amount": 2}, "selection-truncated": {"area": "read", "amount": 0, "truncated": 1},
+              "bytes-invalid": {"area": "bytes", "amount": -1}, "limit-invalid": {"area": "bytes", "allowed": -1}, "bytes-over-limit": {"area": "bytes", "item": "k", "amount": 6, "allowed": 5}, "check-incomplete": {"area": "check", "outcome": "failed"},
+              "check-reported-errors": {"area": "check", "outcome": "completed", "errors": 1}, "selection-unknown": {"area": "scanner"}, "scanner-incomplete": {"area": "scanner", **done, "installed": None}, "scanner-reported-errors": {"area": "scanner", **done, "errors": 1},
+              "import-incomplete": {"area": "import", "outcome": "completed"}, "import-gap": {"area": "import", **done, "execution": True}, "route-errors": {"area": "route", "errors": 1}, "route-diagnostics-truncated": {"area": "route", "truncated": 1},
+              "route-gap": {"area": "route", "execution": True}, "route-count-invalid": {"area": "route", "amount": -1}, "route-limit-invalid": {"area": "route", "allowed": -1}, "profile-check-failed": {"area": "profile", "outcome": "crashed"}, "area-unknown": {"area": None}}
+    assert set(broken) == {n for n, _a, _c in cov._constraints()} | {"area-unknown"}
+    rows = [{**c, "repo": n} for n in broken for c in CLEAN] + [{**row, "repo": n} for n, row in broken.items()]
+    got = {}
+    for r in cov.evidence_errors(evidence(spark, *rows)).collect():
+        got.setdefault(r.repo, set()).add(r.error)
+    assert got == {n: {n, "claims-disagree" if n == "not-complete" else "claimed-complete-despite"} | ({"reads-disagree"} if n == "bytes-invalid" else set()) for n in broken}
+    assert [r.error for r in cov.evidence_errors(evidence(spark, CLEAN[1])).collect()] == ["claim-missing"]
+
+
+def test_routes_of_any_receiver_and_handler_methods(spark):
+    f = spark.createDataFrame([("r", "a.js", "users.get('/x', list); cache.get('k'); $v1.delete(`/y/:id`, drop)"), ("r", "s.py", "class H(BaseHTTPRequestHandler):\n  def do_GET(self):\n    if self.path == '/ok': pass\n  def do_POST(self): pass"),
+                               ("r", "t.py", "class H(BaseHTTPRequestHandler):\n  def do_PUT(self): pass"), ("r", "u.js", "http.createServer(app)")], FILES)
+    assert {(r.method, r.path) for r in sf.extract_routes(f).filter("code_path = 'a.js'").collect()} == {("GET", "/x"), ("DELETE", "/y/{id}")}
+    assert {(r.code_path, r.path, tuple(r.methods_seen)) for r in sf.raw_server_routes(f).collect()} == {("s.py", "/ok", ("GET", "POST")), ("t.py", "/*", ("PUT",))}
+
+
+def test_html_sinks_with_values(spark):
+    lines = {"el.innerHTML = userHtml;": 1, "el.innerHTML = '<b>x</b>';": 0, "el.innerHTML === other;": 0, "$('#a').html(reply.text)": 1, "$('#a').html()": 0, "$('#a').html('<i>')": 0, "{@html note}": 1, "document.write(x)": 1, "document.write('x')": 0,
+             "el.innerHTML = DOMPurify.sanitize(userHtml);": 0, "<p dangerouslySetInnerHTML={{ __html: note }} />": 1, "<p dangerouslySetInnerHTML={{ __html: '' }} />": 0, "el.insertAdjacentHTML('beforeend', row)": 1}
+    f = spark.createDataFrame([("r", f"src/{i}.js", x) for i, x in enumerate(lines)], FILES)
+    got = {r.path for r in packs.sinks(f).filter("attack_class = 'xss'").collect()}
+    assert got == {f"src/{i}.js" for i, n in enumerate(lines.values()) if n}
