@@ -272,7 +272,8 @@ def table_states(files: DataFrame) -> DataFrame:
 
     What comes before a table's last drop counts no more; a policy dropped later is none; the last switch of row security
     decides. Partial aggregation by table and by policy, no list of statements."""
-    ev = table_events(files).withColumn("o", F.struct("path", "pos"))
+    # Statements are few; written once, so that texts are read once.
+    ev = cut_lineage(table_events(files)).withColumn("o", F.struct("path", "pos"))
     dropped = ev.filter("kind = 'drop'").groupBy("repo", "name").agg(F.max("o").alias("_gone"))
     live = ev.filter("kind <> 'drop'").join(dropped, ["repo", "name"], "left").filter("_gone IS NULL OR o > _gone")
     # First by policy (null for the rest), then by table.
