@@ -139,6 +139,47 @@ def repo_findings(files: DataFrame, pack: dict) -> DataFrame:
     return g.select("repo", F.explode(_conditions(pack)).alias("x")).select("repo", "x.*")
 
 
+ROLES = ["is_test", "is_script", "is_client", "is_doc", "is_example", "not_test", "is_server"]
+
+
+def _of_family(pack: dict, name: str) -> Column:
+    return F.transform(_conditions(pack), lambda x: F.struct(F.lit(name).alias("family"), x["kind"].alias("kind"), x["attack_class"].alias("attack_class"), x["severity"].alias("severity")))
+
+
+def all_file_findings(files: DataFrame, packs: dict) -> DataFrame:
+    """file_findings of several packs, {name: pack}, in one pass over the texts, with the column ``family``.
+
+    Flags live from their own pack to the next, so equal names do not clash; only findings leave the projection."""
+    fixed, found = ["repo", "path", "content", *ROLES], []
+    df = with_roles(files).select(*fixed)
+    for i, (name, pack) in enumerate(packs.items()):
+        df = df.select(*fixed, *found, *[F.col("content").rlike(p).alias(n) for n, p in pack["flags"].items()])
+        df = df.select(*fixed, *found, _of_family(pack, name).alias(f"_f{i}"))
+        found.append(f"_f{i}")
+    # As in scan_rules: an inner explode would evaluate the array once more for a filter.
+    return df.select("repo", "path", F.explode_outer(F.concat(*found)).alias("x")).filter("x IS NOT NULL").select("repo", "path", "x.*")
+
+
+def all_repo_findings(files: DataFrame, packs: dict) -> DataFrame:
+    """repo_findings of several packs, {name: pack}, in one pass over the texts and one aggregation, with the column ``family``."""
+    fixed, found = ["repo", "content", *ROLES], []
+    df = with_roles(files).select(*fixed)
+    held = {}
+    for i, (name, pack) in enumerate(packs.items()):
+        derived = pack.get("derive") or {n: n for n in pack["flags"]}
+        held[name] = {n: f"_p{i}_{n}" for n in derived}
+        df = df.select(*fixed, *found, *[F.col("content").rlike(p).alias(n) for n, p in pack["flags"].items()])
+        df = df.select(*fixed, *found, *[F.expr(e).alias(held[name][n]) for n, e in derived.items()])
+        found += held[name].values()
+    g = df.groupBy("repo").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in found])
+    parts, arrays = g, []
+    for i, (name, pack) in enumerate(packs.items()):
+        parts = parts.select("repo", *found, *arrays, *[F.col(c).alias(n) for n, c in held[name].items()])
+        parts = parts.select("repo", *found, *arrays, _of_family(pack, name).alias(f"_f{i}"))
+        arrays.append(f"_f{i}")
+    return parts.select("repo", F.explode_outer(F.concat(*arrays)).alias("x")).filter("x IS NOT NULL").select("repo", "x.*")
+
+
 def _conditions(pack: dict) -> Column:
     rows = [F.when(F.expr(cond), F.struct(F.lit(kind).alias("kind"), F.lit(cls).alias("attack_class"), F.lit(sev).alias("severity")))
             for kind, cls, sev, cond in pack["findings"]]

@@ -221,10 +221,132 @@ RULE_FAILURES = ["Timeout", "TimeoutDuringInterfile", "OutOfMemory", "OutOfMemor
                  "PartialParsing", "MaxMemory", "Timeout during interfile analysis"]
 
 
-def report_validity(reports: DataFrame) -> DataFrame:
+# Diagnostics of one input file, which is skipped or read in part while the run goes on.
+FILE_FAILURES = {"PartialParsing": "partial-parse", "Syntax error": "parse-failed", "Lexical error": "parse-failed", "Other syntax error": "parse-failed"}
+# Kinds of diagnostics that make the outcome an error, and one that makes it partial.
+FAILED = ["scanner-error", "contradiction", "invalid-count"]
+INCOMPLETE = "rule-incomplete"
+
+DIAGNOSTIC = "array<struct<kind string, subject string, path string, reason string, n bigint>>"
+
+
+def _note(kind, subject="", path="", reason="", n=1) -> Column:
+    def col(v):
+        return v if isinstance(v, Column) else F.lit(v)
+    return F.struct(col(kind).cast("string").alias("kind"), F.coalesce(col(subject), F.lit("")).alias("subject"), F.coalesce(col(path), F.lit("")).alias("path"),
+                    col(reason).cast("string").alias("reason"), col(n).cast("bigint").alias("n"))
+
+
+def _when(cond: Column, note: Column) -> Column:
+    return F.when(F.coalesce(cond, F.lit(False)), note)
+
+
+def _present(notes) -> Column:
+    return F.filter(F.array(*notes), lambda x: x.isNotNull())
+
+
+def _count(text: Column) -> Column:
+    """The number, if the text is one that can count things."""
+    return F.when(text.rlike("^[0-9]{1,18}$"), text.cast("bigint"))
+
+
+def _semgrep_notes(outside) -> Column:
+    d = F.from_json("raw", """errors array<struct<type string, rule_id string, check_id string, path string, location struct<path string>, level string>>, skipped_rules array<string>""")
+
+    def note(e):
+        # A type is a name, or a list that begins with one; of several names the first known one counts.
+        names = F.when(e["type"].startswith("["), F.from_json(e["type"], "array<string>")).otherwise(F.array(e["type"]))
+        names = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.isNotNull())
+        kind = F.coalesce(F.get(F.filter(names, lambda x: x.isin(*RULE_FAILURES)), F.lit(0)), F.get(names, F.lit(0)), F.lit("error"))
+        rule = F.coalesce(F.nullif(e["rule_id"], F.lit("")), F.nullif(e["check_id"], F.lit("")), F.lit(""))
+        path = F.coalesce(F.nullif(e["path"], F.lit("")), e["location"]["path"], F.lit(""))
+        of_rule = kind.isin(*RULE_FAILURES) & (rule != "")
+        of_file = kind.isin(*FILE_FAILURES) & F.coalesce(e["level"] == "warn", F.lit(False)) & (path != "")
+        what = (F.when(of_rule, F.lit(INCOMPLETE)).when(of_file & outside(path), F.lit("limitation-excluded")).when(of_file, F.lit("file-limitation")).otherwise(F.lit("scanner-error")))
+        return _note(what, rule, path, F.when(of_file & ~of_rule, F.element_at(F.create_map(*[F.lit(x) for kv in FILE_FAILURES.items() for x in kv]), kind)).otherwise(kind))
+    errors = F.transform(F.coalesce(d["errors"], F.array().cast("array<struct<type string, rule_id string, check_id string, path string, location struct<path string>, level string>>")),
+                         lambda e: note(F.coalesce(e, F.from_json(F.lit("{}"), "type string, rule_id string, check_id string, path string, location struct<path string>, level string"))))
+    return F.concat(errors, _present([_when(F.size(d["skipped_rules"]) > 0, _note("skipped", reason="rules", n=F.size(d["skipped_rules"])))]))
+
+
+CHECKOV = """array<struct<check_type string, results struct<passed_checks array<string>, failed_checks array<string>, skipped_checks array<string>, parsing_errors array<string>>,
+  summary struct<passed string, failed string, skipped string, parsing_errors string, resource_count string>, errors array<string>,
+  passed string, failed string, skipped string, parsing_errors string, resource_count string>>"""
+
+
+def _checkov_notes(outside) -> Column:
+    rows = F.from_json(F.when(F.ltrim("raw").startswith("["), F.col("raw")).otherwise(F.concat(F.lit("["), F.col("raw"), F.lit("]"))), CHECKOV)
+
+    def of_row(r):
+        # The counts stand in a summary, or in the row itself where nothing was found to check.
+        def said(name):
+            return F.coalesce(r["summary"][name], r[name])
+        name = F.coalesce(r["check_type"], F.lit("checkov"))
+        listed = F.coalesce(r["results"]["parsing_errors"], F.array().cast("array<string>"))
+        paths = F.filter(listed, lambda p: F.coalesce(p != "", F.lit(False)))
+        inside = F.filter(paths, lambda p: ~outside(p))
+        total = F.greatest(F.coalesce(_count(said("parsing_errors")), F.lit(0)), F.size(listed))
+        evaluated = F.lit(False)
+        for c in ("passed_checks", "failed_checks", "skipped_checks"):
+            evaluated = evaluated | F.coalesce(F.size(r["results"][c]) > 0, F.lit(False))
+        for c in ("passed", "failed", "skipped", "resource_count"):
+            evaluated = evaluated | F.coalesce(_count(said(c)) > 0, F.lit(False))
+        lost = F.when(evaluated, F.lit(0)).otherwise(F.size(inside)) + total - F.size(paths)
+        skipped = F.coalesce(_count(said("skipped")), F.size(r["results"]["skipped_checks"]), F.lit(0))
+        single = [
+            _when(F.size(r["errors"]) > 0, _note("scanner-error", name, reason="reported errors")),
+            _when(lost > 0, _note("scanner-error", name, reason=F.when(~evaluated & (F.size(inside) > 0), F.lit("no evaluated resources")).otherwise(F.lit("not attributed to a file")), n=lost)),
+            *[_when(said(c).isNotNull() & _count(said(c)).isNull(), _note("invalid-count", name, reason=c)) for c in ("parsing_errors", "skipped")],
+            *[_when(r["summary"][c].isNotNull() & (F.size(r["results"][f"{c}_checks"]) >= 0) & ~F.coalesce(_count(r["summary"][c]) == F.size(r["results"][f"{c}_checks"]), F.lit(False)),
+                    _note("contradiction", name, reason=c)) for c in ("failed", "passed", "skipped")],
+            _when(skipped > 0, _note("skipped", name, reason="checks", n=skipped))]
+        limits = F.when(evaluated, F.transform(inside, lambda p: _note("file-limitation", name, p, "parse-failed"))).otherwise(F.array().cast(DIAGNOSTIC))
+        away = F.transform(F.filter(paths, outside), lambda p: _note("limitation-excluded", name, p, "parse-failed"))
+        return F.concat(_present(single), limits, away)
+    return F.flatten(F.transform(F.filter(F.coalesce(rows, F.array().cast(CHECKOV)), lambda r: r.isNotNull()), of_row))
+
+
+def _bandit_notes() -> Column:
+    d = F.from_json("raw", "errors array<string>, metrics struct<_totals struct<nosec string, skipped_tests string>>")
+    totals = d["metrics"]["_totals"]
+    skipped = _count(totals["skipped_tests"])
+    return _present([_when(F.size(d["errors"]) > 0, _note("scanner-error", reason="reported errors")),
+                     *[_when(totals[c].isNotNull() & _count(totals[c]).isNull(), _note("invalid-count", reason=c)) for c in ("nosec", "skipped_tests")],
+                     _when(skipped > 0, _note("skipped", reason="tests", n=skipped))])
+
+
+def _other_notes() -> Column:
+    found = [F.size(F.from_json("raw", f"{name} array<string>")[name]) > 0 for name in ("errors", "Errors")]
+    return _present([_when(F.coalesce(found[0], F.lit(False)) | F.coalesce(found[1], F.lit(False)), _note("scanner-error", reason="reported errors"))])
+
+
+def _inside_skipped(path: Column) -> Column:
+    from ..sources.files import PRIVATE_DIRS, SKIP_DIRS
+    parts = F.split(path, "/")
+    return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(n) for n in sorted({*PRIVATE_DIRS, *SKIP_DIRS})]))
+
+
+def _diagnostics(outside) -> Column:
+    tool = F.col("tool")
+    return F.coalesce(F.when(tool == "semgrep", _semgrep_notes(outside)).when(tool == "checkov", _checkov_notes(outside)).when(tool == "bandit", _bandit_notes()).otherwise(_other_notes()),
+                      F.array()).cast(DIAGNOSTIC)
+
+
+def report_diagnostics(reports: DataFrame, outside=_inside_skipped) -> DataFrame:
+    """(repo, snapshot, tool, kind, subject, path, reason, n): what the documents say about their own runs, one row each.
+
+    Kinds: rule-incomplete (a rule timed out or ran out of memory), file-limitation (one file was skipped or read in part),
+    limitation-excluded (such a file outside the scope, by ``outside(path)``), scanner-error, contradiction (a count that its list does
+    not bear out), invalid-count (no whole number), skipped (n rules, checks or tests). A quoted whole number counts as one. Documents that are no JSON say nothing."""
+    return (reports.filter("tool <> 'trufflehog'").select("repo", "snapshot", "tool", F.explode_outer(_diagnostics(outside)).alias("d")).filter("d IS NOT NULL")
+            .select("repo", "snapshot", "tool", "d.*"))
+
+
+def report_validity(reports: DataFrame, outside=_inside_skipped) -> DataFrame:
     """(repo, snapshot, tool, outcome, rule_errors, errors) per document.
 
-    outcome: parse_failed (not JSON), wrong_shape, partial (some rules failed), error, ok."""
+    outcome: parse_failed (not JSON), wrong_shape, error (a diagnostic of the whole run, or counts that contradict their lists),
+    partial (some rules failed), ok. Limitations of single files leave the outcome as it is; see report_diagnostics."""
     r = reports.filter("tool <> 'trufflehog'").withColumn("v", F.try_parse_json("raw"))
     kind = F.schema_of_variant("v")
     is_list, is_obj = kind.startswith("ARRAY"), kind.startswith("OBJECT")
@@ -242,13 +364,11 @@ def report_validity(reports: DataFrame) -> DataFrame:
     shape = F.when(F.col("tool").isin("gitleaks", "gitleaks-dir"), is_list | is_array("$.findings")).otherwise(shape)
     shape = F.when(F.col("tool") == "checkov", is_list | is_array("$.results.failed_checks")).otherwise(shape)
     shape = F.when(F.col("tool") == "sarif", is_obj & is_array("$.runs")).otherwise(shape)
-    e = F.from_json("raw", "errors array<struct<type string, rule_id string, level string>>")["errors"]
-    e = F.when(F.col("tool") == "semgrep", F.coalesce(e, F.array()))
-    scoped = F.coalesce(F.size(F.filter(e, lambda x: x["type"].isin(*RULE_FAILURES) & (F.coalesce(x["rule_id"], F.lit("")) != ""))), F.lit(0))
-    total = F.coalesce(F.size(e), F.lit(0))
-    outcome = (F.when(F.col("v").isNull(), F.lit("parse_failed")).when(~F.coalesce(shape, F.lit(False)), F.lit("wrong_shape"))
-               .when(total > scoped, F.lit("error")).when(scoped > 0, F.lit("partial")).otherwise(F.lit("ok")))
-    return r.select("repo", "snapshot", "tool", outcome.alias("outcome"), scoped.cast("int").alias("rule_errors"), (total - scoped).cast("int").alias("errors"))
+    r = r.select("repo", "snapshot", "tool", "v", F.coalesce(shape, F.lit(False)).alias("_shape"), _diagnostics(outside).alias("_d"))
+    scoped, failed = F.size(F.filter("_d", lambda x: x["kind"] == INCOMPLETE)), F.size(F.filter("_d", lambda x: x["kind"].isin(*FAILED)))
+    outcome = (F.when(F.col("v").isNull(), F.lit("parse_failed")).when(~F.col("_shape"), F.lit("wrong_shape"))
+               .when(failed > 0, F.lit("error")).when(scoped > 0, F.lit("partial")).otherwise(F.lit("ok")))
+    return r.select("repo", "snapshot", "tool", outcome.alias("outcome"), scoped.cast("int").alias("rule_errors"), failed.cast("int").alias("errors"))
 
 
 SARIF = """runs array<struct<tool struct<driver struct<name string, guid string, rules array<struct<id string,

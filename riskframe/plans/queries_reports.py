@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import standards as std
 from ..operators import findings as fnd
 from ..operators import normalize as nz
+from ..operators.detect import engine
+from ..operators.ledger import FAMILIES, families_to_ledger, file_packs, public_key_downgrade, repo_packs
 from .catalog import query
+from .queries_detect import pack_sql
 from .testviews import TOOLS
 
 # Items of one tool: documents that are whole, in the shape the report view writes them.
@@ -119,6 +122,26 @@ def _(t):
     return nz.report_validity(t.reports).select("snapshot", "tool", "outcome", "rule_errors")
 
 
+# Documents with diagnostics of each kind, one per order; counts follow the key.
+NATIVE = """SELECT 'repo' || (o_custkey % 40) AS repo, CAST(o_orderkey AS VARCHAR(20)) AS snapshot, CASE o_orderkey % 3 WHEN 0 THEN 'checkov' WHEN 1 THEN 'semgrep' ELSE 'bandit' END AS tool,
+ CASE o_orderkey % 3 WHEN 0 THEN '[{"check_type":"terraform","results":{"failed_checks":[1,2],"passed_checks":[3],"skipped_checks":[],"parsing_errors":["m' || (o_custkey % 9) || '.tf"]},"summary":{"failed":' || (o_orderkey % 4) || ',"passed":1,"parsing_errors":' || (o_orderkey % 5) || '}}]'
+  WHEN 1 THEN '{"results":[],"errors":[{"type":["PartialParsing",[]],"level":"warn","path":"' || CASE WHEN o_custkey % 2 = 0 THEN 'src/' ELSE 'node_modules/' END || (o_custkey % 50) || '.js"},{"type":"' || CASE WHEN o_orderkey % 4 = 0 THEN 'Timeout' ELSE 'Fatal' END || '","rule_id":"r' || (o_orderkey % 7) || '"}]}'
+  ELSE '{"results":[],"errors":[],"metrics":{"_totals":{"nosec":' || (o_custkey % 6 - 1) || ',"skipped_tests":' || (o_orderkey % 5) || '}}}' END AS raw FROM orders"""
+
+
+@query("n12_report_diagnostics", """
+WITH o AS (SELECT 'repo' || (o_custkey % 40) AS repo, o_orderkey::VARCHAR AS snapshot, o_orderkey AS k, o_custkey AS c FROM orders), d AS (
+SELECT repo, snapshot, 'checkov' AS tool, 'contradiction' AS kind, 'terraform' AS subject, '' AS path, 'failed' AS reason, 1 AS n FROM o WHERE k % 3 = 0 AND k % 4 <> 2
+UNION ALL SELECT repo, snapshot, 'checkov', 'file-limitation', 'terraform', 'm' || (c % 9) || '.tf', 'parse-failed', 1 FROM o WHERE k % 3 = 0
+UNION ALL SELECT repo, snapshot, 'checkov', 'scanner-error', 'terraform', '', 'not attributed to a file', k % 5 - 1 FROM o WHERE k % 3 = 0 AND k % 5 > 1
+UNION ALL SELECT repo, snapshot, 'semgrep', CASE WHEN c % 2 = 0 THEN 'file-limitation' ELSE 'limitation-excluded' END, '', CASE WHEN c % 2 = 0 THEN 'src/' ELSE 'node_modules/' END || (c % 50) || '.js', 'partial-parse', 1 FROM o WHERE k % 3 = 1
+UNION ALL SELECT repo, snapshot, 'semgrep', CASE WHEN k % 4 = 0 THEN 'rule-incomplete' ELSE 'scanner-error' END, 'r' || (k % 7), '', CASE WHEN k % 4 = 0 THEN 'Timeout' ELSE 'Fatal' END, 1 FROM o WHERE k % 3 = 1
+UNION ALL SELECT repo, snapshot, 'bandit', 'invalid-count', '', '', 'nosec', 1 FROM o WHERE k % 3 = 2 AND c % 6 = 0
+UNION ALL SELECT repo, snapshot, 'bandit', 'skipped', '', '', 'tests', k % 5 FROM o WHERE k % 3 = 2 AND k % 5 > 0) SELECT * FROM d""")
+def _(t):
+    return nz.report_diagnostics(t.sql(NATIVE))
+
+
 @query("n13_sca_identity", """
 SELECT repo, seq, pkg, installed, 'dependency:' || substr(sha256(concat_ws(chr(1), file, CASE ecosystem WHEN 'python-pkg' THEN 'pip' WHEN 'gobinary' THEN 'gomod' ELSE ecosystem END, pkg, installed, cve)), 1, 24) AS semantic_id
 FROM scan_findings WHERE category = 'sca'""")
@@ -143,6 +166,49 @@ def _(t):
     return scan_to_ledger(t.scan_findings).select("repo", "seq", "line", "attack_class", "category", "confidence", "rule_id")
 
 
+# The families as a VALUES table, and what single kinds settle.
+def _text(v):
+    return "'" + v.replace("'", "''") + "'"
+
+
+FAMILY = "fam AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({_text(n)}, {_text(f.category)}, {_text(f.attack_class)}, {_text(f.severity)}, {_text(f.confidence)}, {_text(f.place)}, {'attack_class' in f.settled}, {'confidence' in f.settled})"
+    for n, f in FAMILIES.items()) + ") AS t(family, category, d_class, d_severity, d_confidence, place, own_class, own_confidence)), kinds AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({_text(n)}, {_text(k)}, {', '.join(_text(v[c]) if c in v else 'NULL' for c in ('attack_class', 'severity', 'confidence'))})" for n, f in FAMILIES.items() for k, v in f.kinds.items()) + ") AS t(family, kind, k_class, k_severity, k_confidence))"
+FAMILY_ROWS = """SELECT x.repo, x.family, category, coalesce(k_class, CASE WHEN NOT own_class THEN x.attack_class END, d_class) AS attack_class, coalesce(k_severity, x.severity, d_severity) AS severity,
+ coalesce(k_confidence, d_confidence) AS confidence, coalesce(x.path, place) AS location, x.kind AS rule_id FROM x JOIN fam ON fam.family = x.family LEFT JOIN kinds ON kinds.family = x.family AND kinds.kind = x.kind"""
+
+
+def _family_sql():
+    view = "(SELECT repo, path, content FROM code_files UNION ALL SELECT repo, path, content FROM config_files)"
+    arms = [f"SELECT repo, {path} AS path, '{n}' AS family, kind, attack_class, severity FROM ({pack_sql(view, p, level)})"
+            for level, path, held in (("file", "path", file_packs()), ("repo", "NULL", repo_packs())) for n, p in held.items()]
+    return f"WITH {FAMILY}, x AS (" + " UNION ALL ".join(arms) + f") {FAMILY_ROWS}"
+
+
+@query("n14_family_ledger", _family_sql())
+def _(t):
+    """The packs of conditions, thirteen families, in two passes over the texts."""
+    files = t.code_files.unionByName(t.config_files)
+    rows = engine.all_file_findings(files, file_packs()).unionByName(engine.all_repo_findings(files, repo_packs()), allowMissingColumns=True)
+    return families_to_ledger(rows).select("repo", "family", "category", "attack_class", "severity", "confidence", "location", "rule_id")
+
+
+# Token hits among the scanner rows, and files with a public key (some with a private one too).
+TOKENS = "SELECT repo, seq, category, severity, CASE WHEN seq % 3 = 0 THEN 'JSON Web Token' ELSE title END AS title, 'app/' || file AS file FROM scan_findings"
+TIERS = "SELECT DISTINCT repo, file AS path, CASE WHEN length(repo || file) % 3 = r THEN 'service_role' ELSE 'anon' END AS role FROM scan_findings, (SELECT 0 AS r UNION ALL SELECT 1) AS r WHERE length(repo) % 2 = 0"
+
+
+@query("n14_public_keys", f"""
+WITH f AS ({TOKENS}), k AS (SELECT repo, path, bool_or(role = 'anon') AND NOT bool_or(role = 'service_role') AS public FROM ({TIERS}) GROUP BY 1, 2),
+ j AS (SELECT f.*, EXISTS (SELECT 1 FROM k WHERE k.repo = f.repo AND k.public AND f.file = 'app/' || k.path) AND contains(lower(title), 'web token') AND category IN ('secret', 'sast') AS down FROM f)
+SELECT repo, seq, down AS downgraded, CASE WHEN down THEN 'client-exposure' WHEN category = 'sca' THEN 'cve' ELSE category END AS attack_class, CASE WHEN down THEN 'INFO' ELSE severity END AS severity FROM j""")
+def _(t):
+    rows = t.sql(TOKENS).select("repo", "seq", F.concat(F.lit("static-"), "category").alias("category"), "severity", "title", "file",
+                                F.when(F.col("category") == "sca", F.lit("cve")).otherwise(F.col("category")).alias("attack_class"), F.lit("MEDIUM").alias("confidence"))
+    return public_key_downgrade(rows, t.sql(TIERS)).select("repo", "seq", "downgraded", "attack_class", "severity")
+
+
 STD = "(VALUES " + ", ".join(f"('{n}', '{','.join('CWE-' + c for c in cwe)}', '{asvs}')" for n, cwe, asvs, _r in std.STANDARDS) + ") AS s(attack_class, cwe, asvs)"
 
 
