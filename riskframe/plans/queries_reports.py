@@ -196,7 +196,7 @@ def _(t):
 
 # Token hits among the scanner rows, and files with a public key (some with a private one too).
 TOKENS = "SELECT repo, seq, category, severity, CASE WHEN seq % 3 = 0 THEN 'JSON Web Token' ELSE title END AS title, 'app/' || file AS file FROM scan_findings"
-TIERS = "SELECT DISTINCT repo, file AS path, CASE WHEN length(repo || file) % 3 = r THEN 'service_role' ELSE 'anon' END AS role FROM scan_findings, (SELECT 0 AS r UNION ALL SELECT 1) AS r WHERE length(repo) % 2 = 0"
+TIERS = " UNION ALL ".join(f"SELECT DISTINCT repo, file AS path, CASE WHEN length(repo || file) % 3 = {r} THEN 'service_role' ELSE 'anon' END AS role FROM scan_findings WHERE length(repo) % 2 = 0" for r in (0, 1))
 
 
 @query("n14_public_keys", f"""
