@@ -15,7 +15,7 @@ holds the model.
 
 Words are 64-bit hashes; successors keep 40 bits within a context. The quantisation error of a probability is
 below 0.04 %. Null texts are empty: one end sign. Rows that repeat a doc_id are documents of their own; rows
-without one are left out."""
+without one are scored too, belong to no fold (``held_out`` is null) and teach nothing."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ START, END = np.uint64(0x5EED0001), np.uint64(0x5EED0002)
 SPREAD, KEEP = 16, 40
 #: log10 of N * p(v w) from 0 to TOP in 16-bit steps; code 0: never seen.
 TOP, CODES = 14.0, 65535
-DOCUMENTS, WORDS, PAIRS, TOTALS = 0, 1, 2, 3
+DOCUMENTS, WORDS, PAIRS, TOTALS, UNNAMED = 0, 1, 2, 3, 4
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -62,7 +62,7 @@ class EliasFano:
     def _mapped(folder: str, name: str, a: np.ndarray) -> np.ndarray:
         path = os.path.join(folder, name)
         a.tofile(path)
-        return np.memmap(path, a.dtype, "r", shape=a.shape)
+        return np.memmap(path, a.dtype, "r", shape=a.shape) if a.size else a
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
         at = i * self.bits
@@ -130,9 +130,11 @@ class Trie:
 class Block:
     """Tokens of the documents of a block, its distinct words and bigrams."""
 
-    def __init__(self, payloads: list[bytes], held: int, folds: int, shards: int) -> None:
-        self.ids, texts = ex.documents_of(payloads)
-        words = words_of(texts)
+    def __init__(self, own: dict[int, list[tuple[int, bytes]]], held: int, folds: int, shards: int, lower: bool) -> None:
+        self.ids, texts = ex.documents_of([p for _, p in own.get(DOCUMENTS, [])])
+        unnamed = ex.documents_of([p for _, p in own.get(UNNAMED, [])])[1]
+        self.unnamed = np.arange(len(texts) + len(unnamed)) >= len(texts)
+        words = words_of(texts + unnamed, lower)
         n = np.diff(words.first)
         self.size = n + 1
         self.first = np.concatenate([[0], np.cumsum(self.size)])
@@ -140,8 +142,9 @@ class Block:
         self.before = np.full(self.first[-1], START, np.uint64)
         at = np.arange(len(words.hashes)) + words.documents()
         self.tokens[at], self.before[at + 1] = words.hashes, words.hashes
-        self.held = np.array([zlib.crc32(str(i).encode()) % folds == held for i in self.ids.tolist()], bool)
-        trains = np.repeat(~self.held, self.size)
+        self.held = np.array([zlib.crc32(str(i).encode()) % folds == held for i in self.ids.tolist()] + [False] * len(unnamed), bool)
+        self.ids = np.concatenate([self.ids, np.zeros(len(unnamed), np.int64)])
+        trains = np.repeat(~self.held & ~self.unnamed, self.size)
         self.words, self.word = np.unique(self.tokens, return_inverse=True)
         self.word_count = np.bincount(self.word, trains, len(self.words)).astype(np.int64)
         follower = self.tokens & np.uint64((1 << KEEP) - 1)
@@ -155,11 +158,11 @@ class Block:
         self.shard = (((self.context >> np.uint64(16)) + salt * np.uint64(0x9E3779B1)) % np.uint64(shards)).astype(np.int64)
 
 
-def asked(texts: DataFrame, shards: int, held: int, folds: int) -> DataFrame:
+def asked(texts: DataFrame, shards: int, held: int, folds: int, lower: bool) -> DataFrame:
     """Bundles for shards: distinct words and bigrams of each block with their training counts."""
 
     def answer(key, own):
-        b = Block([p for _, p in own[DOCUMENTS]], held, folds, shards)
+        b = Block(own, held, folds, shards, lower)
         small = b.pair_count.astype(np.uint32)
         low, top = (b.follower & np.uint64(0xFFFFFFFF)).astype(np.uint32), (b.follower >> np.uint64(32)).astype(np.uint8)
         rows = ex.dealt(((b.words >> np.uint64(16)) % np.uint64(shards)).astype(np.int64), [b.words, b.word_count], WORDS, key)
@@ -207,11 +210,11 @@ def answered(questions: DataFrame) -> DataFrame:
     return ex.by_key(questions, answer)
 
 
-def scored(messages: DataFrame, shards: int, held: int, folds: int, tokens: int, types: int, prior: float) -> DataFrame:
+def scored(messages: DataFrame, shards: int, held: int, folds: int, tokens: int, types: int, prior: float, lower: bool) -> DataFrame:
     """RESULT rows of every document."""
 
     def answer(key, own):
-        b = Block([p for _, p in own[DOCUMENTS]], held, folds, shards)
+        b = Block(own, held, folds, shards, lower)
         count = np.zeros(len(b.words), np.int64)
         home = ((b.words >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
         for shard, p in own.get(WORDS, []):
@@ -231,17 +234,19 @@ def scored(messages: DataFrame, shards: int, held: int, folds: int, tokens: int,
         logs = np.log10(base)
         pair = np.log10((together[b.pair] + prior * base[b.word]) / (context[b.pair] + prior))
         total = [np.add.reduceat(x, b.first[:-1]) for x in (logs[b.word], pair, (count[b.word] > 0).astype(np.int64))]
-        return pa.record_batch([pa.array(b.ids), pa.array(b.held), pa.array(b.size), pa.array(total[2]), pa.array(np.full(len(b.ids), tokens)), pa.array(total[0]), pa.array(total[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.record_batch([pa.array(b.ids, mask=b.unnamed), pa.array(b.held, mask=b.unnamed), pa.array(b.size), pa.array(total[2]), pa.array(np.full(len(b.ids), tokens)), pa.array(total[0]), pa.array(total[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return ex.by_key(messages, answer, RESULT)
 
 
-def score(docs: DataFrame, held: int = 1, folds: int = 5, prior: float = 32.0) -> DataFrame:
+def score(docs: DataFrame, held: int = 1, folds: int = 5, prior: float = 32.0, lower: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document; learns from those
-    with crc32(doc_id) mod ``folds`` other than ``held``. An empty table gives an empty result."""
-    docs = docs.select("doc_id", "text")
+    with crc32(doc_id) mod ``folds`` other than ``held``. ``lower`` maps A-Z first. An empty table gives an empty result."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = ex.n_blocks(docs)
-    texts = ex.packed_documents(docs, blocks, DOCUMENTS)
-    answers = ex.written(answered(asked(texts, blocks, held, folds)))
+    # Rows without an id are dealt out by their text; only those are asked for again.
+    unnamed = docs.filter("doc_id IS NULL").withColumn("doc_id", F.xxhash64("text"))
+    texts = ex.packed_documents(docs, blocks, DOCUMENTS).unionByName(ex.packed_documents(unnamed, blocks, UNNAMED))
+    answers = ex.written(answered(asked(texts, blocks, held, folds, lower)))
     tokens, types = answers.filter(F.col("kind") == TOTALS).agg(F.sum("key"), F.sum("sender")).first()
-    return scored(texts.unionByName(answers.filter(F.col("kind") != TOTALS)), blocks, held, folds, tokens or 0, types or 0, prior)
+    return scored(texts.unionByName(answers.filter(F.col("kind") != TOTALS)), blocks, held, folds, tokens or 0, types or 0, prior, lower)

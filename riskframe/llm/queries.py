@@ -22,7 +22,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"), lower=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

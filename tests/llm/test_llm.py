@@ -191,6 +191,19 @@ def test_language_model(spark, docs, empty):
         assert r.score == pytest.approx(want, rel=1e-3)
 
 
+def test_language_model_query_lowers_and_scores_every_row(spark, tmp_path):
+    # Base scores as the contract has them: A-Z lowered (no other letters), rows without an id or text, a table with held-out rows alone.
+    given = [(i, t) for i, t in enumerate(["One TWO one", "one Two É é", None, "ONE K \x00 b", "x" * 70 + " " + "X" * 70, "two\x0btwo", *["Two b"] * 6])] + [(None, "One b"), (None, "One b"), (None, None), (3, "new")]
+    held = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5 == 1
+    for k, own in enumerate((given, [x for x in given if held(x[0])])):
+        spark.createDataFrame(own, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        tokens = [[*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for _, t in own]
+        c = Counter(x for (i, _), w in zip(own, tokens, strict=True) if held(i) is False for x in w)
+        n, v = sum(c.values()), len(c)
+        want = Counter((i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 9)) for (i, _), w in zip(own, tokens, strict=True))
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in queries.op2_lm_scores(spark, f"{tmp_path}/{k}").collect()) == want
+
+
 @pytest.mark.parametrize(("operator", "label", "least"), [(toxicity.toxicity, "toxic", 0.97), (quality.quality, "quality", 0.95)])
 def test_classifiers(spark, docs, empty, operator, label, least):
     full = "/root/testdata/sf0.1"
