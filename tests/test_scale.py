@@ -140,3 +140,72 @@ def test_long_arguments_are_seen(spark):
     code = "const r = eval(" + "a, " * 150 + "req.body.x)\n"
     files = spark.createDataFrame([("r", "server.js", "const app = express()\napp.listen(3)\n" + code)], "repo string, path string, content string")
     assert packs.sinks(files).filter("rule_id like '%eval%'").count() >= 1
+
+
+def test_unmatched_rows_do_not_meet_in_one_task(spark):
+    """Rows without a match have no match_id; as a join key it would send them all to one task."""
+    l = spark.range(4000).select(F.col("id").alias("lid"), F.concat(F.lit("k"), F.col("id") % 1000).alias("key"))
+    r = spark.range(4000, 4400).select(F.col("id").alias("rid"), F.concat(F.lit("k"), F.col("id") % 1000).alias("key"), F.lit("yes").alias("verdict"))
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        for both in (True, False):
+            sizes = unique_match(l, r, ["key"], "lid", "rid", payload=["verdict"], both_ways=both).groupBy(F.spark_partition_id()).count().collect()
+            assert sum(x["count"] for x in sizes) == 4000 and max(x["count"] for x in sizes) < 1500
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_line_windows_shuffle_each_line_once(spark, monkeypatch):
+    from riskframe.sources import files as src
+
+    rows = [("r", "a", i, f"t{i}" if i % 7 else None) for i in range(1, 60)] + [("r", "b", 3, "x"), ("r", "b", 3, "w"), ("r", "b", 5, "y"), (None, "b", 1, "n"), ("r", None, 1, "n"), ("r", "b", None, "n")]
+    lines = spark.createDataFrame(rows, "repo string, path string, line int, text string").withColumn("more", F.lit(1))
+    plan = src.line_window(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    named = [x for x in rows if None not in x[:3]]
+    want = sorted((p, n, "\n".join(s for _, s in sorted(((m, s) for _, q, m, s in named if q == p and n - 2 <= m <= n + 1), key=lambda x: (x[0], x[1] or "")) if s is not None)) for _, p, n, _ in named)
+    for size in (1, 2, 5, 1 << 14):
+        monkeypatch.setattr(src, "WINDOW_LINES", size)
+        out = src.line_window(lines)
+        assert out.columns == ["repo", "path", "line", "text", "more", "window"]
+        assert sorted((x.path, x.line, x.window) for x in out.collect()) == want
+
+
+def _events(rows):
+    return [("r", f, 0, n, n, kind, var, refs, source, cond) for f, n, kind, var, refs, source, cond in rows]
+
+
+EVENTS = "repo string, path string, scope int, at int, pos int, kind string, var string, refs array<string>, source boolean, conditional boolean"
+
+
+def test_taint_of_long_chains_needs_no_round_of_jobs_for_each_hop(spark):
+    chain = [("f", 0, "assign", "v0", [], True, False)] + [("f", i, "assign", f"v{i}", [f"v{i - 1}"], False, False) for i in range(1, 120)] + [("f", 120, "sink", "exec", ["v119"], False, False)]
+    sc = spark.sparkContext
+    sc.setJobGroup("long-chain", "")
+    got = [(x.pos, x.sink, x.hops) for x in packs.taint_over(spark.createDataFrame(_events(chain), EVENTS)).collect()]
+    jobs = len(sc.statusTracker().getJobIdsForGroup("long-chain"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [(120, "exec", 120)] and jobs < 30
+
+
+def test_taint_in_one_task_and_by_joins_agree(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for f in ("a", "b", "c", "d"):
+        for n in range(rnd.choice([40, 90])):
+            for _ in range(rnd.choice([1, 1, 1, 2])):
+                kind = rnd.choice(["assign", "assign", "sink"])
+                rows.append((f, n, kind, rnd.choice(["x", "y", "z", None]) if kind == "assign" else "exec", rnd.choice([None, ["x"], ["y", "q"], ["z", None], []]), rnd.choice([None, False, False, False, True]), rnd.choice([True, False, False])))
+    rows = list({(f, n, v): (f, n, k, v, r, s, c) for f, n, k, v, r, s, c in rows}.values())
+    rows += [rows[0], rows[5]]  # twice the same
+    ev = spark.createDataFrame([*_events(rows), (None, "a", 0, 1, 1, "sink", "exec", ["x"], True, False)], EVENTS)
+    key = lambda df: sorted(map(str, df.collect()))
+    walked = key(packs.taint_over(ev))
+    monkeypatch.setattr(packs, "FILE_EVENTS", 0)
+    assert walked == key(packs.taint_over(ev)) and len(walked) > 20
+    monkeypatch.setattr(packs, "FILE_EVENTS", 60)
+    assert walked == key(packs.taint_over(ev))
