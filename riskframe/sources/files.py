@@ -98,13 +98,22 @@ def read_unified_diff(diffs: DataFrame) -> DataFrame:
     return h.select("repo", "path", start.alias("start_line"), (start + count - 1).alias("end_line"), count.alias("_n")).filter("_n > 0").drop("_n")
 
 
+#: Lines of a file that one window holds; those beside an edge are sent to both sides.
+WINDOW_LINES = 1 << 14
+
+
 def line_window(lines: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
     """Adds window: the text of the lines around each line of ``lines(repo, path, line, text)``.
 
-    Neighbours are brought together by equality on the line number, so a long file needs no one-task window."""
-    near = lines.select("repo", "path", F.explode(F.sequence(F.col("line") - after, F.col("line") + before)).alias("at"), F.struct("line", "text").alias("n"))
-    g = near.groupBy("repo", "path", F.col("at").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["text"]), "\n").alias("window"))
-    return lines.join(g, ["repo", "path", "line"])
+    Windows run inside runs of WINDOW_LINES lines, so each line is shuffled once and a long file needs no one-task window."""
+    run = lambda c: F.floor(c / WINDOW_LINES)
+    keyed = lines.filter("repo IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL")
+    runs = F.sequence(run(F.col("line") - after), run(F.col("line") + before))
+    near = keyed.withColumn("_own", run(F.col("line"))).withColumn("_run", F.explode(runs))
+    w = W.partitionBy("repo", "path", "_run").orderBy("line").rangeBetween(-before, after)
+    window = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text")).over(w)), lambda x: x["text"]), "\n")
+    rest = [c for c in lines.columns if c not in ("repo", "path", "line")]
+    return near.withColumn("window", window).filter("_run = _own").select("repo", "path", "line", *rest, "window")
 
 
 def split_lines(files: DataFrame) -> DataFrame:
