@@ -68,3 +68,20 @@ def test_truth_with_many_entries_of_one_class(spark):
     t = spark.range(n).select(F.lit("hot").alias("app"), F.lit("xss").alias("attack_class"), F.concat(F.lit("dir"), "id", F.lit("/")).alias("location_contains"), (F.col("id") % 3 == 0).alias("is_real"))
     got = calibration.truth_match(f, t).groupBy("is_real").count().collect()
     assert {r.is_real: r["count"] for r in got} == {True: 3334, False: 6666}
+
+
+def test_grams_that_no_needle_asks_for_stay_where_the_text_is(spark, monkeypatch):
+    from riskframe.operators import textjoin
+
+    t = spark.createDataFrame([("r", f"src/file{i}/login.js") for i in range(50)], "k string, t string")
+    n = spark.createDataFrame([("r", "login"), ("r", "file7/")], "k string, n string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = contains_join(t, n, ["k"], "t", "n")
+        assert "SortMergeJoin [k" not in out._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+        few = {tuple(r) for r in out.collect()}
+        monkeypatch.setattr(textjoin, "FEW", 0)  # many needles: joined by a shuffle, with the same pairs
+        assert few == {tuple(r) for r in contains_join(t, n, ["k"], "t", "n").collect()} and len(few) == 51
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
