@@ -12,6 +12,8 @@ language by name. Rows that repeat a doc_id are scored each; lang values are lea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from .words import mixed
 
 SYMBOLS, GRAM = 32, 3
 GRAMS = SYMBOLS ** GRAM
+#: Texts and characters worked on at once, and vectors of n-grams held as floats at once.
+TEXTS, CHARS, ROWS = 64, 1 << 18, 256
 _FOLDED: dict[str, np.ndarray] = {}
 
 
@@ -38,17 +42,31 @@ def symbols() -> np.ndarray:
     return _FOLDED["table"]
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(n-grams, counts) of a text; None without a letter."""
-    own = symbols()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    own = own[(own != 0) | (np.concatenate([[1], own[:-1]]) != 0)] if len(own) else own  # runs of other signs count once
-    if not own.any():
-        return None
-    own = np.concatenate([[0], own, [0]]).astype(np.int64)
-    grams = (own[:-2] * SYMBOLS + own[1:-1]) * SYMBOLS + own[2:]
-    count = np.bincount(grams, minlength=GRAMS)
-    at = np.flatnonzero(count)
-    return at, count[at]
+def portions(texts: list[str]) -> Iterator[slice]:
+    """Texts side by side that are worked on at once; a longer one comes alone."""
+    start = chars = 0
+    for end, text in enumerate(texts):
+        if end > start and (end - start == TEXTS or chars + len(text) > CHARS):
+            yield slice(start, end)
+            start, chars = end, 0
+        chars += len(text)
+    if len(texts) > start:
+        yield slice(start, len(texts))
+
+
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, the number of the text of each); a text without a letter has none."""
+    own = symbols()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    first = np.concatenate([[True], text[1:] != text[:-1]])[:len(text)]
+    kept = first | (own != 0)
+    kept[1:] |= own[:-1] != 0  # runs of other signs count once
+    own, text, first = own[kept].astype(np.int32), text[kept], first[kept]
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    before[1:], after[:-1] = np.where(first[1:], 0, own[:-1]), np.where(first[1:], 0, own[1:])
+    grams = (before * SYMBOLS + own) * SYMBOLS + after
+    some = grams != 0  # three other signs in a row: only where a text holds nothing else
+    return grams[some], text[some]
 
 
 def gram_vectors(dims: int) -> np.ndarray:
@@ -61,6 +79,24 @@ def gram_vectors(dims: int) -> np.ndarray:
     return out
 
 
+def bundles_of(texts: list[str], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the n-gram vectors of each text, whether it has a letter).
+
+    A vector is read once for all texts instead of once for each. Sums are whole numbers, exact below 2 ** 24 in any order."""
+    grams, text = grams_of(texts)
+    place = np.zeros(GRAMS, np.int64)
+    place[grams] = 1
+    at = np.flatnonzero(place)
+    place[at] = np.arange(len(at))
+    counts = np.bincount(text * len(at) + place[grams], minlength=len(texts) * len(at)).reshape(len(texts), len(at)).astype(np.float32)
+    out, rows = np.zeros((len(texts), vectors.shape[1]), np.float32), np.empty((min(ROWS, len(at)), vectors.shape[1]), np.float32)
+    for s in range(0, len(at), ROWS):
+        own = rows[:len(at) - s]
+        own[:] = vectors[at[s:s + ROWS]]
+        out += counts[:, s:s + ROWS] @ own
+    return out, np.bincount(text, minlength=len(texts)) > 0
+
+
 def language_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): n-grams of all texts of a language; merged in each task before the shuffle."""
     ex.ready(docs.sparkSession)
@@ -69,11 +105,15 @@ def language_counts(docs: DataFrame) -> DataFrame:
         ex.release()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            texts: dict[str, list[str]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if (found := gram_counts(text)) is not None:
-                    if lang not in sums:
-                        sums[lang] = np.zeros(GRAMS, np.int64)
-                    sums[lang][found[0]] += found[1]
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                for part in portions(own):
+                    if len(grams := grams_of(own[part])[0]):
+                        if lang not in sums:
+                            sums[lang] = np.zeros(GRAMS, np.int64)
+                        sums[lang] += np.bincount(grams, minlength=GRAMS)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "gram", "n"])
@@ -98,19 +138,17 @@ def identify(docs: DataFrame, dims: int = 1024) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((names, prototypes.astype(np.float32)))
 
     def run(batches):
-        ex.release()
-        (names, prototypes), vectors = sent.value, gram_vectors(dims).astype(np.float32)
+        (names, prototypes), vectors = sent.value, ex.held((__name__, dims), lambda: gram_vectors(dims))
         for batch in batches:
-            best, score = [], []
-            for text in batch.column("text").to_pylist():
-                found = gram_counts(text) if text and names else None
-                if found is None:
-                    best.append("und"), score.append(0.0)
-                    continue
-                bundle = found[1].astype(np.float32) @ vectors[found[0]]
-                cosine = prototypes @ (bundle / max(float(np.linalg.norm(bundle)), 1e-12))
-                share = np.exp((cosine - cosine.max()) * 10)
-                best.append(names[int(cosine.argmax())]), score.append(float(share.max() / share.sum()))
+            texts, best, score = [t or "" for t in batch.column("text").to_pylist()], [], []
+            for part in portions(texts):
+                for bundle, lettered in zip(*bundles_of(texts[part], vectors), strict=True):
+                    if not lettered or not names:
+                        best.append("und"), score.append(0.0)
+                        continue
+                    cosine = prototypes @ (bundle / max(float(np.linalg.norm(bundle)), 1e-12))
+                    share = np.exp((cosine - cosine.max()) * 10)
+                    best.append(names[int(cosine.argmax())]), score.append(float(share.max() / share.sum()))
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

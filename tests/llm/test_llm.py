@@ -12,10 +12,11 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from harness import compare, duck
 from pyspark.sql import functions as F
-from riskframe.llm import bpe, components, compression, counts, decontaminate, embeddings, jaccard, langid, lm, quality, queries, substring, toxicity
+from riskframe.llm import bpe, components, compression, counts, decontaminate, embeddings, exchange, jaccard, langid, lm, quality, queries, substring, toxicity
 from riskframe.llm import words as W
 from tokenizers import Tokenizer
 
@@ -245,6 +246,52 @@ def test_languages(spark, docs, empty):
     assert all(0 <= s <= 1 and p in ("en", "de", "und") for p, s in found.values())
 
 
+def plain_bundle(text, dims):
+    """Sum of the products of rolled letter vectors over a text's n-grams; None without a letter."""
+    own = re.sub("\0+", "\0", "".join(chr(langid.symbols()[ord(c)]) for c in text))
+    letters = np.array([[1 - 2 * int(W.mixed(np.uint64([s * dims + d + 1]))[0] >> np.uint64(63) == 0) for d in range(dims)] for s in range(langid.SYMBOLS)])
+    own = [0, *map(ord, own), 0]
+    grams = zip(own, own[1:], own[2:], strict=False)
+    return sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in grams) if any(own) else None
+
+
+@pytest.mark.parametrize("rows_held", [3, 256])
+def test_language_bundles_are_sums_of_bound_letters(monkeypatch, rows_held):
+    monkeypatch.setattr(langid, "ROWS", rows_held)
+    monkeypatch.setattr(langid, "CHARS", 500)
+    texts, vectors = [t[:700] for t in TEXTS if t is not None] + ["", "", " a  b ", "a", "é日本 ", "\t"], langid.gram_vectors(16)
+    parts = [texts[p] for p in langid.portions(texts)]
+    assert sum(parts, []) == texts and all(len(p) == 1 or len(p) <= 64 and sum(map(len, p)) <= 500 for p in parts)
+    for part in [*parts, ["", " "], texts]:
+        for text, bundle, lettered in zip(part, *langid.bundles_of(part, vectors), strict=True):
+            want = plain_bundle(text, 16)
+            assert lettered == (want is not None) and (want is None or np.array_equal(bundle, want))
+
+
+def test_language_reads_a_gram_vector_once_for_many_texts(spark, docs, monkeypatch):
+    read, tasks = [], []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            read.append(np.size(at))
+            return np.asarray(self)[at]
+
+    mapped, made = type(docs).mapInArrow, langid.gram_vectors
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *more: tasks.append(f) or mapped(self, f, *more))
+    df = spark.createDataFrame([(i, " ".join(RNG.sample(("the and of to", "der und die das")[i % 2].split(), 4)), "ed"[i % 2]) for i in range(200)], "doc_id long, text string, lang string")
+    want = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, 64).collect()}
+    monkeypatch.setattr(langid, "gram_vectors", lambda dims: made(dims).view(Counted))
+    texts = [r.text for r in df.orderBy("doc_id").collect()]
+    exchange.release()
+    try:
+        out = list(tasks[-1](iter([pa.record_batch([pa.array(range(200)), pa.array([False] * 200), pa.array(texts)], names=["doc_id", "held_out", "text"])])))
+    finally:
+        exchange.release()
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out[0].to_pylist()} == want
+    distinct = {g for t in texts for g in zip(f" {t} ", f" {t} "[1:], f" {t} "[2:], strict=False)}
+    assert 0 < sum(read) <= 8 * len(distinct)
+
+
 @pytest.fixture(scope="module")
 def many(docs, spark):
     chars = "ab \n\t'.é1<|>　"
