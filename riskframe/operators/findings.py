@@ -13,11 +13,14 @@ from .core import top_k
 def placeholder_demote(scan: DataFrame) -> DataFrame:
     """Lower secret-like rows in template and documentation files or with a made-up value. Never raises."""
     like = tiers.secret_like(F.col("category"), F.coalesce("key", F.lit("")), F.coalesce("title", F.lit("")))
-    tier = tiers.placeholder_tier(F.col("file"), F.col("secret"), F.lit(False))
-    lower = like & tier.isNotNull() & (ranks.severity_rank(F.col("severity")) > ranks.severity_rank(tier["severity"]))
+    # The patterns of a tier are tried once a row, in an array of one row: that is left out of generated code, which with them grows
+    # beyond what Java compiles. A rank reads its argument once for each name, so the tier is a column of its own.
+    tier = F.transform(F.array(F.struct("file", "secret")), lambda r: tiers.placeholder_tier(r["file"], r["secret"], F.lit(False))["severity"])
+    tiered = scan.withColumn("_tier", F.when(like, F.get(tier, F.lit(0))))
+    lower = F.col("_tier").isNotNull() & (ranks.severity_rank(F.col("severity")) > ranks.severity_rank(F.col("_tier")))
     label = F.when(is_example_file(F.col("file")), F.lit("example-file")).otherwise(F.lit("doc-file"))
-    return (scan.withColumn("placeholder_tier", F.when(lower, label))
-            .withColumn("severity", F.when(lower, tier["severity"]).otherwise(F.col("severity"))))
+    return (tiered.withColumn("_lower", lower).withColumn("placeholder_tier", F.when(F.col("_lower"), label))
+            .withColumn("severity", F.when(F.col("_lower"), F.col("_tier")).otherwise(F.col("severity"))).drop("_tier", "_lower"))
 
 
 def fixture_demote(scan: DataFrame) -> DataFrame:

@@ -418,8 +418,8 @@ def _(t):
     crypto = pack_to_ledger(engine.file_findings(engine.with_roles(t.code_files), R.CRYPTO), "authn")
     keep = ["repo", "attack_class", "category", "severity", "confidence", "location", "file", "line", "rule_id", "semantic_id", "title", "status", "cve", "pkg"]
     ledger = union_ledger([df.select(*[c for c in keep if c in df.columns]) for df in (scan, sinks, crypto)])
-    # Suppression reads its input twice; the narrow ledger is written once instead of scanning texts again.
-    ledger = pol.suppress(cut_lineage(life.annotate(ledger)), pol.read_policy(t.policy_files)[0]).filter("NOT suppressed")
+    # Where suppression reads its input several times, the narrow ledger is written once instead of scanning texts again.
+    ledger = pol.suppress(life.annotate(ledger), pol.read_policy(t.policy_files)[0], cut_lineage).filter("NOT suppressed")
     ledger = calibrate(ledger, wilson_cells(t.finding_labels))
     return fnd.top_findings(ledger, 15, tiebreak=("fingerprint", "location")).select("repo", "position", "fingerprint", "attack_class", "severity", "confidence", "p", "basis", "location")
 
